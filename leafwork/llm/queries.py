@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from leafwork.llm.leaks import find_leaks, remove_leaks
+from leafwork.llm.packing import pack_documents
 from leafwork.tables import table
 
 
@@ -23,5 +25,19 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p7_clean": p7_clean}
+def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's container for each capacity."""
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_windows"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Containers and share of unused space for each capacity."""
+    used = p6_packed(spark, sf_dir).groupBy("window_id", "container_id").agg(F.sum("tokens").alias("tokens"))
+    by = used.groupBy("window_id").agg(F.count(F.lit(1)).alias("containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("fullest"))
+    room = F.col("containers") * F.col("capacity_tokens")
+    return by.join(table(spark, sf_dir, "pack_windows"), "window_id").select(
+        "window_id", "capacity_tokens", "containers", "tokens", "fullest", (1 - F.col("tokens") / room).alias("unused"))
+
+
+QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p7_clean": p7_clean, "p6_packed": p6_packed, "p6_fill": p6_fill}
 SQL: dict[str, str] = {}
