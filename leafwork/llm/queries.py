@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm.leaks import find_leaks, remove_leaks
 from leafwork.llm.packing import pack_documents
+from leafwork.llm.truncation import truncated
 from leafwork.tables import table
 
 
@@ -39,5 +40,18 @@ def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
         "window_id", "capacity_tokens", "containers", "tokens", "fullest", (1 - F.col("tokens") / room).alias("unused"))
 
 
-QUERIES = {"p7_found": p7_found, "p7_spans": p7_spans, "p7_clean": p7_clean, "p6_packed": p6_packed, "p6_fill": p6_fill}
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks whose stored text lost its end."""
+    return truncated(table(spark, sf_dir, "ocr_pages")).filter("cut").select("page_id", "block_index")
+
+
+def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How often each adapter and model truncates."""
+    scored = truncated(table(spark, sf_dir, "ocr_pages"))
+    return scored.groupBy("adapter", "model").agg(F.count(F.lit(1)).alias("blocks"), F.count_if("cut").alias("cut_blocks"), F.avg(F.col("cut").cast("int")).alias("share"))
+
+
+QUERIES = {
+    "p1_found": p1_found, "p1_rates": p1_rates,
+    "p7_found": p7_found, "p7_spans": p7_spans, "p7_clean": p7_clean, "p6_packed": p6_packed, "p6_fill": p6_fill}
 SQL: dict[str, str] = {}
