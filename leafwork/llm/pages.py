@@ -5,6 +5,9 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Rows handled at a time, so that a task's Python memory follows this and not the batch size of the session.
 PAGES = 256
@@ -30,3 +33,16 @@ def slices(batches: Iterator[pa.RecordBatch], n: int = PAGES) -> Iterator[pa.Rec
     for b in batches:
         for i in range(0, b.num_rows, n):
             yield b.slice(i, n)
+
+
+def bounded_sample(df: DataFrame, key: str, n: int) -> list:
+    """``n`` rows, chosen by a hash of ``key``, for fitting a model; all of them where there are no more.
+
+    A share of the rows is taken first, so that the driver gets about ``n`` rows and not ``n`` from every task.
+    """
+    total = df.select(key).count()
+    h = F.xxhash64(F.lit("sample"), F.col(key))
+    if total > n:
+        rate = min(1.0, (n + 6 * n**0.5 + 20) / total)
+        df = df.filter(h < F.lit(int(-(1 << 63) + rate * ((1 << 64) - 1))))
+    return sorted(df.collect(), key=lambda r: (r[key] is None, r[key]))[: n + int(7 * n**0.5) + 40]

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from leafwork.llm.leaks import find_leaks, remove_leaks
+from leafwork.llm.lookalikes import consistent_text, look_alike_pairs
 from leafwork.llm.packing import pack_documents
 from leafwork.llm.truncation import truncated
 from leafwork.tables import table
@@ -51,7 +52,18 @@ def p1_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.groupBy("adapter", "model").agg(F.count(F.lit(1)).alias("blocks"), F.count_if("cut").alias("cut_blocks"), F.avg(F.col("cut").cast("int")).alias("share"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of blocks that look the same but are stored in differing characters."""
+    return look_alike_pairs(table(spark, sf_dir, "ocr_pages"))
+
+
+def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every block's one consistent text."""
+    return consistent_text(table(spark, sf_dir, "ocr_pages")).select("page_id", "block_index", "text")
+
+
 QUERIES = {
+    "p2_found": p2_found, "p2_text": p2_text,
     "p1_found": p1_found, "p1_rates": p1_rates,
     "p7_found": p7_found, "p7_spans": p7_spans, "p7_clean": p7_clean, "p6_packed": p6_packed, "p6_fill": p6_fill}
 SQL: dict[str, str] = {}
