@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from leafwork.llm.languages import identify, wrong_labels_and_stretches
 from leafwork.llm.leaks import find_leaks, remove_leaks
 from leafwork.llm.lookalikes import consistent_text, look_alike_pairs
 from leafwork.llm.packing import pack_documents
@@ -62,7 +63,18 @@ def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistent_text(table(spark, sf_dir, "ocr_pages")).select("page_id", "block_index", "text")
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with a missing or wrong label, and blocks with sentences in another language."""
+    return wrong_labels_and_stretches(identify(table(spark, sf_dir, "ocr_pages")))
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's and stretch's language with its confidence."""
+    return identify(table(spark, sf_dir, "ocr_pages"))
+
+
 QUERIES = {
+    "p3_found": p3_found, "p3_languages": p3_languages,
     "p2_found": p2_found, "p2_text": p2_text,
     "p1_found": p1_found, "p1_rates": p1_rates,
     "p7_found": p7_found, "p7_spans": p7_spans, "p7_clean": p7_clean, "p6_packed": p6_packed, "p6_fill": p6_fill}
