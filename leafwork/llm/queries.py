@@ -9,6 +9,7 @@ from leafwork.llm.languages import identify, wrong_labels_and_stretches
 from leafwork.llm.leaks import find_leaks, remove_leaks
 from leafwork.llm.lookalikes import consistent_text, look_alike_pairs
 from leafwork.llm.packing import pack_documents
+from leafwork.llm.pii import find_pii, mask_pii
 from leafwork.llm.truncation import truncated
 from leafwork.tables import table
 
@@ -73,7 +74,18 @@ def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify(table(spark, sf_dir, "ocr_pages"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each distinct piece of personal information of each document."""
+    return find_pii(table(spark, sf_dir, "documents")).select("doc_id", "pii_kind", "pii_value").distinct()
+
+
+def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents with typed placeholders."""
+    return mask_pii(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "p8_found": p8_found, "p8_masked": p8_masked,
     "p3_found": p3_found, "p3_languages": p3_languages,
     "p2_found": p2_found, "p2_text": p2_text,
     "p1_found": p1_found, "p1_rates": p1_rates,
