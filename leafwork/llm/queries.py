@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from leafwork.llm.languages import identify, wrong_labels_and_stretches
 from leafwork.llm.leaks import find_leaks, remove_leaks
 from leafwork.llm.lookalikes import consistent_text, look_alike_pairs
+from leafwork.llm.noise import find_noise, paragraphs
 from leafwork.llm.packing import pack_documents
 from leafwork.llm.pii import find_pii, mask_pii
 from leafwork.llm.truncation import truncated
@@ -84,7 +85,18 @@ def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mask_pii(table(spark, sf_dir, "documents"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Noisy blocks and the kinds of noise in them."""
+    return find_noise(table(spark, sf_dir, "ocr_pages"))
+
+
+def p5_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page as continuous paragraphs."""
+    return paragraphs(table(spark, sf_dir, "ocr_pages"))
+
+
 QUERIES = {
+    "p5_found": p5_found, "p5_paragraphs": p5_paragraphs,
     "p8_found": p8_found, "p8_masked": p8_masked,
     "p3_found": p3_found, "p3_languages": p3_languages,
     "p2_found": p2_found, "p2_text": p2_text,
