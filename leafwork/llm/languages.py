@@ -34,6 +34,7 @@ _ENDS = re.compile(r"[.!?。！？][\"'”’»)]*\s*$")
 _CJK = re.compile("[㐀-鿿]")
 _ODD = re.compile(r"[^\n -~¡-¬®-ɏА-яёЁ‐-―‘-…、-】㐀-鿿（），：；！？．ﬀ-ﬆ]")
 _HYPHEN = re.compile(r"(?<=\w)[-¬‐­]\n(?=\w)")
+_CYRILLIC, _LATIN = re.compile("[А-яёЁ]"), re.compile("[a-zA-Z]")
 _LEFT_OUT = {"heading", "title", "header", "equation", "image", "image_ref", "table"}
 ORDERS = (5, 4, 3, 2, 1)
 SCHEMA = "page_id long, block_index int, start int, stop int, lang string, confidence double, label string"
@@ -46,7 +47,7 @@ def normal_label(label: str | None) -> str | None:
 
 def readable(text: str) -> str:
     """Look-alike letters and hidden characters made plain, words broken at line ends joined."""
-    if _ODD.search(text) or re.search("[А-яёЁ]", text) and re.search("[a-zA-Z]", text):
+    if not text.isascii() and (_ODD.search(text) or _CYRILLIC.search(text) and _LATIN.search(text)):
         text = consistent(text, _PLAIN_SCRIPTS)
     return _HYPHEN.sub("", text) if "\n" in text else text
 

@@ -7,6 +7,7 @@ look-alikes is stored: blocks that look the same come out equal.
 
 from __future__ import annotations
 
+import functools
 import math
 import re
 import unicodedata
@@ -105,6 +106,7 @@ class Scripts:
         return max(best.values(), key=lambda x: (x[0], x[1]))[1]
 
 
+@functools.lru_cache(200_000)
 def script(w: str) -> str:
     """The only script a word can be in, by its letters that look like no other script's: L, C, G, or - where none decides."""
     for c in w:
