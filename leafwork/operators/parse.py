@@ -13,8 +13,8 @@ _MARK = r"(?s)<\|det\|>([a-z_]+)(?:\s*\[([0-9,\s]+)\])?<\|/det\|>(.*?)(?=<\|det\
 def marker_blocks(raw: Column) -> Column:
     """Blocks of marked-up text: array of (``kind``, ``box`` of 0..1000, ``text``); marks without four numbers are skipped."""
     parts = [F.regexp_extract_all(raw, F.lit(_MARK), F.lit(i)) for i in (1, 2, 3)]
-    rows = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("kind", "box", "text"))])
-    rows = F.transform(rows, lambda r: F.struct(r["0"].alias("kind"), parse_box(r["1"]).alias("box"), r["2"].alias("text")))
+    rows = F.arrays_zip(*[p.alias(n) for p, n in zip(parts, ("kind", "box", "text"))])  # the aliases name the fields
+    rows = F.transform(rows, lambda r: F.struct(r["kind"].alias("kind"), parse_box(r["box"]).alias("box"), r["text"].alias("text")))
     return F.filter(rows, lambda r: r["box"].isNotNull())
 
 

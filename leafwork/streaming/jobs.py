@@ -16,7 +16,12 @@ def state_stream(events: DataFrame) -> DataFrame:
 def run_available(spark: SparkSession, folder: str, schema, name: str) -> DataFrame:
     """Fold all that a folder of Parquet events holds now, as a stream, and return the last state as a table."""
     out = scratch(spark, name)
-    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(folder)
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4)
+    if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # a stream reads folders
+        stream = reader.option("pathGlobFilter", at.getName()).parquet(str(at.getParent().toString()))
+    else:
+        stream = reader.parquet(folder)
 
     def keep(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{out}/{number:06d}")
