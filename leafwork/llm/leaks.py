@@ -149,7 +149,7 @@ class Kind:
 
     def __init__(self, items: list[tuple[int, str]], by_char: bool, least: int, altered: float):
         self.by_char, self.least, self.altered = by_char, least, altered
-        self.k, self.seed = (5, 4) if by_char else (24, 10)
+        self.k, self.seed = (5, 4) if by_char else (24, 10)  # longest n-grams that are looked for; shortest parts that are chained
         self.ids, self.texts, self.words = [], [], []
         for item_id, text in items:
             x, at = squeeze(text)
@@ -165,6 +165,9 @@ class Kind:
             self.words.append(bounds)
         # A stretch with a altered words has its other letters in a + 1 runs: so many intact k-grams at least, at each word.
         a = int(least * altered)
+        fewest = min((self._letters(b, a) for b in self.words if len(b) >= least), default=1)
+        self.k = max(2, min(self.k, (fewest - 1) // (a + 1) + 1))  # so short that every stretch keeps one at least
+        self.seed = min(self.seed, self.k)
         self.needs = [self._need(b, a) for b in self.words]
         self.least_of = np.array([int(n.min()) if len(n) else 1 << 40 for n, _ in self.needs], np.int64)
         self.hits = min((int(n.min()) for n, _ in self.needs if len(n)), default=1)
@@ -185,6 +188,11 @@ class Kind:
         self.seeds: dict[int, dict[str, list[int]]] = {}
         self.margin = 2 * least if by_char else 8 * least
 
+    def _letters(self, bounds: list[tuple[int, int]], a: int) -> int:
+        """The fewest letters that a stretch keeps with its ``a`` longest words altered."""
+        w = np.sort(np.lib.stride_tricks.sliding_window_view(np.array([e - b for b, e in bounds], np.int64), self.least), axis=1)
+        return int(w[:, : self.least - a].sum(axis=1).min())
+
     def _need(self, bounds: list[tuple[int, int]], a: int) -> tuple[np.ndarray, np.ndarray]:
         """For each first word of a stretch the k-grams it keeps at least; and the word of each letter."""
         n = np.array([e - b for b, e in bounds], np.int64)
