@@ -30,6 +30,10 @@ SCHEMA = "doc_id long, pii_kind string, start int, stop int, pii_value string"
 GIVEN = "George Nora Simon Alice Helen Ruth Linda Hugh Oscar Gordon Walter Clara Irene Martin Judith Philip Edwin Tessa Julián Agnès Luc Bernd Heike Rainer Pilar Rocío Inés Andrés Nuno Paola Anke Nieves Lothar Greta Ulrike Konrad Sabine Elvira Ramón Hélène Yves Odile Lucía Benoît René Gérard Tomás Óscar Thierry Dieter Chantal Silke Joana Jürgen Matías Marta Jorge Álvaro Anneke Sylvie Bram Mireille Guido Sander Silvia Hanneke Chiara Ettore Rui Dario Inês Wouter Lotte Teresa Beatriz Duarte Joost Renzo Gijs Sandro Graça Femke Livia Marijke".split()
 SYLLABLES_A = "Bel Bran Cor Dal Dru Esk Fen Gar Hal Ilm Jor Kel Ker Lan Lis Mir Mor Nor Or Oss Pel Rud Sel Stav Tam Tor Ul Van Vas Ven Wen".split()
 SYLLABLES_B = "al am an ar el em en ev id il im in ir is iv ol om on or os ov ul un ur".split()
+GIVEN_RU = "Иван Анна Олег Нина Павел Вера Игорь Зоя Роман Лидия Сергей Мария Дмитрий Елена Андрей Ольга Николай Татьяна Борис Галина Виктор Людмила Юрий Ирина Алексей Наталья Михаил Софья Пётр Тамара".split()
+SYLLABLES_RU = "Бел Вас Вел Гор Дру Дроб Жар Зел Кар Кель Кош Лун Мир Мор Нор Осм Пет Раз Ром Сам Стра Тар Фом Хол Чер Шум Яр".split()
+MIDDLES_RU = ["", "", "ан", "ар", "ик", "ен", "ль", "м", "н", "д"]
+PERSON_ENDS_RU = "ов ова ев ева ин ина ский ская енко ов ин".split()
 PERSON_ENDS = "nor brin dorn tova bray quist cott lund sky dross zell vane hagen merk rick wold".split()
 PLACE_ENDS = "bruck mouth stad mere ford thal holm vik burg wick dal garth".split()
 STREET_ENDS = "st ld rs sn nn m d t l sl sk n".split()
@@ -46,13 +50,21 @@ AROUND = {
     "name": ["* signed the sheet.", "Dear *,", "Witness: *", "Please ask for *.", "We spoke to * about the missing leaf.", "* has the key.", "Mr * asked for a new scan.", "According to Mrs *, nothing was lost.", "Dr. * has the key.", "The page was checked by *.", "Herr * bittet um eine Kopie.", "Frau Dr. * hat den Schlüssel.", "Ansprechpartner: *", "Geprüft von *.", "cc: *", "Vérifié par *.", "* a signé la feuille.", "Lecteur : *", "Cordialement, *", "Madame * demande une copie.", "cc: M. *", "Lector: *", "Revisado por *.", "* firmó la hoja.", "La hoja gris – *", "Verificado por *.", "Atenciosamente, *", "Controllato da *.", "* ha firmato il foglio.", "Cordiali saluti, *", "Nagekeken door *.", "* heeft het blad getekend.", "Mevrouw * vraagt een kopie.", "12. * | the iron letter", "* | jede lose Liste", "In the spring, * signed the list.", "Señora * pide una copia.", "Signora * chiede una copia.", "Senhor * pede uma cópia.", "* wiederholt jede alte Mühle.", "According to Mrs *, nothing was lost.", "Sr. * pide una copia."],
     "": ["See pages #3-#4.", "Batch #4-#4-#2, box #2.", "Invoice no. #4-#2", "Plate #4 #4 #4.", "Version 2.5.#2, build #8.", "Order L#4 was cancelled.", "Shelf mark MS #4/#2.", "Dated 14.09.19#2.", "Total: #4.#2 for #2 reels.", "Ratio @ #2 dpi, setting 7.", "Unit L5-#4 covers each letter.", "The $P Paper Company sent samples.", "The mill at $P Bridge is closed.", "Printed by $S & Sons Ltd.", "Gedruckt bei $S Papier GmbH.", "Impreso en Papelera $S SA.", "Lot #4-#4-#2.", "Rechnung Nr. #4-#2", "Charge #3-#4-#2.", "馆藏号 MS #4/#2。", "发票号 #4-#2", "见第#2-#4页。", "Near $P, the upper page covers each empty shelf.", "Readers from $P asked whether the list is kept.", "In $P, the iron crate shows one quiet valve on page #3 and again on page #3.", "Von den #3 Blättern in $P verdeckt die alte Karte jede Liste.", "À $P, chaque note explique la page #3.", "De las #3 hojas, esta caja de $P muestra cada lista.", "Imprimé chez $S et Fils SARL.", "Of the #3 copies kept at $P, only each shared orchard supports the loose type case.", "Сhарtеr #2", "Q-#4 ", "The loose valve of $P follows each narrow crate.", "(see item #3)", "Ulica $P #4", "Stampato da Tipografia $S srl.", "Gedrukt bij $S Papier BV.", "Impresso na Gráfica $S Lda.", "$P Street #3 sheets", "Both the plain kiln and each lamp were sent to $P, where the damp map stays."],
 }
-_TITLES = {"Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "M", "Mme", "Madame", "Monsieur", "Sr", "Sra", "Señor", "Señora", "Sig", "Signor", "Signora", "Dott", "Dhr", "Mevrouw", "Meneer", "Senhor", "Senhora", "Dear", "Don", "Doña", "Mlle", "Miss", "Sir"}
+# The same in Russian, for names and for what is none (fixed values).
+AROUND_RU = {
+    "name": ["Читатель: *", "Проверил *.", "Проверила *.", "* подписал лист.", "* подписала лист.", "cc: *", "С уважением, *", "Свидетель: *", "Уважаемый *,", "Господин * просит копию.", "Госпожа * просит копию.", "По словам г-жи *, ничего не пропало.", "Ключ у г-на *.", "Этот новый чертёж – *", "12. * | каждый полный амбар", "Весной, * исправляет этот сырой лист.", "На обороте, * описывает каждый узкий журнал.", "Обратитесь к *."],
+    "": ["Каждый узкий амбар исправляет этот лист у окна.", "Из #3 листов в $P этот тёмный мост закрывает каждый список.", "Этот печатный отчёт показывает страницу #3.", "Время от времени каждый редкий журнал хранится в $P.", "Насколько известно, ничего не пропало.", "Старый чертёж лежит внизу страницы #2.", "Проверил склад. Новый план хранится в западном крыле.", "НОВЫЙ КАТАЛОГ"],
+}
+_TITLES = {"Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "M", "Mme", "Madame", "Monsieur", "Sr", "Sra", "Señor", "Señora", "Sig", "Signor", "Signora", "Dott", "Dhr", "Mevrouw", "Meneer", "Senhor", "Senhora", "Dear", "Don", "Doña", "Mlle", "Miss", "Sir",
+           "Господин", "Господина", "Господину", "Госпожа", "Госпожи", "Госпоже", "Г-н", "Г-на", "Г-ну", "Г-жа", "Г-жи", "Г-же", "Гражданин", "Гражданка", "Уважаемый", "Уважаемая", "Доктор", "Профессор"}
 # Words that open sentences or clauses and are no given names (fixed values).
-_OPENERS = set("The In At On Of Near Nobody Readers One Each Both If While Since For From By And But Or So Unit To See Why How Whoever Do Compare There Until Unless Whereas Although Because After Before As It Under During Not Only Call Write Contact Address Resident Return Replies Please We He She Page Order Batch Plate Lot Invoice Version Total Ratio Dated Shelf Printed Fax Phone Tel Bei Von Das Der Die Und Aber In Im Seit Nach Vor Am Auf Jede Jeder Jedes Nicht Unter Gegen Bitte Le La Les Ce Cette Chaque De Des Du À Au Sur Dès Et Mais En El Los Las Esta Este Cada Al Del O A Os As Um Uma Em Da Do Das Pelo Il Lo Gli Un Una Questo Questa Ogni Dei Dal Nel Het Elke Van Aan Op Te Sinds Voor Als Een Q ID Zum Zur Bien Pour Por Para Antes Depois Después Depuis Durante Tandis Lorsque Après Avant Autant Sans Dans Sous Alors Puisque Parce Quand Jusqu Com Sem Quando Enquanto Porque Embora Até Dopo Prima Anche Mentre Poiché Finché Secondo Verso Nonostante Met Zonder Terwijl Omdat Hoewel Nadat Voordat Ook Atenciosamente Cordialement Cordialmente Atentamente Sincerely Faithfully Regards Saluti Grüßen Groet Groeten Saludos Cumprimentos Hochachtungsvoll Distintamente Yours Reader Witness Lecteur Lector Leitor Lettore Lezer Zeuge Leser Témoin Testigo Signed".split())
+_OPENERS = set("The In At On Of Near Nobody Readers One Each Both If While Since For From By And But Or So Unit To See Why How Whoever Do Compare There Until Unless Whereas Although Because After Before As It Under During Not Only Call Write Contact Address Resident Return Replies Please We He She Page Order Batch Plate Lot Invoice Version Total Ratio Dated Shelf Printed Fax Phone Tel Bei Von Das Der Die Und Aber In Im Seit Nach Vor Am Auf Jede Jeder Jedes Nicht Unter Gegen Bitte Le La Les Ce Cette Chaque De Des Du À Au Sur Dès Et Mais En El Los Las Esta Este Cada Al Del O A Os As Um Uma Em Da Do Das Pelo Il Lo Gli Un Una Questo Questa Ogni Dei Dal Nel Het Elke Van Aan Op Te Sinds Voor Als Een Q ID Zum Zur Bien Pour Por Para Antes Depois Después Depuis Durante Tandis Lorsque Après Avant Autant Sans Dans Sous Alors Puisque Parce Quand Jusqu Com Sem Quando Enquanto Porque Embora Até Dopo Prima Anche Mentre Poiché Finché Secondo Verso Nonostante Met Zonder Terwijl Omdat Hoewel Nadat Voordat Ook Atenciosamente Cordialement Cordialmente Atentamente Sincerely Faithfully Regards Saluti Grüßen Groet Groeten Saludos Cumprimentos Hochachtungsvoll Distintamente Yours Reader Witness Lecteur Lector Leitor Lettore Lezer Zeuge Leser Témoin Testigo Signed "
+              "В Во На Из Но А И К Ко С Со У О Об От До По За Под Над При Для Без Через Между Около После Перед Когда Если Пока Хотя Потому Поэтому Чтобы Как Где Кто Что Это Этот Эта Эти Тот Та Те Каждый Каждая Каждое Все Всё Никто Ни Не Один Одна Оба Ближе Время Насколько Весной Летом Осенью Зимой Утром Вечером Сегодня Вчера Он Она Они Мы Вы Я "
+              "Проверил Проверила Подписал Подписала Пишите Звоните Обратитесь Читатель Свидетель Почта Телефон Тел Факс Паспорт Номер Адрес Страница Раздел Глава Уважением".split())
 _FIRM_WORDS = set("Ltd GmbH Sons Papier Paper Company Fils SARL Papelera Tipografia Gráfica Cartiera Papelaria Drukkerij Bridge Library".split())
-_LOW_TITLES = (" signor ", " signora ", " senhor ", " senhora ", " señor ", " señora ", " madame ", " monsieur ", " mevrouw ", " meneer ", " doctor ", " dottor ", " dottoressa ", " herr ", " frau ")
+_LOW_TITLES = (" signor ", " signora ", " senhor ", " senhora ", " señor ", " señora ", " madame ", " monsieur ", " mevrouw ", " meneer ", " doctor ", " dottor ", " dottoressa ", " herr ", " frau ", " господин ", " госпожа ", " г-н ", " г-на ", " г-ну ", " г-жа ", " г-жи ", " г-же ")
 
-_CHARS = " \n" + "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "0123456789" + "+-()[]/.,:;@＠'\"|&_º°–—?!#*"
+_CHARS = " \n" + "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "абвгдеёжзийклмнопрстуфхцчшщъыьэюя" + "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ" + "0123456789" + "+-()[]/.,:;@＠'\"|&_º°–—?!#*"
 _SYMBOL = {c: i + 1 for i, c in enumerate(_CHARS)}
 _LOWER, _UPPER, _CJK, _OTHER = (len(_CHARS) + 1 + i for i in range(4))
 SYMBOLS = len(_CHARS) + 5
@@ -75,6 +87,10 @@ def _digits(r, pattern: str) -> str:
     return re.sub("#(\\d)", lambda m: "".join(r.choice("0123456789") for _ in range(int(m[1]))), out)
 
 
+def _surname_ru(r) -> str:
+    return r.choice(SYLLABLES_RU) + r.choice(MIDDLES_RU) + r.choice(PERSON_ENDS_RU)
+
+
 def _surname(r) -> str:
     s = r.choice(SYLLABLES_A) + r.choice(SYLLABLES_B) + r.choice(["", "", "o"]) + r.choice(PERSON_ENDS)
     return s
@@ -93,12 +109,14 @@ def _value(r, kind: str, around: str) -> str:
         s = r.choice(SYLLABLES_A) + r.choice(SYLLABLES_B) + r.choice(STREET_ENDS)
         return r.choice(STREETS).format(n=f"{r.randrange(1, 260)}{r.choice(['', '', '', 'a', 'b', 'c'])}", s=s)
     if kind == "name":
-        s, g = _surname(r), r.choice(GIVEN)
-        s = f"{s}-{_surname(r)}" if r.random() < 0.08 else s
-        if re.search(r"(Mr|Mrs|Herr|Frau Dr\.|Dr\.|Madame|Mevrouw|Señora|Signora|Senhor|Sr\.|M\.) \*", around) and r.random() < 0.7:
+        russian = bool(re.search("[а-я]", around)) or around == "cc: *" and r.random() < 0.2
+        surname, given, initials = (_surname_ru, GIVEN_RU, "АБВГДЕЖЗИКЛМНОПРСТФЭЮЯ") if russian else (_surname, GIVEN, "ABCDEFGHJKLMNPRSTW")
+        s, g = surname(r), r.choice(given)
+        s = f"{s}-{surname(r)}" if r.random() < 0.08 else s
+        if re.search(r"(Господин|Госпожа|г-жи|г-на|Mr|Mrs|Herr|Frau Dr\.|Dr\.|Madame|Mevrouw|Señora|Signora|Senhor|Sr\.|M\.) \*", around) and r.random() < 0.7:
             return s
         form = r.random()
-        n = f"{g} {s}" if form < 0.5 else f"{s}, {g}" if form < 0.65 else f"{g[0]}. {s}" if form < 0.82 else f"{g} {r.choice('ABCDEFGHJKLMNPRSTW')}. {s}"
+        n = f"{g} {s}" if form < 0.5 else f"{s}, {g}" if form < 0.65 else f"{g[0]}. {s}" if form < 0.82 else f"{g} {r.choice(initials)}. {s}"
         return n.upper() if r.random() < 0.06 else n.replace(" ", "\n", 1) if r.random() < 0.05 else n
     a, b = _surname(r).lower(), r.choice(GIVEN).lower()
     local = r.choice([f"{b}.{a}", f"{a}_{r.randrange(99)}", "info", "reading.room", f"{b}+scan", f"{b[0]}{a}", f"{a}-{b}", f"{b.title()}.{a.title()}"])
@@ -112,6 +130,7 @@ def examples(n: int = EXAMPLES, seed: int = 17) -> tuple[np.ndarray, np.ndarray]
     r = random.Random(seed)
     x, y = np.zeros((n, LENGTH), np.int16), np.zeros((n, LENGTH), np.int8)
     pool = [(k, a) for k in KINDS for a in AROUND[k] for _ in range(3 if k == "name" else 2)] + [("", a) for a in AROUND[""] for _ in range(4)]
+    pool += [(k, a) for k, around in AROUND_RU.items() for a in around for _ in range(2)]
     fill = lambda s: _digits(r, re.sub(r"\$S", lambda m: _surname(r), re.sub(r"\$P", lambda m: _place(r), s)))
     for i in range(n):
         text, tags = "", []
@@ -163,15 +182,16 @@ _ADDRESS = re.compile(
     rf"\d{{1,4}} ?[a-z]?\s[A-Z][\w'-]+\s{_STREET_EN}\b|\d{{1,4}} ?[a-z]?(?: bis| ter)?,?\s(?:rue|quai|impasse|avenue|place|chemin|boulevard|allée)\s(?:de\s|du\s|des\s)?[A-Z][\w'-]+"
     r"|(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo|[Rr]ua|[Tt]ravessa|[Ll]argo|[Vv]ia|[Cc]orso|[Pp]iazza|[Vv]iale|[Vv]icolo|[Pp]raça|[Cc]amino|[Rr]onda)\s[A-Z][\w'-]+,?\s(?:n\.?[º°]\s?)?\d{1,4}(?: ?[a-z]\b)?"
     r"|[A-ZÄÖÜ][\w-]+(?:straße|strasse|str\.|platz|weg|gasse|allee|ring|ufer|damm|straat|laan|kade|gracht|plein|singel|dijk|steeg)\s\d{1,4}(?: ?[a-z]\b)?")
-_CAP = r"[A-ZÀ-ÖØ-Þ][a-zß-öø-ÿ'’]+(?:-[A-ZÀ-Þ][a-zà-ÿ]+)*"
-_UP = r"[A-ZÀ-ÖØ-Þ]{3,}(?:-[A-ZÀ-Þ]{3,})*"
+_U, _L = "A-ZÀ-ÖØ-ÞЀ-Я", "a-zß-öø-ÿа-џ"  # capital and small letters, Latin and Cyrillic
+_CAP = rf"[{_U}][{_L}'’]+(?:-[{_U}][{_L}]+)*"
+_UP = rf"[{_U}]{{3,}}(?:-[{_U}]{{3,}})*"
 _GAP = r"[  \t]*\n?[  \t]*"
-_NAME = re.compile(rf"{_CAP},{_GAP}(?:{_CAP}|[A-ZÀ-Þ]\.)(?:\s[A-Z]\.)?|(?:{_CAP}|[A-ZÀ-Þ]\.){_GAP}(?:[A-ZÀ-Þ]\.{_GAP})?{_CAP}|{_UP},? {_UP}|{_CAP}")
+_NAME = re.compile(rf"{_CAP},{_GAP}(?:{_CAP}|[{_U}]\.)(?:\s[{_U}]\.)?|(?:{_CAP}|[{_U}]\.){_GAP}(?:[{_U}]\.{_GAP})?{_CAP}|{_UP},? {_UP}|{_CAP}")
 # Places that can hold something of a kind; it only decides where the model looks.
 _ANCHOR = re.compile(
-    rf"(?=[@＠(\[\dA-ZÀ-Þ])(?:[@＠]|[(\[]\s?at\s?[)\]]|(?<!\d)\d(?:[ \t./()-]{{0,3}}\d){{6,}}|(?<!\d)\d{{1,4}} ?[a-z]?(?: bis| ter)?,? (?:[A-Z][\w'-]+ {_STREET_EN}\b|(?:rue|quai|impasse|avenue|place|chemin|boulevard|allée)\s)"
-    rf"|\b[A-ZÀ-Þ](?:[a-zß-öø-ÿ'’-]+(?:,(?=\s(?:n\.?[º°]\s?)?\d{{1,4}}\b)|(?<=straße|gracht|singel|straat)(?=\s\d)|(?<=platz|gasse|allee|plein|steeg)(?=\s\d)|(?<=laan|kade|dijk|damm|ring|ufer)(?=\s\d)|(?<=weg)(?=\s\d)|,?(?=\s{{1,2}}(?:[A-ZÀ-Þ]\.\s{{1,2}})?[A-ZÀ-Þ][a-zà-ÿ.]))|\.(?=\s{{1,2}}(?:[A-ZÀ-Þ]\.\s{{1,2}})?[A-ZÀ-Þ][a-zà-ÿ])|[A-ZÀ-Þ]{{2,}},?(?=\s[A-ZÀ-Þ]{{4,}})|[A-Z]?\d{{6,}}|[A-Z] \d\d \d\d))")
-_BEFORE = re.compile(rf"\b({_CAP},?|{_UP},?|[A-ZÀ-Þ]\.)\s{{1,2}}(?:[A-ZÀ-Þ]\.\s{{1,2}})?$")
+    rf"(?=[@＠(\[\d{_U}])(?:[@＠]|[(\[]\s?at\s?[)\]]|(?<!\d)\d(?:[ \t./()-]{{0,3}}\d){{6,}}|(?<!\d)\d{{1,4}} ?[a-z]?(?: bis| ter)?,? (?:[A-Z][\w'-]+ {_STREET_EN}\b|(?:rue|quai|impasse|avenue|place|chemin|boulevard|allée)\s)"
+    rf"|\b[{_U}](?:[{_L}'’-]+(?:,(?=\s(?:n\.?[º°]\s?)?\d{{1,4}}\b)|(?<=straße|gracht|singel|straat)(?=\s\d)|(?<=platz|gasse|allee|plein|steeg)(?=\s\d)|(?<=laan|kade|dijk|damm|ring|ufer)(?=\s\d)|(?<=weg)(?=\s\d)|,?(?=\s{{1,2}}(?:[{_U}]\.\s{{1,2}})?[{_U}][{_L}.]))|\.(?=\s{{1,2}}(?:[{_U}]\.\s{{1,2}})?[{_U}][{_L}])|[{_U}]{{2,}},?(?=\s[{_U}]{{4,}})|[A-Z]?\d{{6,}}|[A-Z] \d\d \d\d))")
+_BEFORE = re.compile(rf"\b({_CAP},?|{_UP},?|[{_U}]\.)\s{{1,2}}(?:[{_U}]\.\s{{1,2}})?$")
 _FIRM = re.compile(r"\s*(?:&|and Sons|et Fils|Paper|Papier|Company|Ltd|GmbH|SA\b|S\.A|SARL|srl|BV\b|Lda|Bridge|Street|Road|Hall|Library)")
 _FIRM_BEFORE = re.compile(r"(?:Papelera|Tipografia|Gráfica|Imprimerie|Papeterie|Cartiera|Papelaria|Drukkerij|Printed by|Gedruckt bei|Impreso en|Imprimé chez|Stampato da|Gedrukt bij|Impresso na)\s*$")
 
