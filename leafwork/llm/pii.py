@@ -1,14 +1,16 @@
-"""Personal information in free text: a character-level bidirectional LSTM with CRF transitions, trained from labelled spans.
+"""Personal information in free text: a character-level bidirectional LSTM with CRF transitions, trained in numpy from labelled spans.
 
-The spans the model learns from are made here (``examples``), from parts of names, streets, numbers and addresses and the sentences
-they stand in, in nine languages, beside numbers and names that are not personal. A cheap pattern finds the places that can
-hold anything of the kind; windows around them are decoded, overlapping windows reconciled, and each span is checked
-exactly: its bounds are moved to whole tokens and a form its kind cannot have is dropped.
+Every character of every text goes through the model, in windows that overlap by ``MARGIN`` on both sides. Where windows overlap,
+each place takes the tag of the window in which it stands farther from an edge, which gives one tag sequence a text. The spans and
+their kinds are the model's alone; afterwards bounds are only moved to whole words, white space and punctuation is trimmed, and what
+cannot be of its kind (a telephone number without digits) is dropped.
+
+The weights come with the package; ``pii_train`` makes them anew from the labelled spans of ``pii_examples``.
 """
 
 from __future__ import annotations
 
-import random
+import os
 import re
 from collections.abc import Iterator
 
@@ -17,57 +19,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.bilstm import BiLstmCrf
+from leafwork.llm.bilstm import BiLstmCrf, one_thread
+from leafwork.llm.pii_examples import HAN_GIVEN, HAN_SURNAMES, KINDS
 
-KINDS = ("email", "phone", "id_number", "address", "name")
-TAGS = ["O", *(f"{p}-{k}" for k in KINDS for p in "BI")]
-EXAMPLES, LENGTH, MARGIN, WINDOW = 6000, 72, 34, 192
-#: What a letter outside any span is scored less when decoding: spans are checked afterwards, so the model may propose more.
-LENIENT = 1.0
+WINDOW, MARGIN, TEXTS = 1024, 32, 2048
+WEIGHTS = os.path.join(os.path.dirname(__file__), "pii_weights.npz")
 SCHEMA = "doc_id long, pii_kind string, start int, stop int, pii_value string"
 
-# Word lists for the training sentences (fixed values).
-GIVEN = "George Nora Simon Alice Helen Ruth Linda Hugh Oscar Gordon Walter Clara Irene Martin Judith Philip Edwin Tessa Julián Agnès Luc Bernd Heike Rainer Pilar Rocío Inés Andrés Nuno Paola Anke Nieves Lothar Greta Ulrike Konrad Sabine Elvira Ramón Hélène Yves Odile Lucía Benoît René Gérard Tomás Óscar Thierry Dieter Chantal Silke Joana Jürgen Matías Marta Jorge Álvaro Anneke Sylvie Bram Mireille Guido Sander Silvia Hanneke Chiara Ettore Rui Dario Inês Wouter Lotte Teresa Beatriz Duarte Joost Renzo Gijs Sandro Graça Femke Livia Marijke".split()
-SYLLABLES_A = "Bel Bran Cor Dal Dru Esk Fen Gar Hal Ilm Jor Kel Ker Lan Lis Mir Mor Nor Or Oss Pel Rud Sel Stav Tam Tor Ul Van Vas Ven Wen".split()
-SYLLABLES_B = "al am an ar el em en ev id il im in ir is iv ol om on or os ov ul un ur".split()
-GIVEN_RU = "Иван Анна Олег Нина Павел Вера Игорь Зоя Роман Лидия Сергей Мария Дмитрий Елена Андрей Ольга Николай Татьяна Борис Галина Виктор Людмила Юрий Ирина Алексей Наталья Михаил Софья Пётр Тамара".split()
-SYLLABLES_RU = "Бел Вас Вел Гор Дру Дроб Жар Зел Кар Кель Кош Лун Мир Мор Нор Осм Пет Раз Ром Сам Стра Тар Фом Хол Чер Шум Яр".split()
-MIDDLES_RU = ["", "", "ан", "ар", "ик", "ен", "ль", "м", "н", "д"]
-PERSON_ENDS_RU = "ов ова ев ева ин ина ский ская енко ов ин".split()
-PERSON_ENDS = "nor brin dorn tova bray quist cott lund sky dross zell vane hagen merk rick wold".split()
-PLACE_ENDS = "bruck mouth stad mere ford thal holm vik burg wick dal garth".split()
-STREET_ENDS = "st ld rs sn nn m d t l sl sk n".split()
-STREETS = ["{n} {s} Street", "{n} {s} Road", "{n} {s} Lane", "{n} {s} Avenue", "{n} {s} Court", "{n} {s} Terrace", "{n} {s} Quay", "{n} {s} St", "{n} {s} Rd", "{s}straße {n}", "{s}platz {n}", "{s}weg {n}", "{s}gasse {n}",
-           "{n}, rue {s}", "{n}, quai {s}", "{n} bis, rue {s}", "{n}, impasse {s}", "{n}, avenue {s}", "calle {s}, {n}", "avenida {s}, {n}", "plaza {s}, {n}", "Rua {s}, n.º {n}", "Travessa {s}, n.º {n}", "Avenida {s}, n.º {n}", "Via {s}, {n}", "Corso {s}, {n}", "Piazza {s}, {n}", "{s}straat {n}", "{s}laan {n}", "{s}kade {n}", "{s}gracht {n}", "{s} Street {n}"]
-PHONES = ["+44 20 7946 0{3}", "020 7946 0{3}", "+1 {3} 555 0{3}", "({3}) 555-0{3}", "{3}-555-0{3}", "{3}.555.0{3}", "+33 6 39 98 {2} {2}", "01 99 00 {2} {2}", "+49 (0)30 23125-{3}", "0049 30 23125{3}", "030 23125 {3}", "+{2} {3} {3} {4}", "0{2} {4} {4}", "+49 30 {5}-{3}"]
-IDS = ["{4}-{4}-{2}", "{3} {3} {3}", "{11}", "{6}/{4}", "L{7}", "LL {2} {2} {2} {2} L", "{8}L", "{9}", "{3}-{2}-{4}"]
-# The sentences around a span: * stands for the span (fixed values).
-AROUND = {
-    "email": ["Write to * for copies.", "Replies go to *, please.", "Contact *.", "mailto:*", "E-mail: *", "E-Mail: *", "Courriel : *", "Correo: *", "(*)", "Écrire à *.", "Bitte an * schreiben.", "请写信至 * 。", "邮箱：*", "Пишите на *.", "Scrivere a *.", "*", "$P, *", "One missing specimen: *", "Escriba a *.", "Escreva para *.", "Schrijf naar *."],
-    "phone": ["Call * before noon.", "Tel. *", "Tel.: *", "Phone *", "Fax *", "mobile *", "The desk can be reached on *.", "Mobil: *", "Erreichbar unter *.", "Telefon *", "Téléphone : *", "Appeler le * le matin.", "Teléfono: *", "Llame al * por la mañana.", "Telefone: *", "Telefono: *", "Telefoon: *", "电话：*", "联系电话 * 。", "*", "$P, *", "Тел. *", "Звоните *."],
-    "id_number": ["Passport *", "ID: *", "ID no. *", "Nat. ID: *", "Tax number *", "Social insurance number: *", "The identity card bears the number *.", "Pasaporte n.º *", "Personalausweis Nr. *", "Ausweisnummer *", "Steuernummer: *", "Carta d'identità n. *", "Codice fiscale *", "Paspoort *", "BSN *", "证件号：*", "护照 * 已出示。", "Паспорт *", "ИНН *", "Passeport n° *", "N° de sécurité sociale : *", "DNI *", "Passaporte n.º *", "NIF: *", "Reisepass *", "Insurance no. *", "Steuer-ID *"],
-    "address": ["He lives at *.", "Address: *", "Resident at *.", "The parcel went to * in $P.", "Return the box to *, $P.", "Wohnhaft * in $P.", "Anschrift: *", "Demeurant *.", "Adresse : *", "Dirección: *", "Vive en *, $P.", "Indirizzo: *", "Abita in *.", "Morada: *", "Residente em *, $P.", "Adres: *", "Woont in de *.", "*, $P", "Das Paket ging an *."],
-    "name": ["* signed the sheet.", "Dear *,", "Witness: *", "Please ask for *.", "We spoke to * about the missing leaf.", "* has the key.", "Mr * asked for a new scan.", "According to Mrs *, nothing was lost.", "Dr. * has the key.", "The page was checked by *.", "Herr * bittet um eine Kopie.", "Frau Dr. * hat den Schlüssel.", "Ansprechpartner: *", "Geprüft von *.", "cc: *", "Vérifié par *.", "* a signé la feuille.", "Lecteur : *", "Cordialement, *", "Madame * demande une copie.", "cc: M. *", "Lector: *", "Revisado por *.", "* firmó la hoja.", "La hoja gris – *", "Verificado por *.", "Atenciosamente, *", "Controllato da *.", "* ha firmato il foglio.", "Cordiali saluti, *", "Nagekeken door *.", "* heeft het blad getekend.", "Mevrouw * vraagt een kopie.", "12. * | the iron letter", "* | jede lose Liste", "In the spring, * signed the list.", "Señora * pide una copia.", "Signora * chiede una copia.", "Senhor * pede uma cópia.", "* wiederholt jede alte Mühle.", "According to Mrs *, nothing was lost.", "Sr. * pide una copia."],
-    "": ["See pages #3-#4.", "Batch #4-#4-#2, box #2.", "Invoice no. #4-#2", "Plate #4 #4 #4.", "Version 2.5.#2, build #8.", "Order L#4 was cancelled.", "Shelf mark MS #4/#2.", "Dated 14.09.19#2.", "Total: #4.#2 for #2 reels.", "Ratio @ #2 dpi, setting 7.", "Unit L5-#4 covers each letter.", "The $P Paper Company sent samples.", "The mill at $P Bridge is closed.", "Printed by $S & Sons Ltd.", "Gedruckt bei $S Papier GmbH.", "Impreso en Papelera $S SA.", "Lot #4-#4-#2.", "Rechnung Nr. #4-#2", "Charge #3-#4-#2.", "馆藏号 MS #4/#2。", "发票号 #4-#2", "见第#2-#4页。", "Near $P, the upper page covers each empty shelf.", "Readers from $P asked whether the list is kept.", "In $P, the iron crate shows one quiet valve on page #3 and again on page #3.", "Von den #3 Blättern in $P verdeckt die alte Karte jede Liste.", "À $P, chaque note explique la page #3.", "De las #3 hojas, esta caja de $P muestra cada lista.", "Imprimé chez $S et Fils SARL.", "Of the #3 copies kept at $P, only each shared orchard supports the loose type case.", "Сhарtеr #2", "Q-#4 ", "The loose valve of $P follows each narrow crate.", "(see item #3)", "Ulica $P #4", "Stampato da Tipografia $S srl.", "Gedrukt bij $S Papier BV.", "Impresso na Gráfica $S Lda.", "$P Street #3 sheets", "Both the plain kiln and each lamp were sent to $P, where the damp map stays."],
-}
-# The same in Russian, for names and for what is none (fixed values).
-AROUND_RU = {
-    "name": ["Читатель: *", "Проверил *.", "Проверила *.", "* подписал лист.", "* подписала лист.", "cc: *", "С уважением, *", "Свидетель: *", "Уважаемый *,", "Господин * просит копию.", "Госпожа * просит копию.", "По словам г-жи *, ничего не пропало.", "Ключ у г-на *.", "Этот новый чертёж – *", "12. * | каждый полный амбар", "Весной, * исправляет этот сырой лист.", "На обороте, * описывает каждый узкий журнал.", "Обратитесь к *."],
-    "": ["Каждый узкий амбар исправляет этот лист у окна.", "Из #3 листов в $P этот тёмный мост закрывает каждый список.", "Этот печатный отчёт показывает страницу #3.", "Время от времени каждый редкий журнал хранится в $P.", "Насколько известно, ничего не пропало.", "Старый чертёж лежит внизу страницы #2.", "Проверил склад. Новый план хранится в западном крыле.", "НОВЫЙ КАТАЛОГ"],
-}
-_TITLES = {"Mr", "Mrs", "Ms", "Dr", "Prof", "Herr", "Frau", "M", "Mme", "Madame", "Monsieur", "Sr", "Sra", "Señor", "Señora", "Sig", "Signor", "Signora", "Dott", "Dhr", "Mevrouw", "Meneer", "Senhor", "Senhora", "Dear", "Don", "Doña", "Mlle", "Miss", "Sir",
-           "Господин", "Господина", "Господину", "Госпожа", "Госпожи", "Госпоже", "Г-н", "Г-на", "Г-ну", "Г-жа", "Г-жи", "Г-же", "Гражданин", "Гражданка", "Уважаемый", "Уважаемая", "Доктор", "Профессор"}
-# Words that open sentences or clauses and are no given names (fixed values).
-_OPENERS = set("The In At On Of Near Nobody Readers One Each Both If While Since For From By And But Or So Unit To See Why How Whoever Do Compare There Until Unless Whereas Although Because After Before As It Under During Not Only Call Write Contact Address Resident Return Replies Please We He She Page Order Batch Plate Lot Invoice Version Total Ratio Dated Shelf Printed Fax Phone Tel Bei Von Das Der Die Und Aber In Im Seit Nach Vor Am Auf Jede Jeder Jedes Nicht Unter Gegen Bitte Le La Les Ce Cette Chaque De Des Du À Au Sur Dès Et Mais En El Los Las Esta Este Cada Al Del O A Os As Um Uma Em Da Do Das Pelo Il Lo Gli Un Una Questo Questa Ogni Dei Dal Nel Het Elke Van Aan Op Te Sinds Voor Als Een Q ID Zum Zur Bien Pour Por Para Antes Depois Después Depuis Durante Tandis Lorsque Après Avant Autant Sans Dans Sous Alors Puisque Parce Quand Jusqu Com Sem Quando Enquanto Porque Embora Até Dopo Prima Anche Mentre Poiché Finché Secondo Verso Nonostante Met Zonder Terwijl Omdat Hoewel Nadat Voordat Ook Atenciosamente Cordialement Cordialmente Atentamente Sincerely Faithfully Regards Saluti Grüßen Groet Groeten Saludos Cumprimentos Hochachtungsvoll Distintamente Yours Reader Witness Lecteur Lector Leitor Lettore Lezer Zeuge Leser Témoin Testigo Signed "
-              "В Во На Из Но А И К Ко С Со У О Об От До По За Под Над При Для Без Через Между Около После Перед Когда Если Пока Хотя Потому Поэтому Чтобы Как Где Кто Что Это Этот Эта Эти Тот Та Те Каждый Каждая Каждое Все Всё Никто Ни Не Один Одна Оба Ближе Время Насколько Весной Летом Осенью Зимой Утром Вечером Сегодня Вчера Он Она Они Мы Вы Я "
-              "Проверил Проверила Подписал Подписала Пишите Звоните Обратитесь Читатель Свидетель Почта Телефон Тел Факс Паспорт Номер Адрес Страница Раздел Глава Уважением".split())
-_FIRM_WORDS = set("Ltd GmbH Sons Papier Paper Company Fils SARL Papelera Tipografia Gráfica Cartiera Papelaria Drukkerij Bridge Library".split())
-_LOW_TITLES = (" signor ", " signora ", " senhor ", " senhora ", " señor ", " señora ", " madame ", " monsieur ", " mevrouw ", " meneer ", " doctor ", " dottor ", " dottoressa ", " herr ", " frau ", " господин ", " госпожа ", " г-н ", " г-на ", " г-ну ", " г-жа ", " г-жи ", " г-же ")
-
 _CHARS = " \n" + "abcdefghijklmnopqrstuvwxyz" + "ABCDEFGHIJKLMNOPQRSTUVWXYZ" + "абвгдеёжзийклмнопрстуфхцчшщъыьэюя" + "АБВГДЕЁЖЗИЙКЛМНОПРСТУФХЦЧШЩЪЫЬЭЮЯ" + "0123456789" + "+-()[]/.,:;@＠'\"|&_º°–—?!#*"
 _SYMBOL = {c: i + 1 for i, c in enumerate(_CHARS)}
-_LOWER, _UPPER, _CJK, _OTHER = (len(_CHARS) + 1 + i for i in range(4))
-SYMBOLS = len(_CHARS) + 5
+# Chinese characters that announce something or are frequent stand for themselves; the others for what they are in names.
+_HAN = "的一这那份在了是联系人读者证件签名请找电话邮箱护照号码税先生女士，。：、"
+_LOWER, _UPPER, _CJK, _OTHER, _SURNAME, _GIVEN, *_OWN = (len(_CHARS) + 1 + i for i in range(6 + len(_HAN)))
+SYMBOLS = len(_CHARS) + 7 + len(_HAN)
 _TABLE = np.full(0x10000, _OTHER, np.int16)
 for _i in range(0x80, 0x3000):
     _TABLE[_i] = _LOWER if chr(_i).islower() else _UPPER if chr(_i).isupper() else _OTHER
@@ -75,6 +39,9 @@ _TABLE[0x3400:0xA000] = _CJK
 for _c, _s in _SYMBOL.items():
     _TABLE[ord(_c)] = _s
 _TABLE[0xA0] = _SYMBOL[" "]
+for _group, _s in ((HAN_GIVEN, [_GIVEN] * len(HAN_GIVEN)), (HAN_SURNAMES, [_SURNAME] * len(HAN_SURNAMES)), (_HAN, _OWN)):
+    for _c, _k in zip(_group, _s):
+        _TABLE[ord(_c)] = _k
 
 
 def symbols(text: str) -> np.ndarray:
@@ -82,275 +49,119 @@ def symbols(text: str) -> np.ndarray:
     return _TABLE[np.minimum(c, 0xFFFF)]
 
 
-def _digits(r, pattern: str) -> str:
-    out = re.sub(r"\{(\d+)\}", lambda m: "".join(r.choice("0123456789") for _ in range(int(m[1]))), pattern)
-    return re.sub("#(\\d)", lambda m: "".join(r.choice("0123456789") for _ in range(int(m[1]))), out)
-
-
-def _surname_ru(r) -> str:
-    return r.choice(SYLLABLES_RU) + r.choice(MIDDLES_RU) + r.choice(PERSON_ENDS_RU)
-
-
-def _surname(r) -> str:
-    s = r.choice(SYLLABLES_A) + r.choice(SYLLABLES_B) + r.choice(["", "", "o"]) + r.choice(PERSON_ENDS)
-    return s
-
-
-def _place(r) -> str:
-    return r.choice(SYLLABLES_A) + r.choice(SYLLABLES_B) + r.choice(PLACE_ENDS)
+_MODEL: list[BiLstmCrf] = []
+
+
+def trained() -> BiLstmCrf:
+    """The model that comes with the package, read once a process."""
+    if not _MODEL:
+        _MODEL.append(BiLstmCrf.load(WEIGHTS))
+    return _MODEL[0]
+
+
+def windows(size: int) -> list[tuple[int, int, int, int]]:
+    """(first, last, from, to) of the windows over a text of ``size``: its bounds, and the places whose tags it decides."""
+    step = WINDOW - 2 * MARGIN
+    if size <= WINDOW:
+        return [(0, size, 0, size)] if size else []
+    out, a = [], 0
+    while True:
+        b = min(size, a + WINDOW)
+        out.append((a, b, a + MARGIN if a else 0, b - MARGIN if b < size else size))
+        if b == size:
+            return out
+        a += step
+
+
+_WORD = re.compile(r"[^\W_㐀-鿿]+")
+_EDGE = {"phone": (re.compile(r"[\d+(]"), re.compile(r"\d")), "": (re.compile(r"\w"), re.compile(r"[\wº°]"))}
+
+
+def _bounded(text: str, kind: str, tags: np.ndarray, s: int, e: int) -> tuple[int, int] | None:
+    """A run's bounds at whole words (a word belongs to it if half of its letters do), without white space and punctuation at the ends."""
+    for at in (s, e - 1):
+        m = _word_at(text, at)
+        if m and (m[0] < s or m[1] > e):
+            inside = int((tags[m[0] : m[1]] == tags[at]).sum())
+            if at == s:
+                s = m[0] if 2 * inside >= m[1] - m[0] else min(m[1], e)
+            else:
+                e = m[1] if 2 * inside >= m[1] - m[0] else max(m[0], s)
+    first, last = _EDGE.get(kind, _EDGE[""])
+    while s < e and not first.match(text, s):
+        s += 1
+    initial = kind == "name" and text[e - 1 : e] == "." and e - s > 2 and text[e - 2].isupper() and not text[e - 3].isalnum()
+    while s < e and not initial and not last.match(text, e - 1):
+        e -= 1
+    return (s, e) if s < e else None
+
+
+def _possible(kind: str, value: str) -> bool:
+    """The exact check after the model: whether a value can be of its kind at all. It only drops spans; it proposes none."""
+    digits = sum(c.isdigit() for c in value)
+    if kind == "email":
+        return bool(re.search(r"[@＠]|\bat\b", value))
+    if kind in ("phone", "id_number"):
+        return digits >= 5
+    if kind == "address":
+        return digits > 0 and any(c.isalpha() for c in value)
+    return any(c.isalpha() for c in value)
 
 
-def _value(r, kind: str, around: str) -> str:
-    if kind == "phone":
-        return _digits(r, r.choice(PHONES))
-    if kind == "id_number":
-        return re.sub("L", lambda m: r.choice("ABCDEHKLQSTWZ"), _digits(r, r.choice(IDS)))
-    if kind == "address":
-        s = r.choice(SYLLABLES_A) + r.choice(SYLLABLES_B) + r.choice(STREET_ENDS)
-        return r.choice(STREETS).format(n=f"{r.randrange(1, 260)}{r.choice(['', '', '', 'a', 'b', 'c'])}", s=s)
-    if kind == "name":
-        russian = bool(re.search("[а-я]", around)) or around == "cc: *" and r.random() < 0.2
-        surname, given, initials = (_surname_ru, GIVEN_RU, "АБВГДЕЖЗИКЛМНОПРСТФЭЮЯ") if russian else (_surname, GIVEN, "ABCDEFGHJKLMNPRSTW")
-        s, g = surname(r), r.choice(given)
-        s = f"{s}-{surname(r)}" if r.random() < 0.08 else s
-        if re.search(r"(Господин|Госпожа|г-жи|г-на|Mr|Mrs|Herr|Frau Dr\.|Dr\.|Madame|Mevrouw|Señora|Signora|Senhor|Sr\.|M\.) \*", around) and r.random() < 0.7:
-            return s
-        form = r.random()
-        n = f"{g} {s}" if form < 0.5 else f"{s}, {g}" if form < 0.65 else f"{g[0]}. {s}" if form < 0.82 else f"{g} {r.choice(initials)}. {s}"
-        return n.upper() if r.random() < 0.06 else n.replace(" ", "\n", 1) if r.random() < 0.05 else n
-    a, b = _surname(r).lower(), r.choice(GIVEN).lower()
-    local = r.choice([f"{b}.{a}", f"{a}_{r.randrange(99)}", "info", "reading.room", f"{b}+scan", f"{b[0]}{a}", f"{a}-{b}", f"{b.title()}.{a.title()}"])
-    at, dot = r.choice([("@", ".")] * 6 + [("(at)", "(dot)"), (" [at] ", "."), (" @ ", "."), ("＠", "."), ("[at]", "[dot]"), (" (at) ", " (dot) ")])
-    domain = r.choice([f"{_place(r).lower()}{r.choice(['', '-archive'])}{dot}{r.choice(['test', 'example', 'invalid', f'mail{dot}test', f'mail{dot}example'])}", f"example{dot}{r.choice(['com', 'org', 'net'])}"])
-    return local + at + domain
-
-
-def examples(n: int = EXAMPLES, seed: int = 17) -> tuple[np.ndarray, np.ndarray]:
-    """Symbols and tags of ``n`` windows with labelled spans, two or three sentences each."""
-    r = random.Random(seed)
-    x, y = np.zeros((n, LENGTH), np.int16), np.zeros((n, LENGTH), np.int8)
-    pool = [(k, a) for k in KINDS for a in AROUND[k] for _ in range(3 if k == "name" else 2)] + [("", a) for a in AROUND[""] for _ in range(4)]
-    pool += [(k, a) for k, around in AROUND_RU.items() for a in around for _ in range(2)]
-    fill = lambda s: _digits(r, re.sub(r"\$S", lambda m: _surname(r), re.sub(r"\$P", lambda m: _place(r), s)))
-    for i in range(n):
-        text, tags = "", []
-        while len(text) < LENGTH + 20:
-            kind, around = r.choice(pool)
-            around = re.sub("L(?=\\d|#)", lambda m: r.choice("ABDFKMQX"), around)
-            before, _, after = fill(around).partition("*") if "*" in around else (fill(around), "", "")
-            text += before
-            tags += [0] * len(before)
-            if "*" in around:
-                v = _value(r, kind, around)
-                k = 1 + 2 * KINDS.index(kind)
-                text += v
-                tags += [k] + [k + 1] * (len(v) - 1)
-            sep = r.choice([" ", "\n", "\n\n", " "])
-            text += after + sep
-            tags += [0] * (len(after) + len(sep))
-        at = r.randrange(0, len(text) - LENGTH + 1)
-        if r.random() < 0.6:
-            at = 0
-        x[i] = symbols(text[at : at + LENGTH])
-        y[i] = tags[at : at + LENGTH]
-        if y[i][0] and y[i][0] % 2 == 0:
-            y[i][0] -= 1
-    return x, y
-
-
-_MODELS: dict[tuple, BiLstmCrf] = {}
-
-
-def fit(n: int = EXAMPLES, seed: int = 17) -> BiLstmCrf:
-    """The model trained on ``n`` windows (a documented bound); kept for the process, as it depends on nothing else."""
-    if (n, seed) not in _MODELS:
-        x, y = examples(n, seed)
-        _MODELS[n, seed] = BiLstmCrf(SYMBOLS, len(TAGS)).fit(x, y)
-    return _MODELS[n, seed]
-
-
-_DOMAIN = r"(?:[\w-]+\s?(?:\.|[(\[]\s?dot\s?[)\]])\s?)+(?:[a-z]{2,})"
-_EMAIL = re.compile(r"[\w.+-]+(?:\s?[@＠]\s?|\s?[(\[]\s?at\s?[)\]]\s?)(?:[\w-]+(?:\.|\s?[(\[]\s?dot\s?[)\]]\s?))+[A-Za-z]{2,}(?![\w])")
-_PHONE = re.compile(r"(?:\+\d{1,3}|\(\d{2,5}\)|\d)(?:[ \t./()-]{0,3}\d){6,15}(?![\d])")
-_ID = re.compile(r"(?<![A-Za-z0-9-])(?:[A-Z]{1,2}(?:[ \t]?\d{2}){3,4}(?:[ \t]?[A-Z])?|[A-Z]{1,2}\d{6,9}[A-Z]?|\d{2,9}(?:[-/ .]\d{2,9}){1,4}[A-Z]?|\d{7,12}[A-Z]?)(?![A-Za-z0-9-])")
-# Labels that say which kind a number is (fixed values).
-_ID_LABEL = re.compile(r"(?i)(?:pass|\bID\b|\bnat\b|\btax|insurance|identi|ausweis|steuer|\bcarta d|codice|fiscal|paspoort|\bBSN|证件|护照|身份|税|паспорт|\bИНН|снилс|удостовер|\bNIF|\bNIE|\bDNI|\bCPF|\bNISS|social|sécurité|sociale|bilhete|contribu|versicherung|rijksregister|burgerservice|assur|seguridad|previd)[^\n\d]{0,34}$")
-_PHONE_LABEL = re.compile(r"(?i)(?:\btel|\bfax|phone|mobil|\bcall|reached on|erreichbar|appeler|llame|ligue|chiam|\bbel\b|电话|传真|тел|звон|факс|móvil|celular|portable|cell)[^\n\d+(]{0,24}$")
-_PHONE_SHAPE = re.compile(r"(?:\+|\(|00?\d|\(?\d{3}\)?[-. ]\d{3}[-. ]\d{4}(?!\d))")
-_STREET_EN = r"(?:Street|Road|Lane|Avenue|Court|Terrace|Quay|Square|Drive|St|Rd|Ave|Ln)"
-_ADDRESS = re.compile(
-    rf"\d{{1,4}} ?[a-z]?\s[A-Z][\w'-]+\s{_STREET_EN}\b|\d{{1,4}} ?[a-z]?(?: bis| ter)?,?\s(?:rue|quai|impasse|avenue|place|chemin|boulevard|allée)\s(?:de\s|du\s|des\s)?[A-Z][\w'-]+"
-    r"|(?:[Cc]alle|[Aa]venida|[Pp]laza|[Pp]aseo|[Rr]ua|[Tt]ravessa|[Ll]argo|[Vv]ia|[Cc]orso|[Pp]iazza|[Vv]iale|[Vv]icolo|[Pp]raça|[Cc]amino|[Rr]onda)\s[A-Z][\w'-]+,?\s(?:n\.?[º°]\s?)?\d{1,4}(?: ?[a-z]\b)?"
-    r"|[A-ZÄÖÜ][\w-]+(?:straße|strasse|str\.|platz|weg|gasse|allee|ring|ufer|damm|straat|laan|kade|gracht|plein|singel|dijk|steeg)\s\d{1,4}(?: ?[a-z]\b)?")
-_U, _L = "A-ZÀ-ÖØ-ÞЀ-Я", "a-zß-öø-ÿа-џ"  # capital and small letters, Latin and Cyrillic
-_CAP = rf"[{_U}][{_L}'’]+(?:-[{_U}][{_L}]+)*"
-_UP = rf"[{_U}]{{3,}}(?:-[{_U}]{{3,}})*"
-_GAP = r"[  \t]*\n?[  \t]*"
-_NAME = re.compile(rf"{_CAP},{_GAP}(?:{_CAP}|[{_U}]\.)(?:\s[{_U}]\.)?|(?:{_CAP}|[{_U}]\.){_GAP}(?:[{_U}]\.{_GAP})?{_CAP}|{_UP},? {_UP}|{_CAP}")
-# Places that can hold something of a kind; it only decides where the model looks.
-_ANCHOR = re.compile(
-    rf"(?=[@＠(\[\d{_U}])(?:[@＠]|[(\[]\s?at\s?[)\]]|(?<!\d)\d(?:[ \t./()-]{{0,3}}\d){{6,}}|(?<!\d)\d{{1,4}} ?[a-z]?(?: bis| ter)?,? (?:[A-Z][\w'-]+ {_STREET_EN}\b|(?:rue|quai|impasse|avenue|place|chemin|boulevard|allée)\s)"
-    rf"|\b[{_U}](?:[{_L}'’-]+(?:,(?=\s(?:n\.?[º°]\s?)?\d{{1,4}}\b)|(?<=straße|gracht|singel|straat)(?=\s\d)|(?<=platz|gasse|allee|plein|steeg)(?=\s\d)|(?<=laan|kade|dijk|damm|ring|ufer)(?=\s\d)|(?<=weg)(?=\s\d)|,?(?=\s{{1,2}}(?:[{_U}]\.\s{{1,2}})?[{_U}][{_L}.]))|\.(?=\s{{1,2}}(?:[{_U}]\.\s{{1,2}})?[{_U}][{_L}])|[{_U}]{{2,}},?(?=\s[{_U}]{{4,}})|[A-Z]?\d{{6,}}|[A-Z] \d\d \d\d))")
-_BEFORE = re.compile(rf"\b({_CAP},?|{_UP},?|[{_U}]\.)\s{{1,2}}(?:[{_U}]\.\s{{1,2}})?$")
-_FIRM = re.compile(r"\s*(?:&|and Sons|et Fils|Paper|Papier|Company|Ltd|GmbH|SA\b|S\.A|SARL|srl|BV\b|Lda|Bridge|Street|Road|Hall|Library)")
-_FIRM_BEFORE = re.compile(r"(?:Papelera|Tipografia|Gráfica|Imprimerie|Papeterie|Cartiera|Papelaria|Drukkerij|Printed by|Gedruckt bei|Impreso en|Imprimé chez|Stampato da|Gedrukt bij|Impresso na)\s*$")
-
-
-def anchors(text: str) -> list[tuple[int, int]]:
-    """Windows, merged where they overlap, around the places that can hold personal information."""
-    out: list[tuple[int, int]] = []
-    places = [m.span() for m in _ANCHOR.finditer(text) if m[0] not in _OPENERS]
-    for title in _LOW_TITLES:
-        at = text.find(title)
-        while at >= 0:
-            places.append((at, at + len(title)))
-            at = text.find(title, at + 1)
-    for s, e in sorted(places):
-        a, b = max(0, s - MARGIN), min(len(text), e + MARGIN)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
-
-
-def _snap(text: str, kind: str, a: int, b: int) -> list[tuple[int, int]]:
-    """The exact bounds of what a kind can be near [a, b); nothing where nothing of that form stands there."""
-    lo, hi = max(0, a - 40), min(len(text), b + 40)
-    pattern = {"email": _EMAIL, "phone": _PHONE, "id_number": _ID, "address": _ADDRESS, "name": _NAME}[kind]
-    if kind == "name":
-        lo = _word_start(text, a)
-        if (m := _BEFORE.search(text, max(0, lo - 30), lo)) and m[1].strip(".,") not in _OPENERS | _TITLES:
-            lo = m.start()
-    found = []
-    for m in pattern.finditer(text, lo, hi):
-        s, e = m.span()
-        over = min(e, b) - max(s, a)
-        if over <= 0:
-            continue
-        if kind == "name":
-            found += _names(text, s, e)
-        elif over >= 0.4 * (b - a) and (kind != "id_number" or _plausible_id(text, s, e)):
-            found.append((s, e))
-    return found if kind == "name" else sorted(found, key=lambda x: -(min(x[1], b) - max(x[0], a)))[:1]
-
-
-def _plausible_id(text: str, s: int, e: int) -> bool:
-    """A number without a label before it counts only in a form that is its own, with letters."""
-    return bool(_ID_LABEL.search(text[max(0, s - 60) : s].replace("\n", " ")) or re.fullmatch(r"[A-Z]{1,2}(?: ?\d\d){3,4} ?[A-Z]|\d{8}[A-Z]", text[s:e]))
-
-
-def _names(text: str, s: int, e: int) -> list[tuple[int, int]]:
-    """The name that stands in [s, e), without titles and opening words; none for firms and for single words without a title."""
-    parts = text[s:e].split()
-    cut = False
-    while len(parts) > 1 and (parts[0].strip(".,") in _TITLES or parts[0].strip(".,") in _OPENERS):
-        s = text.index(parts[1], s + len(parts[0]))
-        parts = parts[1:]
-        cut = True
-    if cut and (m := _NAME.match(text, s)):
-        e = m.end()
-        parts = text[s:e].split()
-    if any(p.strip(".,") in _OPENERS | _TITLES | _FIRM_WORDS for p in parts) or _FIRM.match(text, e) or _FIRM_BEFORE.search(text[max(0, s - 16) : s]):
-        return []
-    if len(parts) == 1:
-        before = text[max(0, s - 14) : s].split()
-        if not before or before[-1].strip(".").title() not in _TITLES and before[-1].strip(".") not in _TITLES:
-            return []
-    return [(s, e)]
-
-
-def _word_start(text: str, a: int) -> int:
-    while a > 0 and (text[a - 1].isalnum() or text[a - 1] in "-'."):
+def _word_at(text: str, at: int) -> tuple[int, int] | None:
+    if not _WORD.match(text[at]):
+        return None
+    a = b = at
+    while a and _WORD.match(text[a - 1]):
         a -= 1
-    return a
+    while b < len(text) and _WORD.match(text[b]):
+        b += 1
+    return a, b
 
 
 class Finder:
     def __init__(self, model: BiLstmCrf):
         self.model = model
 
+    def tags(self, texts: list[str | None]) -> list[np.ndarray]:
+        """One tag a character of each text: 0, or 1 + the number of its kind."""
+        sym = [symbols(t or "") for t in texts]
+        places = [(k, *w) for k, s in enumerate(sym) for w in windows(len(s))]
+        found = self.model.decode([sym[k][a:b] for k, a, b, _, _ in places])
+        out = [np.zeros(len(s), np.int8) for s in sym]
+        for (k, a, _, lo, hi), y in zip(places, found):
+            out[k][lo:hi] = y[lo - a : hi - a]
+        return out
+
     def spans(self, texts: list[str | None]) -> list[list[tuple[str, int, int]]]:
         """(kind, start, stop) of each text, in order, none overlapping."""
-        pieces = []
-        for k, t in enumerate(texts):
-            for a, b in anchors(t) if t else ():
-                while b - a > WINDOW:  # long stretches: windows that overlap by a margin on both sides
-                    pieces.append((k, a, a + WINDOW))
-                    a += WINDOW - 2 * MARGIN
-                pieces.append((k, a, b))
-        tags = {}
-        order = sorted(range(len(pieces)), key=lambda i: pieces[i][2] - pieces[i][1])
-        sym = [symbols(t) if t else None for t in texts]
-        for i in range(0, len(order), 256):
-            part = order[i : i + 256]
-            size = max(pieces[j][2] - pieces[j][1] for j in part)
-            x = np.zeros((size, len(part)), np.int64)
-            for c, j in enumerate(part):
-                k, a, b = pieces[j]
-                x[: b - a, c] = sym[k][a:b]
-            y = self.model.decode(x, LENIENT)
-            for c, j in enumerate(part):
-                tags[j] = y[: pieces[j][2] - pieces[j][1], c]
-        found: list[list[tuple[str, int, int]]] = [[] for _ in texts]
-        for j, (k, a, b) in enumerate(pieces):
-            y = tags[j]
-            on = np.flatnonzero(y)
-            if not len(on):
-                continue
-            start = kind = None
-            runs = []
-            for i in range(len(y) + 1):
-                tag = y[i] if i < len(y) else 0
-                this = (tag + 1) // 2 if tag else 0
-                if start is not None and (this != kind or tag % 2 == 1):
-                    runs.append((KINDS[kind - 1], a + start, a + i))
-                    start = None
-                if this and start is None:
-                    start, kind = i, this
-            for kind_, s, e in runs:
-                found[k] += self._check(texts[k], kind_, s, e)
-        return [self._reconcile(f) for f in found]
-
-    def _check(self, text: str, kind: str, s: int, e: int) -> list[tuple[str, int, int]]:
-        if e - s < 3:
-            return []
-        if kind in ("phone", "id_number"):  # a label before the number, else its form, decides between the two
-            before = text[max(0, s - 44) : s]
-            if _ID_LABEL.search(before):
-                kind = "id_number"
-            elif _PHONE_LABEL.search(before):
-                kind = "phone"
-            elif kind == "id_number" and _PHONE_SHAPE.match(text, s):
-                kind = "phone"
-        for k in ("address", "name") if kind == "name" else (kind, "email", "address"):
-            if got := _snap(text, k, s, e):
-                return [(k, *g) for g in got]
-        return []
-
-    @staticmethod
-    def _reconcile(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-        """Windows overlap: of spans that overlap, the longest stands."""
-        out: list[tuple[str, int, int]] = []
-        for s in sorted(set(spans), key=lambda s: (-(s[2] - s[1]), s[1], KINDS.index(s[0]))):
-            if all(s[2] <= o[1] or s[1] >= o[2] for o in out):
-                out.append(s)
-        return sorted(out, key=lambda s: s[1])
+        out = []
+        for t, y in zip(texts, self.tags(texts)):
+            found, last = [], 0
+            if len(y) and y.any():
+                cut = np.flatnonzero(np.diff(y)) + 1
+                for s, e in zip(np.append(0, cut).tolist(), np.append(cut, len(y)).tolist()):
+                    if y[s] and e > last and (got := _bounded(t, KINDS[y[s] - 1], y, max(s, last), e)) and _possible(KINDS[y[s] - 1], t[got[0] : got[1]]):
+                        found.append((KINDS[y[s] - 1], *got))
+                        last = got[1]
+            out.append(found)
+        return out
 
 
 def find_pii(documents: DataFrame, model: BiLstmCrf | None = None) -> DataFrame:
     """Each piece of personal information: ``doc_id``, ``pii_kind``, ``start``, ``stop``, ``pii_value`` (white space as one blank).
 
-    Columns used: ``doc_id``, ``text``. Null and empty texts hold none; repeated rows give repeated rows. Texts are scanned whole, in
-    one pass without a shuffle.
+    Columns used: ``doc_id``, ``text``. Null and empty texts hold none; repeated rows give repeated rows. Every character of every
+    text is decoded, in one pass without a shuffle.
     """
-    shared = documents.sparkSession.sparkContext.broadcast(model or fit())
+    shared = documents.sparkSession.sparkContext.broadcast(model or trained())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         finder = Finder(shared.value)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, TEXTS):
+                part = b.slice(i, TEXTS)
                 texts = part.column("text").to_pylist()
                 rows = [(d, k, s, e, re.sub(r"\s+", " ", t[s:e])) for d, t, found in zip(part.column("doc_id").to_pylist(), texts, finder.spans(texts)) for k, s, e in found]
                 kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.string())
@@ -361,13 +172,14 @@ def find_pii(documents: DataFrame, model: BiLstmCrf | None = None) -> DataFrame:
 
 def mask_pii(documents: DataFrame, model: BiLstmCrf | None = None) -> DataFrame:
     """``doc_id`` and ``text`` with ``[EMAIL]``, ``[PHONE]``, ``[ID_NUMBER]``, ``[ADDRESS]`` and ``[NAME]`` in place of what was found, else unchanged."""
-    shared = documents.sparkSession.sparkContext.broadcast(model or fit())
+    shared = documents.sparkSession.sparkContext.broadcast(model or trained())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         finder = Finder(shared.value)
         for b in batches:
-            for i in range(0, b.num_rows, 256):
-                part = b.slice(i, 256)
+            for i in range(0, b.num_rows, TEXTS):
+                part = b.slice(i, TEXTS)
                 texts = part.column("text").to_pylist()
                 out = []
                 for t, found in zip(texts, finder.spans(texts)):
