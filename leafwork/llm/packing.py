@@ -3,15 +3,16 @@
 Sizes are tokens of a public tokenizer. Documents are spread by row over shards of about ``SHARD_CONTAINERS`` containers; each
 shard is partitioned into ``ceil(total / capacity)`` windows by multiway differencing: every item starts as a partial partition
 with one filled window, and the two partial partitions of largest imbalance are merged with opposing order, until one is left.
-Where a window exceeds the capacity its excess items go to the windows they fill best, and the window count rises for what
-fits nowhere. A document larger than the capacity is cut into full containers and one rest; no other document is split.
+Where windows exceed the capacity, the fullest of those that do not are containers, and the items of all others are partitioned
+anew; the window count rises whenever no window of a run is full enough to be kept. So every container is a window of a
+differencing run. A document larger than the capacity is cut into full containers and one rest; no other document is split.
 """
 
 from __future__ import annotations
 
 import base64
 import heapq
-from bisect import bisect_left, insort
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -20,29 +21,36 @@ from pyspark.sql import functions as F
 
 from leafwork.shared import stage
 
-TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 #: How the rank files' tokenizers split text before merging (fixed value).
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 SHARD_CONTAINERS, SHARD_ITEMS = 256, 4096
+#: Windows this share of the capacity below the fullest one that fits are kept with it, and a first run's only from ``FULL`` on.
+CLOSE, FULL = 0.01, 0.9
+MAX_RANKS = 64_000_000
 SCHEMA = "window_id int, container_id string, doc_id long, piece int, first_token long, tokens long"
-_ENCODERS: dict[str, object] = {}
+_ENCODERS: dict[bytes, object] = {}
 
 
-def encoder(path: str):
-    if path not in _ENCODERS:
+def encoder(ranks: bytes):
+    """The tokenizer of a rank file's content, made once a process."""
+    if ranks not in _ENCODERS:
         import tiktoken
 
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        _ENCODERS[path] = tiktoken.Encoding("public", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={})
-    return _ENCODERS[path]
+        table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks.splitlines())}
+        _ENCODERS[ranks] = tiktoken.Encoding("public", pat_str=SPLIT, mergeable_ranks=table, special_tokens={})
+    return _ENCODERS[ranks]
 
 
-def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
-    """(``doc_id``, ``tokens``) of each row; a null or empty text has 0."""
+def token_counts(documents: DataFrame, tokenizer: str) -> DataFrame:
+    """(``doc_id``, ``tokens``) of each row; a null or empty text has 0. ``tokenizer`` is a rank file on the driver, of ``MAX_RANKS`` bytes at
+    most, which is sent to the executors."""
+    if os.path.getsize(tokenizer) > MAX_RANKS:
+        raise ValueError(f"{tokenizer} has more than {MAX_RANKS} bytes")
+    with open(tokenizer, "rb") as f:
+        ranks = documents.sparkSession.sparkContext.broadcast(f.read())
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        e = encoder(tokenizer)
+        e = encoder(ranks.value)
         for b in batches:
             n = [len(e.encode_ordinary(t)) if t else 0 for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64())], ["doc_id", "tokens"])
@@ -89,63 +97,27 @@ def karmarkar_karp(sizes: list[int], k: int) -> list[Part]:
     return heap[0][2] if heap else []
 
 
-def _fit(windows: list[Part], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Windows within the capacity: what exceeds it moves to where it fills best, else into new windows."""
-    kept, loose = [], []
-    for total, items in windows:
-        if total > capacity:
-            items = sorted(items, key=lambda i: -sizes[i])
-            fits, total = [], 0
-            for i in items:
-                if total + sizes[i] <= capacity:
-                    fits.append(i)
-                    total += sizes[i]
-                else:
-                    loose.append(i)
-            items = fits
-        kept.append((total, list(items)))
-    if not loose:
-        return [w for _, w in kept]
-    room = sorted((capacity - t, j) for j, (t, _) in enumerate(kept))
-    for i in sorted(loose, key=lambda i: -sizes[i]):
-        at = bisect_left(room, (sizes[i], -1))
-        if at == len(room):
-            kept.append((0, []))
-            free, j = capacity, len(kept) - 1
-        else:
-            free, j = room.pop(at)
-        kept[j][1].append(i)
-        insort(room, (free - sizes[i], j))
-    return [w for _, w in kept]
-
-
-def _refill(found: list[list[int]], sizes: list[int], capacity: int) -> list[list[int]]:
-    """Dissolve the windows with most room and let each item go where it fills best, while that saves a window."""
-    for share in (0.02, 0.05, 0.1, 0.0):
-        open_ = [w for w in found if capacity - sum(sizes[i] for i in w) > share * capacity]
-        again = _fit([(capacity + 1, [i for w in open_ for i in w])], sizes, capacity) if open_ else []
-        if len(again) < len(open_):
-            found = [w for w in found if capacity - sum(sizes[i] for i in w) <= share * capacity] + [w for w in again if w]
-    return found
-
-
 def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     """Item numbers by container. No size may exceed the capacity; items of size 0 fit anywhere."""
-    if not sizes:
-        return []
-    k = max(1, -(-sum(sizes) // capacity))
-    best = None
-    for _ in range(4):  # the window count rises while the capacity is exceeded
-        found = _fit(karmarkar_karp(sizes, k), sizes, capacity)
-        if best is None or len(found) < len(best):
-            best = found
-        if len(best) <= k + 1:
-            break
-        k += max(1, (len(best) - k) // 2)
-    return best if len(best) == -(-sum(sizes) // capacity) else _refill(best, sizes, capacity)
-
-
-def pack_documents(documents: DataFrame, windows: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
+    out: list[list[int]] = []
+    rest, more = list(range(len(sizes))), 0
+    while rest:
+        k = max(1, -(-sum(sizes[i] for i in rest) // capacity)) + more
+        windows = karmarkar_karp([sizes[i] for i in rest], k)
+        kept = [w for w in windows if w[0] <= capacity]
+        if len(kept) < len(windows):
+            fullest = max((t for t, _ in kept), default=0)
+            kept = [w for w in kept if w[0] >= fullest - CLOSE * capacity] if more or fullest >= FULL * capacity else []
+            if not kept:
+                more += max(1, k // 50)
+                continue
+        out += [[rest[i] for i in items] for _, items in kept]
+        used = {i for _, items in kept for i in items}
+        rest = [x for i, x in enumerate(rest) if i not in used]
+    return out
+
+
+def pack_documents(documents: DataFrame, windows: DataFrame, tokenizer: str) -> DataFrame:
     """Every document assigned to containers of each capacity: ``window_id``, ``container_id``, ``doc_id``, ``piece``,
     ``first_token``, ``tokens``.
 

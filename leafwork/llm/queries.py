@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,9 @@ from leafwork.llm.pii import find_pii, mask_pii
 from leafwork.llm.truncation import truncated
 from leafwork.tables import table
 
+#: The public tokenizer that sizes documents; the operator takes its path as an argument.
+TOKENIZER = os.environ.get("LEAFWORK_TOKENIZER", "/opt/tokenizers/byte_bpe_multi_50k.tiktoken")
+
 
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents and the evaluation items they give away."""
@@ -32,7 +37,7 @@ def p7_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's container for each capacity."""
-    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_windows"))
+    return pack_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pack_windows"), TOKENIZER)
 
 
 def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:

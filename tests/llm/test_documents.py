@@ -8,6 +8,7 @@ from leafwork.llm import leaks, packing, pii, pii_train
 from leafwork.llm.bilstm import BiLstmCrf
 from leafwork.llm.leaks import Automaton, LeakIndex, find_leaks, gram_hashes, remove_leaks
 
+TOKENIZER = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
 WORDS = [f"w{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"]
 
 
@@ -82,6 +83,16 @@ def test_packing(capacity):
         bins = packing.pack(sizes, capacity)
         assert sorted(i for b in bins for i in b) == list(range(n)) and all(sum(sizes[i] for i in b) <= capacity for b in bins)
         assert len(bins) <= 1.12 * (sum(sizes) / capacity) + 2
+        runs = []
+        real = packing.karmarkar_karp
+        try:
+            packing.karmarkar_karp = lambda sizes, k: runs.append(real(sizes, k)) or runs[-1]
+            bins = packing.pack(sizes, capacity)
+        finally:
+            packing.karmarkar_karp = real
+        made = [sorted(sorted(sizes[i] for i in b)) for b in bins]
+        windows = [total for w in runs for total, _ in w]
+        assert all(sum(m) in windows for m in made) and sum(len(b) for b in bins) == n  # nothing but windows of differencing runs
     assert len(packing.pack([5, 5, 4, 4, 3, 3], 8)) == 3  # as exhaustive search finds
     k = packing.karmarkar_karp([8, 7, 6, 5, 4], 2)
     assert sorted(s for s, _ in k) == [14, 16]
@@ -90,7 +101,7 @@ def test_packing(capacity):
 def test_pack_documents(spark):
     docs = spark.createDataFrame([(1, "one two three"), (2, None), (3, ""), (4, "word " * 3000), (1, "one two three"), (None, "x")], "doc_id long, text string").selectExpr("*", "1 as window_id", "2 as tokens")
     windows = spark.createDataFrame([(1, 64), (2, 1000), (2, 1000), (3, None), (None, 5), (4, 0)], "window_id int, capacity_tokens int")
-    rows = packing.pack_documents(docs, windows).collect()
+    rows = packing.pack_documents(docs, windows, TOKENIZER).collect()
     assert {r["window_id"] for r in rows} == {1, 2}
     for w, cap in ((1, 64), (2, 1000)):
         mine = [r for r in rows if r["window_id"] == w]
@@ -101,7 +112,7 @@ def test_pack_documents(spark):
         big = sorted((r["piece"], r["first_token"], r["tokens"]) for r in mine if r["doc_id"] == 4)
         assert all(b[1] == sum(x[2] for x in big[:i]) for i, b in enumerate(big)) and all(b[2] == cap for b in big[:-1])
         assert len([r for r in mine if r["doc_id"] != 4]) == 5
-    assert packing.pack_documents(docs.limit(0), windows).count() == 0 and packing.pack_documents(docs, windows.limit(0)).count() == 0
+    assert packing.pack_documents(docs.limit(0), windows, TOKENIZER).count() == 0 and packing.pack_documents(docs, windows.limit(0), TOKENIZER).count() == 0
 
 
 def test_gradient_of_the_tagger():
