@@ -1,8 +1,10 @@
 """One consistent form for texts that look alike: compatibility normalisation, deletion of ignorable characters, and a Viterbi
 search over look-alike letters under script-consistent character n-gram scores.
 
-Every letter stands for its class of look-alikes, so what is chosen depends only on how a text looks, never on which of the
-look-alikes is stored: blocks that look the same come out equal.
+The lattice of a word has, for every letter, the letters drawn exactly alike in other scripts, at no cost, and those that are only
+near to it (``NEAR``), which the search takes only where the scripts of the word would otherwise be mixed: a Cyrillic ka is
+decoded as Latin k among Latin letters and stays what it is in a Russian word. Among letters drawn exactly alike the choice does
+not depend on which one is stored. Blocks look the same where their decoded forms are equal.
 """
 
 from __future__ import annotations
@@ -20,16 +22,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.llm.pages import bounded_sample, fields, slices
+from leafwork.shared import stage
 
 SAMPLE_PAGES = 1500
+SALT_ROWS = 20_000
 # Letters of other scripts and the Latin letter each looks like (fixed values).
 CYRILLIC = dict(zip("аеорсхуѕіјһԁԛԝАВЕЅІЈКМНОРСТХУҮ", "aeopcxysijhdqwABESIJKMHOPCTXYY"))
 GREEK = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "oABEZHIKMNOPTYXcj"))
 ARMENIAN = dict(zip("օոսհ", "onuh"))
+TO_LATIN_LETTERS = {k for d in (CYRILLIC, GREEK, ARMENIAN) for k in d}
 TO_LATIN = {ord(k): v for d in (CYRILLIC, GREEK, ARMENIAN) for k, v in d.items()}
 #: What a Latin-looking letter can be in Cyrillic; rare letters only map to Latin.
 TO_CYRILLIC = {v: k for k, v in CYRILLIC.items() if k not in "һԁԛԝҮ"}
 TO_GREEK = {v: k for k, v in GREEK.items() if k not in "ϲϳ"}
+# Letters that are near to a Latin one but not drawn the same in running text (fixed values).
+NEAR = dict(zip("кмтвпгиκντυηιαρωγ", "kmtbnrukvtunjapwy")) | {"ո": "n", "ѵ": "v", "ԍ": "g"}
+NEAR |= {k.upper(): v.upper() for k, v in NEAR.items() if k.upper() not in TO_LATIN_LETTERS and len(k.upper()) == 1 and k.upper() != v.upper() and k in "пгκ"}
 # Spaces, dashes and line ends that are drawn alike (fixed values).
 ALIKE = {"\r\n": "\n", "\r": "\n", " ": "\n", " ": "\n", "\x85": "\n", "­\n": "-\n", "‐": "-", "‑": "-", "−": "-", "\t": " "}
 _ALIKE = re.compile("|".join(map(re.escape, sorted(ALIKE, key=len, reverse=True))))
@@ -39,7 +47,8 @@ _PLAIN = re.compile("[\n -~¡-¬®-ʯ‒-‧　-〿一-鿿！-～]*")
 _ODD_ASCII = re.compile("[\r\t]")
 _ONLY_LATIN = re.compile("[bdfghklmnqrtuvwzDFGLNQRUVWZ]")
 _WORD = re.compile(r"[^\W\d_]+")
-_SWITCH = -6.0
+#: What a change of script within a word and the choice of a letter that is only near to the stored one are scored.
+_SWITCH, _NEAR = -10.0, -11.0
 
 
 def skeleton(text: str) -> str:
@@ -81,10 +90,9 @@ class Scripts:
     def _options(self, c: str) -> list[tuple[str, str]]:
         base = unicodedata.normalize("NFD", c)
         b, marks = base[0], base[1:]
-        if "Ѐ" <= b <= "ԯ":
-            return [("C", c)]
-        if "Ͱ" <= b <= "Ͽ":
-            return [("G", c)]
+        if "Ѐ" <= b <= "ԯ" or "Ͱ" <= b <= "Ͽ" or b in NEAR:
+            own = "C" if "Ѐ" <= b <= "ԯ" else "G" if "Ͱ" <= b <= "Ͽ" else "O"
+            return [(own, c)] + ([("N", unicodedata.normalize("NFC", NEAR[b] + marks))] if b in NEAR else [])
         out = [("L", c)] if b.isascii() or "LATIN" in unicodedata.name(b, "") else [("O", c)]
         for kind, table in (("C", TO_CYRILLIC), ("G", TO_GREEK)):
             if b in table:
@@ -97,7 +105,8 @@ class Scripts:
             step: dict[str, tuple[float, str, str]] = {}
             for kind, letter in self._options(c):
                 low = letter.lower()
-                cost = 0.0 if kind == around or kind == "O" else -0.5 if kind == "L" else -1.0
+                near, kind = (_NEAR, "L") if kind == "N" else (0.0, kind)
+                cost = near + (0.0 if kind == around or kind == "O" else -0.5 if kind == "L" else -1.0)
                 for was, (score, text, last) in best.items():
                     s = score + cost + (self.bigram(kind, last, low) if kind in self.pairs and (was == kind or was == "^") else -8.0) + (0.0 if was in (kind, "^", "O") or kind == "O" else _SWITCH)
                     if kind not in step or s > step[kind][0]:
@@ -108,16 +117,17 @@ class Scripts:
 
 @functools.lru_cache(200_000)
 def script(w: str) -> str:
-    """The only script a word can be in, by its letters that look like no other script's: L, C, G, or - where none decides."""
+    """The script a word must be in by its letters that are drawn like no other script's: L, C, G, M where these differ, or - where none decides."""
+    seen = set()
     for c in w:
         b = unicodedata.normalize("NFD", c)[0]
-        if "Ѐ" <= b <= "ԯ" and b not in CYRILLIC:
-            return "C"
-        if "Ͱ" <= b <= "Ͽ" and b not in GREEK:
-            return "G"
-        if b.isascii() and b.isalpha() and b not in TO_CYRILLIC:
-            return "L"
-    return "-"
+        if "Ѐ" <= b <= "ԯ":
+            seen.add("C")
+        elif "Ͱ" <= b <= "Ͽ":
+            seen.add("G")
+        elif b.isascii() and b.isalpha() and b not in TO_CYRILLIC:
+            seen.add("L")
+    return "-" if not seen else seen.pop() if len(seen) == 1 else "M"
 
 
 def consistent(text: str, scripts: Scripts) -> str:
@@ -132,11 +142,13 @@ def consistent(text: str, scripts: Scripts) -> str:
     if not words:
         return s
     kinds = Counter(script(w) for w in words)
+    mixed = kinds.pop("M", 0)
     del kinds["-"]
     around = max(sorted(kinds), key=lambda k: kinds[k]) if kinds else "L"
-    if around == "L" and len(kinds) == 1:
+    if around == "L" and len(kinds) <= 1 and not mixed:
         return s
-    return _WORD.sub(lambda m: m[0] if m[0][0] > "⿿" else scripts.word(m[0], around), s)
+    # in a Latin text the words without a letter of another script are what they are
+    return _WORD.sub(lambda m: m[0] if m[0][0] > "⿿" or around == "L" and script(m[0]) in "L-" else scripts.word(m[0], around), s)
 
 
 def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Scripts:
@@ -169,14 +181,33 @@ def consistent_text(pages: DataFrame, scripts: Scripts | None = None, keep_text:
     return pages.select(F.col("page_id").cast("long"), "blocks").mapInArrow(work, "page_id long, block_index int, look binary, stored binary" + (", text string" if keep_text else ""))
 
 
+def look_alike_classes(pages: DataFrame, scripts: Scripts | None = None) -> DataFrame:
+    """Every block whose look is stored in more than one way: ``page_id``, ``block_index``, ``look`` (its class), ``stored``, ``variants`` of the class,
+    ``copies`` stored like it, and ``links``, the number of blocks that look the same and are stored differently. Counts are taken over
+    (look, stored), reduced before the shuffle, so a hot class is no hot task."""
+    rows = stage(consistent_text(pages, scripts, keep_text=False), "looks")
+    variants = rows.groupBy("look", "stored").agg(F.count(F.lit(1)).alias("copies"))
+    classes = variants.groupBy("look").agg(F.count(F.lit(1)).alias("variants"), F.sum("copies").alias("blocks")).filter("variants > 1")
+    kept = variants.join(classes, "look").select("look", "stored", "variants", "copies", (F.col("blocks") - F.col("copies")).alias("links"))
+    return rows.join(kept, ["look", "stored"])
+
+
 def look_alike_pairs(pages: DataFrame, scripts: Scripts | None = None) -> DataFrame:
     """Pairs of blocks that look the same and are stored differently: (``page_id_a``, ``block_index_a``, ``page_id_b``, ``block_index_b``).
 
-    Only groups that hold two different stored texts are joined; equal copies of one text never meet each other.
+    The different variants of a look are paired first and then expanded to their blocks, so equal copies of one text never meet and
+    no row is made that is not a result. Variants with very many blocks are cut into salts of ``SALT_ROWS`` on both sides.
     """
-    rows = consistent_text(pages, scripts, keep_text=False)
-    mixed = rows.select("look", "stored").distinct().groupBy("look").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("look")
-    twice = rows.join(mixed, "look", "left_semi")
-    a, b = (twice.select("look", *(F.col(c).alias(f"{c}_{x}") for c in ("page_id", "block_index", "stored"))) for x in "ab")
-    before = F.struct("page_id_a", "block_index_a") < F.struct("page_id_b", "block_index_b")
-    return a.join(b, "look").filter((F.col("stored_a") != F.col("stored_b")) & before).select("page_id_a", "block_index_a", "page_id_b", "block_index_b")
+    rows = stage(look_alike_classes(pages, scripts), "look-classes")
+    parts = F.greatest(F.lit(1), F.ceil(F.col("copies") / SALT_ROWS)).cast("int")
+    members = rows.select("look", "stored", F.pmod(F.xxhash64("page_id", "block_index"), parts).cast("int").alias("salt"), "page_id", "block_index")
+    v = rows.select("look", "stored", parts.alias("parts")).distinct()
+    a, b = (v.select("look", *(F.col(c).alias(f"{c}_{x}") for c in ("stored", "parts"))) for x in "ab")
+    pairs = a.join(b, "look").filter("stored_a < stored_b")
+    for x in "ab":
+        salted = pairs.withColumn(f"salt_{x}", F.explode(F.sequence(F.lit(0), F.col(f"parts_{x}") - 1)))
+        one = members.select("look", *(F.col(c).alias(f"{c}_{x}") for c in ("stored", "salt", "page_id", "block_index")))
+        pairs = salted.join(one, ["look", f"stored_{x}", f"salt_{x}"])
+    a, b = (F.struct(F.col(f"page_id_{x}").alias("page_id"), F.col(f"block_index_{x}").alias("block_index")) for x in "ab")
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).select(
+        F.col("a.page_id").alias("page_id_a"), F.col("a.block_index").alias("block_index_a"), F.col("b.page_id").alias("page_id_b"), F.col("b.block_index").alias("block_index_b"))

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm.languages import identify, wrong_labels_and_stretches
 from leafwork.llm.leaks import find_leaks, remove_leaks
-from leafwork.llm.lookalikes import consistent_text, look_alike_pairs
+from leafwork.llm.lookalikes import consistent_text, look_alike_classes, look_alike_pairs
 from leafwork.llm.noise import find_noise, paragraphs
 from leafwork.llm.packing import pack_documents
 from leafwork.llm.pii import find_pii, mask_pii
@@ -65,6 +65,12 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return look_alike_pairs(table(spark, sf_dir, "ocr_pages"))
 
 
+def p2_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks whose look is stored in several ways: their class, its variants, and how many blocks each is linked to."""
+    c = look_alike_classes(table(spark, sf_dir, "ocr_pages"))
+    return c.select("page_id", "block_index", F.hex("look").alias("class_id"), "variants", "copies", "links")
+
+
 def p2_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every block's one consistent text."""
     return consistent_text(table(spark, sf_dir, "ocr_pages")).select("page_id", "block_index", "text")
@@ -104,7 +110,7 @@ QUERIES = {
     "p5_found": p5_found, "p5_paragraphs": p5_paragraphs,
     "p8_found": p8_found, "p8_masked": p8_masked,
     "p3_found": p3_found, "p3_languages": p3_languages,
-    "p2_found": p2_found, "p2_text": p2_text,
+    "p2_found": p2_found, "p2_text": p2_text, "p2_classes": p2_classes,
     "p1_found": p1_found, "p1_rates": p1_rates,
     "p7_found": p7_found, "p7_spans": p7_spans, "p7_clean": p7_clean, "p6_packed": p6_packed, "p6_fill": p6_fill}
 SQL: dict[str, str] = {}

@@ -59,7 +59,8 @@ def test_held_out_cuts(real):
 
 @pytest.mark.parametrize("a, b, same", [
     ("The frame", "Thе frаmе", True), ("No. 12", "Ｎｏ． １２", True), ("el catálogo", "el catálogo", True), ("a b", "a b", True), ("volume", "vo​lu­me", True), ("这一份", "这⼀份", True),
-    ("нa cтpaницe", "на странице", True), ("Ω x", "Ω x", False), ("a b", "a\nb", False), ("l6", "16", False), ("a-b", "a–b", False), ("abc", "abd", False), ("xii", "хіі", True), ("office", "oﬃce", True), ("", "", False)])
+    ("нa cтpaницe", "на странице", True), ("Ω x", "Ω x", False), ("a b", "a\nb", False), ("l6", "16", False), ("a-b", "a–b", False), ("abc", "abd", False), ("xii", "хіі", True), ("office", "oﬃce", True), ("", "", False),
+    ("the кat sat", "the kat sat", True), ("рок и кот", "pok u kot", False), ("one вid only", "one bid only", True)])
 def test_look_alikes(spark, a, b, same):
     s = lookalikes.Scripts()
     assert (lookalikes.consistent(a, s) == lookalikes.consistent(b, s)) == (same or a == b)
@@ -68,6 +69,24 @@ def test_look_alikes(spark, a, b, same):
     assert got == ([(0, 0, 1, 0), (1, 0, 1, 1)] if same and a != b else [])
 
 
+def test_the_search_decides_where_a_table_cannot():
+    """A table of near letters alone would take a Russian word for a Latin one; one of exact look-alikes alone would miss a mixed word."""
+    s = lookalikes.Scripts()
+    table = lambda t: "".join(lookalikes.NEAR.get(c, c) for c in lookalikes.skeleton(t))
+    assert table("кот") == table("kot") and lookalikes.consistent("кот", s) != lookalikes.consistent("kot", s)
+    assert lookalikes.skeleton("кind") != lookalikes.skeleton("kind") and lookalikes.consistent("кind", s) == "kind"
+
+
+def test_hot_classes_and_links(spark, monkeypatch):
+    monkeypatch.setattr(lookalikes, "SALT_ROWS", 7)
+    p = pages(spark, *[{"blocks": [block("No. 12"), block("x" * 3)]} for _ in range(40)], {"blocks": [block("Ｎｏ． １２")]}, {"blocks": [block("No. 12")]})
+    s = lookalikes.Scripts()
+    got = lookalikes.look_alike_pairs(p, s).collect()
+    assert len(got) == len(set(got)) == 40 * 1 + 40 * 1 + 1 and all((r[0], r[1]) < (r[2], r[3]) for r in got)
+    links = {(r["page_id"], r["block_index"]): (r["variants"], r["copies"], r["links"]) for r in lookalikes.look_alike_classes(p, s).collect()}
+    assert links[0, 0] == (3, 40, 2) and links[40, 0] == (3, 1, 41) and (0, 1) not in links
+
+
 def test_look_alikes_odd(odd):
     assert lookalikes.look_alike_pairs(odd).count() == 0 and lookalikes.consistent_text(odd).count() == 6
     assert lookalikes.consistent("нa cтpaницe", lookalikes.Scripts()) == "на странице"
