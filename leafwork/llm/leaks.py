@@ -1,12 +1,13 @@
 """Evaluation texts that leak into training text: a generalised suffix automaton over the normalised test items.
 
 Texts are compared as their folded letters and digits only, so case, punctuation, spacing, line ends, hyphenation and quote marks
-do not matter. A document is streamed through the automaton of all items, the longest match at each place is tracked, and the
-matches are chained: an item leaks where a stretch of ``min_words`` consecutive item words (Chinese: ``min_chars`` characters)
-is repeated with at most ``max_altered`` of them altered.
+do not matter. Every letter of every document is streamed through the automaton of all items, which tracks the longest match that
+ends at each place. An item leaks where ``min_words`` consecutive item words (Chinese: ``min_chars`` characters) are repeated with
+at most ``max_altered`` of them altered.
 
-A stretch with that few alterations keeps intact runs, hence a known number of intact n-grams on one diagonal. A vectorised
-n-gram count picks the places that can hold a stretch, and only these are streamed; it skips nothing that could qualify.
+Such a stretch has a part of ``min_words`` to twice as many words with no more altered, so it holds an intact run of ``Items.run`` words at
+least, even with a page number in it. Runs of that many words are looked up in the items and grown word by word in both
+directions, over altered words of any length, and the longest stretch within the limits is taken from what was reached.
 """
 
 from __future__ import annotations
@@ -21,11 +22,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MIN_WORDS, MIN_CHARS, MAX_ALTERED = 24, 30, 0.1
-#: Above this the item set is no longer the bounded set that may be sent to every task.
-MAX_ITEM_CHARS = 20_000_000
+#: Items are searched for in sets of at most so many characters: one automaton each, made on the driver and sent as flat arrays (about
+#: 100 bytes a character). More sets mean more passes over a batch, never a lost item.
+SET_CHARS = 1_000_000
+LANES, TEXTS, GRAM = 8192, 2000, 9
 BREAK = 1
 SCHEMA = "doc_id long, item_id long, words int, matched int, start int, stop int"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_ZERO = np.zeros(1, np.int64)
 _CJK = re.compile("[㐀-鿿豈-﫿]")
 _TABLE: np.ndarray | None = None
 
@@ -144,241 +148,413 @@ class Automaton:
         return out
 
 
-class Kind:
-    """Items counted in words, or in characters, with the n-gram index that finds candidate places."""
+class Flat:
+    """The automaton as flat arrays: a hash table of its transitions by (state, letter), suffix links and lengths."""
+
+    def __init__(self, a: Automaton, texts: list[str] = (), sizes: tuple[int, ...] = ()):
+        self.grams = {}
+        for q in {min(GRAM, k) for k in sizes}:
+            self.grams[q] = np.zeros(1 << 22, bool)
+            for t in texts:
+                self.grams[q][(gram_hashes(np.array(list(map(ord, t)), np.uint32), q) >> np.uint64(42)).astype(np.int64)] = True
+        letters = sorted({c for n in a.next for c in n})
+        self.letter = np.zeros(0x110000, np.int32)
+        self.letter[[ord(c) for c in letters]] = np.arange(1, len(letters) + 1)
+        self.width = len(letters) + 1
+        self.link, self.size = np.array(a.link, np.int32), np.array(a.size, np.int32)
+        number = {c: i for i, c in enumerate(letters, 1)}
+        key = np.array([s * self.width + number[c] for s, n in enumerate(a.next) for c in n], np.int64)
+        goal = np.array([t for n in a.next for t in n.values()], np.int32)
+        self.bits = max(10, int(2 * len(key) + 1).bit_length() + 1)
+        self.keys, self.goals = np.full(1 << self.bits, -1, np.int64), np.zeros(1 << self.bits, np.int32)
+        slot, left = self._slot(key), np.arange(len(key))
+        while len(left):  # linear probing, all that still look for a place at once
+            free = self.keys[slot[left]] == -1
+            first = np.unique(slot[left[free]], return_index=True)[1]
+            put = left[free][first]
+            self.keys[slot[put]], self.goals[slot[put]] = key[put], goal[put]
+            left = np.setdiff1d(left, put, assume_unique=True)
+            slot[left] = (slot[left] + 1) & ((1 << self.bits) - 1)
+
+    def _slot(self, key: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return ((key.astype(np.uint64) * _BASE) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def step(self, state: np.ndarray, letter: np.ndarray) -> np.ndarray:
+        """The goal of each transition, -1 where there is none."""
+        key = state.astype(np.int64) * self.width + letter
+        slot = self._slot(key)
+        got = self.keys[slot]
+        out = np.where(got == key, self.goals[slot], -1)
+        on = np.flatnonzero((got != key) & (got != -1))
+        while len(on):
+            slot[on] = (slot[on] + 1) & ((1 << self.bits) - 1)
+            got = self.keys[slot[on]]
+            hit = got == key[on]
+            out[on[hit]] = self.goals[slot[on[hit]]]
+            on = on[~hit & (got != -1)]
+        return out
+
+    def possible(self, x: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """Letters that can be in a match of ``least`` letters: those in as many grams of ``GRAM`` (of least letters, if fewer) in a row as such a
+        match holds, all of them in the table of the items' grams. It skips nothing that could match."""
+        keep = np.zeros(len(x), bool)
+        for k in np.unique(least[least < 1 << 30]).tolist():
+            q = min(GRAM, k)
+            if q not in self.grams or len(x) < k:
+                continue
+            known = self.grams[q][(gram_hashes(x, q) >> np.uint64(42)).astype(np.int64)]
+            edge = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
+            on, off = edge[::2], edge[1::2]
+            wide = off - on >= k - q + 1
+            mark = np.zeros(len(x) + 1, np.int32)
+            np.add.at(mark, on[wide], 1)
+            np.add.at(mark, off[wide] + q - 1, -1)
+            keep |= np.cumsum(mark[:-1]) > 0
+        return keep
+
+    def stream(self, x: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The places at which a match of ``least`` letters ends. Letters that can be in none are skipped with the automaton at its start again."""
+        keep = np.flatnonzero(self.possible(x, least))
+        if not len(keep):
+            return keep
+        gaps = np.flatnonzero(np.diff(keep) > 1) + 1
+        letters = np.insert(x[keep], gaps, 0)
+        need = np.insert(least[keep], gaps, 1 << 30)
+        at = np.insert(keep, gaps, -1)
+        return at[np.flatnonzero(self.long_matches(letters, need, int(least[least < 1 << 30].max())))]
+
+    def long_matches(self, x: np.ndarray, least: np.ndarray, warm: int) -> np.ndarray:
+        """Whether the longest match that ends at each letter has ``least`` letters. The letters run side by side in lanes, each of
+        which begins ``warm`` letters (the largest ``least``) early, so that no lane's start hides a match."""
+        n = len(x)
+        lanes = max(1, min(LANES, n // (4 * warm + 1)))
+        each = -(-n // lanes)
+        start = np.arange(lanes) * each
+        letters = np.concatenate([np.zeros(warm, np.int32), self.letter[x], np.zeros(lanes * each - n, np.int32)])
+        out = np.zeros(lanes * each, bool)
+        need = np.concatenate([least, np.zeros(lanes * each - n, least.dtype)])
+        state, length = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
+        for i in range(-warm, each):
+            c = letters[start + i + warm]
+            goal = self.step(state, c)
+            goal[c == 0] = 0
+            lost = np.flatnonzero(goal < 0)
+            length += 1
+            length[c == 0] = 0
+            while len(lost):
+                s = self.link[state[lost]]
+                root = s < 0
+                goal[lost[root]] = 0
+                length[lost[root]] = 0
+                lost, s = lost[~root], s[~root]
+                state[lost] = s
+                length[lost] = self.size[s] + 1
+                goal[lost] = self.step(s, c[lost])
+                lost = lost[goal[lost] < 0]
+            state = goal
+            if i >= 0:
+                out[start + i] = (length >= need[start + i]) & (length > 0)
+        return out[:n]
+
+
+def _fewest(least: int, altered: float) -> int:
+    """Words in the longest intact run of a stretch of ``least`` to twice as many words, with a page number in it, at least."""
+    return max(1, min(-(-(n - int(n * altered)) // (int(n * altered) + 2)) for n in range(least, 2 * least)))
+
+
+class Items:
+    """Items counted in words, or in characters: their letters, word bounds and an index of the grams that intact runs begin with."""
 
     def __init__(self, items: list[tuple[int, str]], by_char: bool, least: int, altered: float):
-        self.by_char, self.least, self.altered = by_char, least, altered
-        self.k, self.seed = (5, 4) if by_char else (24, 10)  # longest n-grams that are looked for; shortest parts that are chained
-        self.ids, self.texts, self.words = [], [], []
+        self.by_char, self.least, self.altered, self.run = by_char, least, altered, _fewest(least, altered)
+        self.parts, self.enough = ((4,) if by_char else (16, 9)), min(n - int(n * altered) - 3 * (int(n * altered) + 2) for n in range(least, 2 * least))
+        self.ids, self.texts, self.words, self.pieces = [], [], [], {}
         for item_id, text in items:
             x, at = squeeze(text)
             s = "".join(map(chr, x))
             if by_char:
                 bounds = [(i, i + 1) for i in range(len(s))]
             else:
-                raw = [(m.start(), m.end()) for m in re.finditer(r"[^\W_]+(?:['’][^\W_]+)*", text)]
+                raw = [(m.start(), m.end()) for m in _RAW_WORD.finditer(text)]
                 lo, hi = np.searchsorted(at, [a for a, _ in raw]), np.searchsorted(at, [b for _, b in raw])
                 bounds = [(int(a), int(b)) for a, b in zip(lo, hi) if b > a]
-            self.ids.append(item_id)
-            self.texts.append(s)
-            self.words.append(bounds)
-        # A stretch with a altered words has its other letters in a + 1 runs: so many intact k-grams at least, at each word.
-        a = int(least * altered)
-        fewest = min((self._letters(b, a) for b in self.words if len(b) >= least), default=1)
-        self.k = max(2, min(self.k, (fewest - 1) // (a + 1) + 1))  # so short that every stretch keeps one at least
-        self.seed = min(self.seed, self.k)
-        self.needs = [self._need(b, a) for b in self.words]
-        self.least_of = np.array([int(n.min()) if len(n) else 1 << 40 for n, _ in self.needs], np.int64)
-        self.hits = min((int(n.min()) for n, _ in self.needs if len(n)), default=1)
-        grams, item, pos = [], [], []
-        for i, s in enumerate(self.texts):
+            if len(bounds) >= least:
+                self.ids.append(item_id)
+                self.texts.append(s)
+                self.words.append(np.array(bounds, np.int64))
+        self.k = min((int((w[self.run - 1 :, 1] - w[: len(w) - self.run + 1, 0]).min()) for w in self.words), default=1)
+        grams, item, word = [], [], []
+        for i, (s, w) in enumerate(zip(self.texts, self.words)):
             h = gram_hashes(np.array(list(map(ord, s)), np.uint32), self.k)
-            grams.append(h)
-            item.append(np.full(len(h), i, np.int64))
-            pos.append(np.arange(len(h), dtype=np.int64))
-        g = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
+            starts = np.arange(len(w) - self.run + 1)
+            grams.append(h[w[starts, 0]])
+            item.append(np.full(len(starts), i, np.int64))
+            word.append(starts)
+        self.size, self.hash, self.short, self.gram = [], [], [], []  # of the runs at each word; of the four words there
+        for s, w in zip(self.texts, self.words):
+            sums, starts = Sums(np.array(list(map(ord, s)), np.uint32)), np.arange(len(w) - self.run + 1)
+            self.size.append(w[starts + self.run - 1, 1] - w[starts, 0])
+            self.hash.append(sums.of(w[starts, 0], self.size[-1]))
+            four = w[3:, 1] - w[:-3, 0]
+            tier = np.searchsorted(-np.array(self.parts), -four)  # the longest part that fits in; none for very few letters
+            self.short.append(tier)
+            self.gram.append(sums.of(w[:-3, 0], np.array([*self.parts, 0])[tier]))
+        self.base = np.cumsum([0, *map(len, self.size)])
+        self.size, self.hash = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (self.size, self.hash))
+        g = np.concatenate([*grams, np.zeros(0, np.uint64)])
         order = np.argsort(g, kind="stable")
-        self.g, self.item, self.pos = g[order], np.concatenate([*item, np.zeros(0, np.int64)])[order], np.concatenate([*pos, np.zeros(0, np.int64)])[order]
-        self.uniq, self.first = np.unique(self.g, return_index=True)
-        self.count = np.diff(np.append(self.first, len(self.g)))
-        self.bits = np.zeros(1 << 22, bool)
-        self.bits[(self.uniq >> np.uint64(42)).astype(np.int64)] = True
-        self._automaton: Automaton | None = None
-        self.seeds: dict[int, dict[str, list[int]]] = {}
-        self.margin = 2 * least if by_char else 8 * least
-
-    def _letters(self, bounds: list[tuple[int, int]], a: int) -> int:
-        """The fewest letters that a stretch keeps with its ``a`` longest words altered."""
-        w = np.sort(np.lib.stride_tricks.sliding_window_view(np.array([e - b for b, e in bounds], np.int64), self.least), axis=1)
-        return int(w[:, : self.least - a].sum(axis=1).min())
-
-    def _need(self, bounds: list[tuple[int, int]], a: int) -> tuple[np.ndarray, np.ndarray]:
-        """For each first word of a stretch the k-grams it keeps at least; and the word of each letter."""
-        n = np.array([e - b for b, e in bounds], np.int64)
-        word_of = np.repeat(np.arange(len(n)), n)
-        if len(n) < self.least:
-            return np.zeros(0, np.int64), word_of
-        w = np.sort(np.lib.stride_tricks.sliding_window_view(n, self.least), axis=1)
-        return np.maximum(1, w[:, : self.least - a].sum(axis=1) - (a + 1) * (self.k - 1)), word_of
-
-    def _enough(self, item: int, lo: int, hi: int, hits: int) -> bool:
-        """Whether so many k-grams between two places of an item can belong to a stretch."""
-        need, word_of = self.needs[item]
-        a, b = int(word_of[min(lo, len(word_of) - 1)]) - self.least + 1, int(word_of[min(hi, len(word_of) - 1)]) + 1
-        part = need[max(0, a) : max(0, b)]
-        return bool(len(part)) and hits >= int(part.min())
-
-    def automaton(self) -> Automaton:
-        if self._automaton is None:
-            self._automaton = Automaton(self.texts)
-        return self._automaton
-
-    def seeds_of(self, item: int) -> dict[str, list[int]]:
-        if item not in self.seeds:
-            s, d = self.texts[item], self.seeds.setdefault(item, {})
-            for p in range(len(s) - self.seed + 1):
-                d.setdefault(s[p : p + self.seed], []).append(p)
-        return self.seeds[item]
-
-    def candidates(self, x: np.ndarray, doc: np.ndarray) -> list[tuple[int, int, int, int]]:
-        """(document, item, first, last position) with enough n-grams of an item on one diagonal."""
-        h = gram_hashes(x, self.k)
-        if not len(h) or not len(self.uniq):
-            return []
-        at = np.flatnonzero(self.bits[(h >> np.uint64(42)).astype(np.int64)])
-        if not len(at):
-            return []
-        j = np.searchsorted(self.uniq, h[at])
+        self.item, self.word = (np.concatenate([*x, np.zeros(0, np.int64)])[order] for x in (item, word))
+        self.uniq, self.first = np.unique(g[order], return_index=True)
+        self.count = np.diff(np.append(self.first, len(g)))
+
+    def split(self, item: int) -> tuple[list[str], list[str]]:
+        """An item's words, and their mirror image."""
+        if item not in self.pieces:
+            words = [self.texts[item][a:b] for a, b in self.words[item].tolist()]
+            self.pieces[item] = words, [x[::-1] for x in words[::-1]]
+        return self.pieces[item]
+
+    def could(self, grams: list[np.ndarray], lo: int, hi: int, item: int, first: int, last: int) -> bool:
+        """Whether the letters [lo, hi) hold as many fours of item words, among twice ``least`` words around [first, last], as every stretch
+        keeps: each altered word and a page number break three of them beside their own. A four counts by its first letters, as many as the largest of ``parts`` that it has, and as there if it has fewer."""
+        a = max(0, first - 2 * self.least)
+        g, tier = self.gram[item][a : last + 2 * self.least], self.short[item][a : last + 2 * self.least]
+        n = min(2 * self.least, len(g))
+        there = np.ones(len(g), bool)  # what has not been looked at yet counts as there
+        for k, size in enumerate(self.parts):
+            mine = (tier == k).nonzero()[0]
+            if len(mine):
+                near = grams[k][lo : max(lo, hi - size + 1)].copy()
+                near.sort()
+                if len(near):
+                    j = near.searchsorted(g[mine])
+                    j[j == len(near)] = 0
+                    there[mine] = near[j] == g[mine]
+                else:
+                    there[mine] = False
+            total = np.concatenate([_ZERO, there.cumsum()])
+            if (total[n:] - total[: len(total) - n]).max() < self.enough:
+                return False
+        return True
+
+    def places(self, x: np.ndarray, ends: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(letter, item, word) wherever a gram that ends at one of ``ends`` begins a run of an item."""
+        none = np.zeros(0, np.int64)
+        ends = ends[ends >= self.k - 1]
+        if not len(ends) or not len(self.uniq):
+            return none, none, none
+        begin = ends - self.k + 1
+        h = gram_hashes_of(x, begin, self.k)
+        j = np.searchsorted(self.uniq, h)
         j[j == len(self.uniq)] = 0
-        ok = self.uniq[j] == h[at]
-        at, j = at[ok], j[ok]
-        if not len(at):
-            return []
+        ok = self.uniq[j] == h
+        begin, j = begin[ok], j[ok]
         n = self.count[j]
-        rep = np.repeat(np.arange(len(at)), n)
-        offset = np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
-        row = self.first[j][rep] + offset
-        p, item = at[rep], self.item[row]
-        diagonal = p - self.pos[row] + (1 << 20)
-        found: dict[tuple[int, int], list[tuple[int, int]]] = {}
-        pair = doc[p].astype(np.int64) * len(self.ids) + item
-        width = 5 if self.by_char else 6
-        for shift in (0, 1 << (width - 1)):  # drift by altered words and page numbers stays within one of the two bins
-            key = np.stack([pair, (diagonal + shift) >> width])
-            order = np.lexsort((key[1], key[0]))
-            a, b = key[0][order], key[1][order]
-            cut = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
-            size = np.diff(np.append(cut, len(a)))
-            could = size >= self.least_of[a[cut] % len(self.ids)]
-            for c, m in zip(cut[could], size[could]):
-                own = order[c : c + m]
-                q, ip = p[own], self.pos[row[own]]
-                m = len(np.unique(ip))
-                if not self._enough(int(a[c]) % len(self.ids), int(ip.min()), int(ip.max()) + self.k - 1, m):
-                    continue
-                k = (int(a[c]) // len(self.ids), int(a[c]) % len(self.ids))
-                found.setdefault(k, []).append((int(q.min()), int(q.max()) + self.k))
-        out = []
-        for (d, i), places in found.items():
-            lo = hi = None
-            for a, b in sorted(places):
-                if hi is not None and a <= hi + 400:
-                    hi = max(hi, b)
-                    continue
-                if hi is not None:
-                    out.append((d, i, lo, hi))
-                lo, hi = a, b
-            out.append((d, i, lo, hi))
-        return out
-
-    def stretch(self, text: str, item: int) -> tuple[int, int, int, int] | None:
-        """(words, matched, start, stop) of the longest stretch of an item that ``text`` repeats, or None."""
-        sam, s, seeds, k = self.automaton(), self.texts[item], self.seeds_of(item), self.seed
-        parts = []
-        for a, n in sam.maximal(text, self.seed):
-            piece = text[a : a + n]
-            for o in range(n - k + 1):  # the match may be another item's: take what this item has of it
-                for p in seeds.get(piece[o : o + k], ()):
-                    if o and p and s[p - 1] == piece[o - 1]:
-                        continue
-                    m = k
-                    while o + m < n and p + m < len(s) and s[p + m] == piece[o + m]:
-                        m += 1
-                    parts.append((a + o, p, m))
-        return self._chain(sorted(set(parts)), item)
-
-    def _chain(self, parts: list[tuple[int, int, int]], item: int) -> tuple[int, int, int, int] | None:
-        best: list[tuple[int, int]] = []
-        for k, (a, p, n) in enumerate(parts):
-            top = (n, -1)
-            for j in range(k - 1, max(-1, k - 200), -1):
-                a0, p0, n0 = parts[j]
-                over = max(0, a0 + n0 - a, p0 + n0 - p)
-                if a0 < a and p0 < p and over < n and -40 <= (a - a0) - (p - p0) <= 40 and max(p - p0 - n0, a - a0 - n0) <= 80:
-                    if best[j][0] + n - over > top[0]:
-                        top = (best[j][0] + n - over, j)
-            best.append(top)
-        if not best:
-            return None
-        result = None
-        used: set[int] = set()
-        letters = self.hits + (int(self.least * self.altered) + 1) * (self.k - 1)  # that a stretch matches at least
-        for k in sorted(range(len(best)), key=lambda i: -best[i][0]):
-            if k in used:
-                continue
-            if best[k][0] < letters:
-                break
-            chain, i = [], k
-            while i != -1 and i not in used:
-                chain.append(parts[i])
-                used.add(i)
-                i = best[i][1]
-            got = self._window(chain[::-1], item)
-            if got and (result is None or got[0] > result[0]):
-                result = got
-        return result
-
-    def _window(self, chain: list[tuple[int, int, int]], item: int) -> tuple[int, int, int, int] | None:
-        covered = np.zeros(len(self.texts[item]) + 1, np.int32)
-        place = np.full(len(self.texts[item]) + 1, -1, np.int64)
-        for a, p, n in chain:
-            covered[p : p + n] = 1
-            place[p : p + n] = np.arange(a, a + n)
-        total = np.concatenate([[0], np.cumsum(covered)])
-        words = self.words[item]
-        hit = [total[e] - total[b] == e - b and place[e - 1] - place[b] < e - b + 24 for b, e in words]
-        good = [i for i, x in enumerate(hit) if x]
-        run = np.concatenate([[0], np.cumsum(hit)])
-        best = None
-        for i in good:
-            for j in reversed(good):
-                n = j - i + 1
-                if n < self.least or best and n <= best[0]:
-                    break
-                m = int(run[j + 1] - run[i])
-                if n - m <= self.altered * n:
-                    best = (n, m, int(place[words[i][0]]), int(place[words[j][1] - 1]) + 1)
-                    break
-        return best
+        rep = np.repeat(np.arange(len(begin)), n)
+        row = self.first[j][rep] + np.arange(len(rep)) - np.repeat(np.cumsum(n) - n, n)
+        p, item, word = begin[rep], self.item[row], self.word[row]
+        at = self.base[item] + word
+        whole = p + self.size[at] <= len(x)
+        p, item, word, at = p[whole], item[whole], word[whole], at[whole]
+        whole = sums.of(p, self.size[at]) == self.hash[at]  # the whole run of words, not its first letters only
+        return p[whole], item[whole], word[whole]
+
+
+class Sums:
+    """Hashes of any stretch of letters, equal for equal stretches wherever they stand: sums of letters times powers of an odd number."""
+
+    def __init__(self, x: np.ndarray):
+        with np.errstate(over="ignore"):
+            n = len(x) + 1
+            power = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _BASE)]), dtype=np.uint64)
+            self.down = np.cumprod(np.concatenate([[np.uint64(1)], np.full(n - 1, _INVERSE)]), dtype=np.uint64)
+            self.total = np.concatenate([[np.uint64(0)], np.cumsum(x.astype(np.uint64) * power[:-1], dtype=np.uint64)])
+
+    def of(self, begin: np.ndarray, size: np.ndarray) -> np.ndarray:
+        with np.errstate(over="ignore"):
+            return (self.total[begin + size] - self.total[begin]) * self.down[begin]
+
+
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_RAW_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
+#: Item words looked for at a time beyond an altered one, those of them that have to be there, and words a text may have more.
+AHEAD, AGAIN, MORE = 9, 4, 4
+
+
+def _grow(doc: str, opens: np.ndarray, closes: np.ndarray, words: list[str], at: int, free: bool) -> list[tuple[int, int]]:
+    """Where the ``words`` that follow stand in ``doc`` from ``at`` on: (word, place) in order. Words that follow on letter by letter are
+    taken one by one; beyond an altered word the next ``AHEAD`` are looked for, in order, as whole words."""
+    out, w, n = [], 0, len(words)
+    while w < n:
+        while w < n and doc.startswith(words[w], at):
+            out.append((w, at))
+            at += len(words[w])
+            w += 1
+        if w == n or at >= len(doc):
+            break
+        ahead = words[w : w + AHEAD]
+        lo = int(np.searchsorted(opens, at))
+        if lo == len(opens):
+            break
+        stop = int(opens[lo + AHEAD + (2 if free else 1) * MORE]) if lo + AHEAD + (2 if free else 1) * MORE < len(opens) else len(doc)
+        best: list[tuple[int, list]] = [(at, [])]  # by how many words were found: the earliest end, and the places
+        for k, word in enumerate(ahead):
+            for m in range(len(best) - 1, -1, -1):
+                end, got = best[m]
+                p = doc.find(word, end, stop)
+                while p >= 0 and not free and not (_in(opens, p) and _in(closes, p + len(word))):
+                    p = doc.find(word, p + 1, stop)
+                if p >= 0 and (m + 1 == len(best) or p + len(word) < best[m + 1][0]):
+                    step = (p + len(word), [*got, (w + k, p)])
+                    if m + 1 == len(best):
+                        best.append(step)
+                    else:
+                        best[m + 1] = step
+        end, got = best[-1]
+        out += got
+        if len(got) < min(AGAIN, len(ahead)):
+            break
+        w, at = got[-1][0] + 1, end
+    return out
+
+
+def _in(a: np.ndarray, v: int) -> bool:
+    i = int(np.searchsorted(a, v))
+    return i < len(a) and a[i] == v
+
+
+def stretch(doc: str, opens: np.ndarray, closes: np.ndarray, items: Items, item: int, places: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+    """(words, matched, start, stop) of the longest stretch of an item that ``doc`` repeats, or None. ``opens`` and ``closes`` are the places
+    where words of the document begin and end; ``places`` are (letter, item word) where runs begin."""
+    words, mirrored = items.split(item)
+    size, back = len(doc), None
+    done, best = set(), None
+    for p, i in places:
+        if (p, i) in done:
+            continue
+        ahead = _grow(doc, opens, closes, words[i:], p, items.by_char)
+        done.update((q, i + k) for k, q in ahead)
+        if back is None:
+            back, b_opens, b_closes = doc[::-1], size - closes[::-1], size - opens[::-1]
+        behind = _grow(back, b_opens, b_closes, mirrored[len(words) - i :], size - p, items.by_char)
+        done.update((size - q - len(words[i - 1 - k]), i - 1 - k) for k, q in behind)
+        place = {i - 1 - k: size - q - len(words[i - 1 - k]) for k, q in behind} | {i + k: q for k, q in ahead}
+        got = _longest(place, words, items.least, items.altered)
+        if got and (best is None or got[0] > best[0]):
+            best = got
+    return best
+
+
+def _longest(place: dict[int, int], words: list[str], least: int, altered: float) -> tuple[int, int, int, int] | None:
+    """The longest window of item words that starts and ends in a word found and in which few enough are not."""
+    found = sorted(place)
+    if len(found) < least * (1 - altered):
+        return None
+    # a window over found[a..b] has found[b] - found[a] + 1 words, of which b - a + 1 match: b - a + 1 >= (1 - altered) * words
+    worth = [k - (1 - altered) * i for k, i in enumerate(found)]
+    best = None
+    low: list[int] = []  # places whose worth is below all before them
+    for a in range(len(found)):
+        if not low or worth[a] < worth[low[-1]]:
+            low.append(a)
+    b = len(found) - 1
+    highest = np.maximum.accumulate(np.array(worth[::-1]))[::-1]
+    for a in low:
+        lo = np.searchsorted(-highest, -(worth[a] - altered - 1e-9), side="right") - 1  # the last place still worth enough
+        b = int(lo)
+        if b >= a:
+            n, m = found[b] - found[a] + 1, b - a + 1
+            if n >= least and (best is None or n > best[0]):
+                best = (n, m, place[found[a]], place[found[b]] + len(words[found[b]]))
+    return best
 
 
 class LeakIndex:
-    """The items, ready to be searched for in batches of texts."""
+    """The items of one set, ready to be searched for in batches of texts."""
 
     def __init__(self, items: list[tuple[int, str]], min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS, max_altered: float = MAX_ALTERED):
         cjk = [(i, t) for i, t in items if len(_CJK.findall(t)) * 2 > len(t)]
         ids = {i for i, _ in cjk}
-        self.kinds = [k for k in (Kind([x for x in items if x[0] not in ids], False, min_words, max_altered), Kind(cjk, True, min_chars, max_altered)) if k.ids]
+        kinds = Items([x for x in items if x[0] not in ids], False, min_words, max_altered), Items(cjk, True, min_chars, max_altered)
+        self.kinds = [k for k in kinds if k.ids]
+        texts = [t for k in self.kinds for t in k.texts]
+        self.flat = Flat(Automaton(texts), texts, tuple(k.k for k in self.kinds))
+        self.by = {k.by_char: k for k in self.kinds}
 
     def search(self, texts: list[str | None]) -> Iterator[tuple[int, int, int, int, int, int]]:
         """(place in ``texts``, item, words, matched, start, stop): start and stop are offsets in the text as stored."""
+        if not self.kinds:
+            return
         c = codes("\0".join((t or "").replace("\0", " ") for t in texts))
         f = fold_table()[c]
         at = np.flatnonzero(f)
         x = f[at]
+        if not len(x):
+            return
         cut = np.flatnonzero(x == BREAK)
         doc = np.cumsum(x == BREAK)
-        begins = np.concatenate([[0], cut + 1])
-        ends = np.append(cut, len(x))
+        begins, ends = np.concatenate([[0], cut + 1]), np.append(cut, len(x))
         raw = np.concatenate([[0], at[cut] + 1])
-        best: dict[tuple[int, int], tuple[int, int, int, int]] = {}
+        han = (x >= 0x3400) & (x < 0x10000)
+        never = np.int32(1 << 30)
+        least = np.where(han, *(self.by[k].k if k in self.by else never for k in (True, False))).astype(np.int32)
+        long = self.flat.stream(x, least)
+        gap = np.diff(at, prepend=-2) > 1
+        opens = gap | han | np.concatenate([[True], han[:-1]]) | (x == BREAK)
+        sums, nth = Sums(x), np.cumsum(opens)
+        best: dict[tuple[int, int], tuple] = {}
         for kind in self.kinds:
-            for d, i, lo, hi in kind.candidates(x, doc):
-                lo, hi = max(int(begins[d]), lo - kind.margin), min(int(ends[d]), hi + kind.margin)
-                if got := kind.stretch("".join(map(chr, x[lo:hi])), i):
-                    n, m, a, b = got
-                    if (d, kind.ids[i]) not in best or best[d, kind.ids[i]][0] < n:
-                        best[d, kind.ids[i]] = n, m, int(at[lo + a] - raw[d]), int(at[lo + b - 1] - raw[d]) + 1
-        for (d, i), found in best.items():
-            yield d, i, *found
+            known: tuple = (-1,)
+            p, item, word = kind.places(x, long[han[long]] if kind.by_char else long[~han[long]], sums)
+            grams = [sums.of(np.arange(len(x) - n + 1), n) if len(p) and len(x) >= n else _ZERO for n in kind.parts]
+            order = np.lexsort((p, item, doc[p]))
+            p, item, word = p[order], item[order], word[order]
+            pair = doc[p] * len(kind.ids) + item
+            # the parts of a pair's places that one stretch can hold
+            cut_ = np.flatnonzero((np.diff(pair) != 0) | (np.diff(nth[p]) > 2 * kind.least + 2 * MORE)) + 1
+            bounds = np.concatenate([[0], cut_, [len(p)]]).tolist()
+            for begin_, end_ in zip(bounds, bounds[1:]):
+                part = slice(begin_, end_)
+                if begin_ == end_ or end_ - begin_ < min(2, kind.enough) or len(set(word[part].tolist())) < min(2, kind.enough):
+                    continue  # a stretch holds two runs at least, or one that is longer by a word
+                d, i = int(doc[p[begin_]]), int(item[begin_])
+                lo, hi = int(begins[d]), int(ends[d])
+                a, b = nth[p[begin_]] - 2 * kind.least - 2 * MORE, nth[p[end_ - 1]] + 2 * kind.least + 2 * MORE
+                if not kind.could(grams, max(lo, int(np.searchsorted(nth, a))), min(hi, int(np.searchsorted(nth, b))), i, int(word[part].min()), int(word[part].max())):
+                    continue
+                if known[0] != d:
+                    o = np.flatnonzero(opens[lo:hi])
+                    known = (d, "".join(map(chr, x[lo:hi])), o, np.append(o[1:], hi - lo))
+                _, text, o, closes = known
+                got = stretch(text, o, closes, kind, i, list(zip((p[part] - lo).tolist(), word[part].tolist())))
+                if got and (best.get((d, kind.ids[i])) or (0,))[0] < got[0]:
+                    best[d, kind.ids[i]] = got
+        for (d, i), (n, m, a, b) in best.items():
+            yield d, i, n, m, int(at[begins[d] + a] - raw[d]), int(at[begins[d] + b - 1] - raw[d]) + 1
+
+
+def gram_hashes_of(x: np.ndarray, begin: np.ndarray, k: int) -> np.ndarray:
+    """``gram_hashes`` at the given places only."""
+    h = np.zeros(len(begin), np.uint64)
+    with np.errstate(over="ignore"):
+        for i in range(k):
+            h = h * _BASE + x[begin + i].astype(np.uint64)
+    return h
 
 
-def _items(items: DataFrame) -> list[tuple[int, str]]:
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    if size > MAX_ITEM_CHARS:
-        raise ValueError(f"the items have {size} characters; split them into sets of {MAX_ITEM_CHARS} and union the results")
-    return [(r[0], r[1]) for r in items.select("item_id", "text").distinct().collect() if r[1]]
+def _sets(items: DataFrame) -> Iterator[list[tuple[int, str]]]:
+    """The items in sets of about ``SET_CHARS`` characters, each fetched by itself."""
+    rows = items.filter("length(text) > 0").select("item_id", "text").distinct()
+    size = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-size // SET_CHARS))
+    part = F.pmod(F.xxhash64("item_id", "text"), F.lit(n))
+    for i in range(n):
+        yield [(r[0], r[1]) for r in (rows if n == 1 else rows.filter(part == i)).collect()]
+
+
+def _indexes(spark, items: DataFrame, limits: dict) -> list:
+    return [spark.sparkContext.broadcast(LeakIndex(s, **limits)) for s in _sets(items)]
 
 
 def find_leaks(documents: DataFrame, items: DataFrame, **limits) -> DataFrame:
@@ -388,50 +564,42 @@ def find_leaks(documents: DataFrame, items: DataFrame, **limits) -> DataFrame:
     texts leak nothing; items shorter than the limit cannot leak. Items that share a passage all count. Repeated documents give
     repeated rows. An empty item table gives an empty result. Documents are never split or shuffled: one pass over the texts.
     """
-    index = documents.sparkSession.sparkContext.broadcast(_items(items))
-    made: dict[str, LeakIndex] = {}
+    indexes = _indexes(documents.sparkSession, items, limits)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if "index" not in made:
-            made["index"] = LeakIndex(index.value, **limits)
         for b in batches:
-            for i in range(0, b.num_rows, 500):
-                part = b.slice(i, 500)
-                ids = part.column("doc_id").to_pylist()
-                rows = [(ids[d], *rest) for d, *rest in made["index"].search(part.column("text").to_pylist())]
-                if rows:
-                    yield pa.RecordBatch.from_pandas(_frame(rows), preserve_index=False)
+            for i in range(0, b.num_rows, TEXTS):
+                part = b.slice(i, TEXTS)
+                ids, texts = part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+                rows = [(ids[d], *rest) for index in indexes for d, *rest in index.value.search(texts)]
+                kinds = (pa.int64(), pa.int64(), *[pa.int32()] * 4)
+                yield pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], k) for j, k in enumerate(kinds)], ["doc_id", "item_id", "words", "matched", "start", "stop"])
 
     return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, SCHEMA)
 
 
-def _frame(rows):
-    import pandas as pd
-
-    f = pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "matched", "start", "stop"])
-    return f.astype({c: "int32" for c in ("words", "matched", "start", "stop")})
-
-
 def remove_leaks(documents: DataFrame, items: DataFrame, max_coverage: float = 0.5, **limits) -> DataFrame:
-    """The documents' ``doc_id`` and ``text`` without the leaked stretches; texts with more than ``max_coverage`` of their length
-    leaked come out as null. Texts without a leak stay as they are."""
-    spans = find_leaks(documents, items, **limits).groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))  # at most one per item
+    """The documents' ``doc_id`` and ``text`` without the leaked stretches, cut in the pass that finds them; texts with more than
+    ``max_coverage`` of their length leaked come out as null. Texts without a leak stay as they are."""
+    indexes = _indexes(documents.sparkSession, items, limits)
+
+    def cut(t: str, spans: list[tuple[int, int]]) -> str | None:
+        keep, last, gone = [], 0, 0
+        for a, b in sorted(spans):
+            keep.append(t[last : max(last, a)])
+            gone += max(0, b - max(last, a))
+            last = max(last, b)
+        return None if gone > max_coverage * len(t) else "".join(keep) + t[last:]
 
-    @F.pandas_udf("string")
-    def cut(text, spans):
-        import pandas as pd
-
-        out = []
-        for t, s in zip(text, spans):
-            if t is None or s is None or not len(s):
-                out.append(t)
-                continue
-            keep, last, gone = [], 0, 0
-            for a, b in sorted((x["start"], x["stop"]) for x in s):
-                keep.append(t[last : max(last, a)])
-                gone += max(0, b - max(last, a))
-                last = max(last, b)
-            out.append(None if gone > max_coverage * len(t) else "".join(keep) + t[last:])
-        return pd.Series(out, dtype=object)
-
-    return documents.select("doc_id", "text").join(spans, "doc_id", "left").select("doc_id", cut("text", "spans").alias("text"))
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(0, b.num_rows, TEXTS):
+                part = b.slice(i, TEXTS)
+                texts = part.column("text").to_pylist()
+                spans: dict[int, list] = {}
+                for index in indexes:
+                    for d, _, _, _, start, stop in index.value.search(texts):
+                        spans.setdefault(d, []).append((start, stop))
+                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([cut(t, spans[d]) if d in spans else t for d, t in enumerate(texts)], pa.string())], ["doc_id", "text"])
+
+    return documents.select(F.col("doc_id").cast("long"), "text").mapInArrow(work, "doc_id long, text string")

@@ -30,6 +30,9 @@ def test_automaton_against_brute_force():
         longest = [max((n for n in range(i + 1) if any(t[i - n : i] in s for s in items)), default=0) for i in range(1, len(t) + 1)]
         want = [(i - n, n) for i, n in enumerate(longest, 1) if n >= 3 and (i == len(t) or longest[i] <= n)]
         assert sam.maximal(t, 3) == want
+        x = np.array(list(map(ord, t)), np.uint32)
+        for least in (1, 3, 6):
+            assert leaks.Flat(sam).long_matches(x, np.full(len(x), least, np.int32), least).tolist() == [n >= least for n in longest]
 
 
 def item(r, n=60):
@@ -48,6 +51,46 @@ def test_leak_limits(n, altered, leaks_):
     assert [(d, i) for d, i, *_ in got] == ([(2, 1)] if leaks_ else [])
 
 
+@pytest.mark.parametrize("letters", [1, 20, 35, 60, 100])
+def test_altered_words_of_any_length(letters):
+    r = random.Random(letters)
+    found = 0
+    for _ in range(20):
+        passage = item(r, 60)
+        words = passage.split()[10:34]
+        for i in r.sample(range(1, 23), 2):
+            words[i] = "q" * letters
+        found += [i for _, i, *_ in LeakIndex([(1, passage)]).search(["so " + " ".join(words) + " on"])] == [1]
+    assert found == 20
+
+
+def test_leaks_against_brute_force():
+    """Random alterations, insertions and losses: what leaks by the definition is found, and nothing else."""
+    r = random.Random(21)
+    passage = item(r, 80)
+    w = passage.split()
+    index = LeakIndex([(1, passage)])
+    for _ in range(60):
+        n = r.randrange(20, 60)
+        at = r.randrange(0, 80 - n)
+        bad = set(r.sample(range(n), r.randrange(0, n // 5)))
+        text = " ".join("zz" * r.randrange(1, 9) if k in bad else w[at + k] for k in range(n))
+        want = max((j - i + 1 for i in range(n) for j in range(i, n) if j - i + 1 >= 24 and i not in bad and j not in bad and sum(k in bad for k in range(i, j + 1)) <= (j - i + 1) * 0.1), default=0)
+        got = list(index.search(["before it " + text + " after it"]))
+        assert (got[0][2] if got else 0) == want
+
+
+def test_very_long_items_and_sets(spark, monkeypatch):
+    r = random.Random(4)
+    passage = item(r, 3000)
+    ((_, _, n, m, a, b),) = LeakIndex([(1, passage)]).search([passage.replace(" ", "\n")])
+    assert (n, m, a, b) == (3000, 3000, 0, len(passage))
+    monkeypatch.setattr(leaks, "SET_CHARS", 300)
+    items = spark.createDataFrame([(i, item(random.Random(i), 30)) for i in range(6)], "item_id long, text string")
+    docs = spark.createDataFrame([(i, "x " + item(random.Random(i), 30)) for i in range(6)], "doc_id long, text string")
+    assert sorted((x["doc_id"], x["item_id"]) for x in find_leaks(docs, items).collect()) == [(i, i) for i in range(6)]
+
+
 def test_page_number_hyphen_and_offsets():
     passage = item(random.Random(5))
     w = passage.split()

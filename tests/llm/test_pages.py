@@ -79,7 +79,7 @@ def test_the_search_decides_where_a_table_cannot():
 
 def test_hot_classes_and_links(spark, monkeypatch):
     monkeypatch.setattr(lookalikes, "SALT_ROWS", 7)
-    p = pages(spark, *[{"blocks": [block("No. 12"), block("x" * 3)]} for _ in range(40)], {"blocks": [block("Ｎｏ． １２")]}, {"blocks": [block("No. 12")]})
+    p = pages(spark, *[{"blocks": [block("No. 12"), block("x" * 3)]} for _ in range(40)], {"blocks": [block("Ｎｏ． １２")]}, {"blocks": [block("No.\u00a012")]})
     s = lookalikes.Scripts()
     got = lookalikes.look_alike_pairs(p, s).collect()
     assert len(got) == len(set(got)) == 40 * 1 + 40 * 1 + 1 and all((r[0], r[1]) < (r[2], r[3]) for r in got)
