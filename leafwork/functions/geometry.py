@@ -26,3 +26,10 @@ def clamp_page(index: Column, pages: Column) -> Column:
 def scale(page: Column, image: Column) -> Column:
     """Page points per image pixel; 1 where the image has no extent."""
     return F.when(image == 0, F.lit(1.0)).otherwise(page / image)
+
+
+def to_points(box: Column, width: Column, height: Column, page_width: Column, page_height: Column) -> Column:
+    """A box in image pixels in points of its page: scaled, not flipped, corners ordered."""
+    sx, sy = scale(page_width, width), scale(page_height, height)
+    x, y = [box[i] * sx for i in (0, 2)], [box[i] * sy for i in (1, 3)]
+    return F.array(F.least(*x), F.least(*y), F.greatest(*x), F.greatest(*y))

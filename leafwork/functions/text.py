@@ -49,15 +49,37 @@ def classify(text: Column, mean_height: Column) -> Column:
     )
 
 
+# LaTeX commands and the signs they stand for (fixed values).
+LATEX = {"Rightarrow": "→", "rightarrow": "→", "to": "→", "Leftarrow": "←", "leftarrow": "←", "Leftrightarrow": "↔", "leq": "≤", "le": "≤", "geq": "≥", "ge": "≥", "neq": "≠", "ne": "≠", "approx": "≈", "equiv": "≡", "pm": "±", "times": "×", "div": "÷", "cdot": "·", "sum": "∑", "prod": "∏", "int": "∫", "infty": "∞", "partial": "∂", "nabla": "∇", "in": "∈", "notin": "∉", "subset": "⊂", "supset": "⊃", "cup": "∪", "cap": "∩",
+         "alpha": "α", "beta": "β", "gamma": "γ", "delta": "δ", "epsilon": "ε", "theta": "θ", "lambda": "λ", "mu": "μ", "pi": "π", "rho": "ρ", "sigma": "σ", "phi": "φ", "omega": "ω", "Delta": "Δ", "Sigma": "Σ", "Omega": "Ω"}
+
+
+def latex_plain(c: Column) -> Column:
+    """LaTeX commands as signs; text without a backslash, and commands that are not known, stay as they are."""
+    out = c
+    for name in sorted(LATEX, key=lambda k: (-len(k), k)):
+        out = F.regexp_replace(out, rf"\\{name}(?![A-Za-z])", LATEX[name])
+    return F.when(F.contains(c, F.lit("\\")), out).otherwise(c)
+
+
+def localised(texts: Column, locale: Column, key: Column, fallback: str = "en") -> Column:
+    """A text by locale and key from a map of maps; else in the fallback locale, else the key."""
+    return F.coalesce(F.try_element_at(F.try_element_at(texts, locale), key), F.try_element_at(F.try_element_at(texts, F.lit(fallback)), key), key)
+
+
+# Signs that common fonts lack and their like; operators that stand close to what follows (fixed values).
+GLYPHS, OPERATORS = ("⩽⩾⇒⇐⇔", "≤≥→←↔"), "×÷±≤≥⩽⩾≠≈≡∼∈∉⊂⊃∪∩→←↑↓⇒⇐⇔"
+
+
 def tidy_formula(c: Column) -> Column:
     """Formula text on one line with tight bars, exponents and operators, and glyphs that common fonts have."""
     lines = F.filter(F.transform(split_lines(c), strip), lambda x: x != "")
     t = strip(F.regexp_replace(F.array_join(lines, " "), " {2,}", " "))
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)\|\s+", "|"), r"(?U)\s+\|", "|")
-    t = F.translate(t, "⩽⩾⇒⇐⇔", "≤≥→←↔")
+    t = F.translate(t, *GLYPHS)
     t = F.regexp_replace(t, r"(?U)\b(\d)\s+(\d)\b", "$1$2")
     t = F.regexp_replace(F.regexp_replace(t, r"(?U)\s*\^\s*", "^"), r"(?U)(\^[-+])\s+", "$1")
-    return F.regexp_replace(t, r"(?U)([×÷±≤≥⩽⩾≠≈≡∼∈∉⊂⊃∪∩→←↑↓⇒⇐⇔])\s+", "$1")
+    return F.regexp_replace(t, rf"(?U)([{OPERATORS}])\s+", "$1")
 
 
 def font_of(c: Column) -> Column:

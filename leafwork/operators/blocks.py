@@ -35,8 +35,14 @@ def low_confidence(pages: DataFrame, threshold: float = 60) -> DataFrame:
     return pages.select("page_id", "job_id", F.coalesce(F.size(F.filter(pct, lambda p: p < threshold)), F.lit(0)).alias("low"), F.coalesce(F.exists(pct, lambda p: p.isNotNull()), F.lit(False)).alias("has_conf"))
 
 
-def edit_block(pages: DataFrame, index: int, text: str) -> DataFrame:
-    return pages.withColumn("blocks", F.transform("blocks", lambda b, i: F.when(i == index, b.withField("text", F.lit(text))).otherwise(b)))
+def edit_block(pages: DataFrame, index: int, text: str | None = None, font_scale: float | None = None) -> DataFrame:
+    """A block's text or size gain (0.5 to 1.5) changed by its place; pages without that block stay as they are."""
+
+    def changed(b):
+        b = b if text is None else b.withField("text", F.lit(text))
+        return b if font_scale is None else b.withField("font_scale", F.lit(max(0.5, min(1.5, float(font_scale)))))
+
+    return pages.withColumn("blocks", F.transform("blocks", lambda b, i: F.when(i == index, changed(b)).otherwise(b)))
 
 
 def delete_block(pages: DataFrame, index: int) -> DataFrame:

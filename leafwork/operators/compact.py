@@ -14,13 +14,15 @@ from decimal import Decimal, InvalidOperation
 
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from leafwork.shared import delete, scratch, stage
-from leafwork.sources.parquet_blocks import merge, read_footer
+from leafwork.sources.parquet_blocks import merge
 
-TARGET_BYTES = 128 << 20
+TARGET_BYTES, SPREAD = 128 << 20, 4096
+#: Members of a record that are paired in one piece; larger groups are salted.
+SALT_ROWS = 2000
 MANIFEST = "out_file string, source_files long, source_bytes long, rows long, blocks long, bytes long"
 
 #: What a block field that is left out stands for.
@@ -39,30 +41,33 @@ def _uri(path: str) -> str:
 def compact_parquet(spark: SparkSession, folder: str, out: str, target_bytes: int = TARGET_BYTES) -> DataFrame:
     """Merge the Parquet files below ``folder`` into files of about ``target_bytes`` in ``out``; returns the manifest.
 
-    Files are spread over ``ceil(total / target_bytes)`` groups by a hash of their path, and each group is one task that copies
-    blocks one after the other, so neither the driver nor a task holds the data. Files larger than the target form a group's
-    bulk by themselves. The rows of the manifest add up to the inputs' rows or the call fails. An empty folder gives an empty
+    Files are put in groups of at most ``target_bytes`` by the running sum of their sizes (within ``SPREAD`` parts, so no task orders all of
+    them); a larger file is a group by itself. Each group is one task that copies blocks one after the other, so neither the driver
+    nor a task holds the data. Before anything is returned, the manifest is held against the listing (files) and against an own count of the
+    rows, taken by reading the outputs' footers through Spark; a difference makes the call fail. An empty folder gives an empty
     manifest. Files of unlike schema make the call fail rather than lose rows.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select("path", "length")
-    total = files.agg(F.sum("length")).first()[0] or 0
-    groups = max(1, -(-total // target_bytes))
+    files = stage(spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(folder).select("path", "length"), "files")
+    listed = files.agg(F.count(F.lit(1)), F.coalesce(F.sum("length"), F.lit(0))).first()
+    parts = max(1, min(SPREAD, -(-listed[1] // (16 * target_bytes))))
     spark._jvm.org.apache.hadoop.fs.Path(out).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).mkdirs(spark._jvm.org.apache.hadoop.fs.Path(out))
 
-    def work(pdf):
+    def work(key, pdf):
         import pandas as pd
 
         paths = [_uri(p) for p in sorted(pdf["path"])]
         fs, _ = _filesystem(paths[0])
-        name = f"{_uri(out)}/merged-{int(pdf['grp'].iloc[0]):06d}.parquet"
-        found = merge(fs, [_filesystem(p)[1] for p in paths], _filesystem(name)[1])
-        expected = sum(read_footer(fs, _filesystem(p)[1])[3][1] for p in paths)
-        if expected != found["rows"]:
-            raise ValueError(f"{name}: {found['rows']} rows, not {expected}")
-        return pd.DataFrame([{"out_file": name, "source_files": len(paths), "source_bytes": int(pdf["length"].sum()), **found}])
+        name = f"{_uri(out)}/merged-{int(key[0]):05d}-{int(key[1]):06d}.parquet"
+        return pd.DataFrame([{"out_file": name, "source_files": len(paths), "source_bytes": int(pdf["length"].sum()), **merge(fs, [_filesystem(p)[1] for p in paths], _filesystem(name)[1])}])
 
-    grouped = files.withColumn("grp", F.pmod(F.xxhash64("path"), F.lit(groups)))
-    return stage(grouped.groupBy("grp").applyInPandas(work, MANIFEST), "manifest")
+    order = Window.partitionBy("part").orderBy("length", "path")
+    grouped = files.withColumn("part", F.pmod(F.xxhash64("path"), F.lit(parts)).cast("int")).withColumn("grp", F.floor((F.sum("length").over(order) - 1) / target_bytes))
+    manifest = stage(grouped.groupBy("part", "grp").applyInPandas(work, MANIFEST), "manifest")
+    merged = manifest.agg(F.coalesce(F.sum("source_files"), F.lit(0)), F.coalesce(F.sum("source_bytes"), F.lit(0)), F.coalesce(F.sum("rows"), F.lit(0))).first()
+    rows = spark.read.parquet(out).count() if listed[0] else 0
+    if (merged[0], merged[1], merged[2]) != (listed[0], listed[1], rows):
+        raise ValueError(f"{merged[0]} files of {merged[1]} bytes and {merged[2]} rows were merged, not {listed[0]} of {listed[1]} and {rows}")
+    return manifest
 
 
 def normal_key(key: str | None) -> str | None:
@@ -158,18 +163,32 @@ def consolidate_cache(files: DataFrame, target_bytes: int = TARGET_BYTES, with_r
     smallest ``file_id`` is kept with its text as stored; same key with another page is another record. A hot record is reduced
     on the map side before the shuffle. Repeated rows of one ``file_id`` count once.
     """
-    members, m_manifest = _write_merged(keyed(files, []).select("file_id", "fp"), "members", target_bytes)
+    prints = stage(keyed(files, []).select("file_id", "fp"), "prints")
+    members, m_manifest = _write_merged(prints, "members", target_bytes)
     if not with_records:
         return Consolidated(members, members, m_manifest)
-    first = keyed(files, ["key", "page"]).groupBy("fp").agg(F.min(F.struct("file_id", "key", "page")).alias("r"))
-    records, manifest = _write_merged(first.select("r.file_id", "fp", "r.key", "r.page"), "records", target_bytes)
+    # the kept file of each record is chosen among fingerprints only; its text is fetched by a join and not carried through an aggregation
+    kept = prints.groupBy("fp").agg(F.min("file_id").alias("file_id"))
+    texts = files.select("file_id", "key", "page").join(kept, "file_id").groupBy("file_id", "fp").agg(F.any_value(F.struct("key", "page")).alias("r"))
+    records, manifest = _write_merged(texts.select("file_id", "fp", "r.key", "r.page"), "records", target_bytes)
+    if records.count() != kept.count():
+        raise ValueError("records were lost or kept twice")
     return Consolidated(records, members, manifest.unionByName(m_manifest))
 
 
+def record_members(done: Consolidated) -> DataFrame:
+    """Every file's record by its kept file: ``file_id``, ``record`` (the smallest ``file_id`` with it), ``links`` (files with the same record beside it)."""
+    m = done.members.distinct()
+    g = m.groupBy("fp").agg(F.min("file_id").alias("record"), (F.count(F.lit(1)) - 1).alias("links"))
+    return m.join(g, "fp").select("file_id", "record", "links")
+
+
 def same_record_pairs(done: Consolidated) -> DataFrame:
-    """(``file_id_a``, ``file_id_b``), smaller first, of files with the same record."""
+    """(``file_id_a``, ``file_id_b``), smaller first, of files with the same record. A record in very many files is cut into salts of ``SALT_ROWS``
+    files, each of which meets all of them in tasks of its own."""
     members = done.members.distinct()
-    shared = members.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp")
-    twice = members.join(shared, "fp", "left_semi")
-    a, b = twice.select("fp", F.col("file_id").alias("file_id_a")), twice.select("fp", F.col("file_id").alias("file_id_b"))
-    return a.join(b, "fp").filter("file_id_a < file_id_b").select("file_id_a", "file_id_b")
+    shared = members.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("fp", F.ceil(F.col("n") / SALT_ROWS).cast("int").alias("salts"))
+    twice = members.join(shared, "fp")
+    a = twice.select("fp", F.pmod(F.xxhash64("file_id"), F.col("salts")).cast("int").alias("salt"), F.col("file_id").alias("file_id_a"))
+    b = twice.select("fp", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("file_id").alias("file_id_b"))
+    return a.join(b, ["fp", "salt"]).filter("file_id_a < file_id_b").select("file_id_a", "file_id_b")

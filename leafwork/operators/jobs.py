@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BUFFER = 1000
-ENDED = ("done", "stopped", "error", "embedded")
 
 
 def missing_pages(jobs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -23,15 +22,22 @@ def once(events: DataFrame) -> DataFrame:
 def current_state(events: DataFrame) -> DataFrame:
     """The state a job's events leave it in: one aggregate per job, reduced before the shuffle, so a hot job is no hot task.
 
-    Repeated and unordered rows do not matter: everything is a maximum by ``seq``.
+    A later progress or status event clears an error and the drawing of pages (``render``). Repeated and unordered rows do not
+    matter: everything is a maximum by ``seq``.
     """
-    at = lambda c, when: F.max(F.when(when, F.struct("seq", F.col(c).alias("v"))))["v"]
-    kind, phase = F.col("event_kind"), F.col("phase")
-    progress = (kind == "progress") & (phase == "ocr")
-    state = F.when(kind == "error", "error").when((kind == "progress") & (phase == "render"), "render").when(kind == "status", F.col("status"))
-    return events.withColumn("state", state).groupBy("job_id").agg(
-        at("state", F.col("state").isNotNull()).alias("state"), at("current_page", progress).alias("current_page"), at("total", progress).alias("total"), F.max("seq").alias("last_seq"),
-        at("message", kind == "error").alias("error"))
+    at = lambda c, when: F.max(F.when(when, F.struct("seq", F.col(c).alias("v"))))
+    kind, status = F.col("event_kind"), F.col("status")
+    render = (kind == "progress") & F.coalesce(F.col("phase") == "render", F.lit(False))
+    progress, says = (kind == "progress") & ~render, kind == "status"
+    failed = kind == "error"
+    # a progress event takes over a running status only, a status event any, an error its own
+    state = F.when(failed, "error").when(says, status).when(progress & status.isin("running", "retrying"), status)
+    e = events.withColumn("state", state)
+    g = e.groupBy("job_id").agg(
+        at("state", failed | (says & status.isNotNull()) | F.col("state").isNotNull())["v"].alias("state"), at("current_page", progress | says & F.col("current_page").isNotNull())["v"].alias("current_page"), at("total", progress)["v"].alias("total"), F.max("seq").alias("last_seq"),
+        at("message", failed).alias("e"), F.max(F.when(progress | says, F.col("seq"))).alias("cleared"), at("current_page", render).alias("r"), F.max(F.when(progress | says, F.col("seq"))).alias("drawn"))
+    later = lambda x, c: F.col(f"{x}.seq") > F.coalesce(c, F.lit(-1))
+    return g.select("job_id", "state", "current_page", "total", "last_seq", F.when(later("e", "cleared"), F.col("e.v")).alias("error"), F.when(later("r", "drawn"), F.col("r.v")).alias("render"))
 
 
 def recent(events: DataFrame, n: int = BUFFER) -> DataFrame:

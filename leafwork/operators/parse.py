@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from leafwork.functions.geometry import parse_box, to_pixels
+from leafwork.functions.text import strip
 
+# The form of a mark: its kind, numbers in brackets, and the text up to the next one (fixed value).
 _MARK = r"(?s)<\|det\|>([a-z_]+)(?:\s*\[([0-9,\s]+)\])?<\|/det\|>(.*?)(?=<\|det\|>|\z)"
 
 
@@ -19,10 +21,11 @@ def marker_blocks(raw: Column) -> Column:
 
 
 def json_object(raw: Column) -> Column:
-    """The JSON object in an answer, as a variant: fenced, whole, or from the first to the last brace; null where there is none."""
-    fenced = F.regexp_extract(raw, r"(?s)```(?:json)?\s*(.*?)```", 1)
-    inner = F.regexp_extract(raw, r"(?s)\{.*\}", 0)
-    return F.coalesce(F.when(fenced != "", F.try_parse_json(fenced)), F.try_parse_json(F.trim(raw)), F.when(inner != "", F.try_parse_json(inner)))
+    """The JSON object in an answer, as a variant: that in a fence or the whole, or from its first to its last brace; null where there is none."""
+    fence = F.regexp_extract_all(raw, F.lit(r"(?s)```(?:json)?\s*(.*?)```"), F.lit(1))
+    t = strip(F.coalesce(F.get(fence, F.lit(0)), raw))  # what a fence holds, even if it is nothing
+    inner = F.regexp_extract(t, r"(?s)\{.*\}", 0)
+    return F.coalesce(F.try_parse_json(t), F.when(inner != "", F.try_parse_json(inner)))
 
 
 def json_blocks(df: DataFrame, raw: str, *keep: str) -> DataFrame:

@@ -48,6 +48,22 @@ def cache_stats(cache: DataFrame, now: Column, hours: float = CACHE_HOURS) -> Da
 
 def lookup(requests: DataFrame, cache: DataFrame, now: Column, hours: float = CACHE_HOURS) -> DataFrame:
     """Hits and misses of requested keys: a hit is the newest entry of a key, neither expired nor without a page."""
-    newest = cache.groupBy("key").agg(F.max(F.struct("mtime", "file_id", "page")).alias("e")).select("key", "e.*")
-    live = newest.filter(~expired(F.col("mtime"), now, hours) & (F.coalesce("page", F.lit("")) != "")).select("key", "file_id")
+    newest = cache.groupBy("key").agg(F.max(F.struct("mtime", "file_id", (F.coalesce("page", F.lit("")) != "").alias("has_page"))).alias("e")).select("key", "e.*")
+    live = newest.filter(~expired(F.col("mtime"), now, hours) & F.col("has_page")).select("key", "file_id")
     return requests.join(live, "key", "left").withColumn("hit", F.col("file_id").isNotNull())
+
+
+def oldest_first(files: DataFrame, referenced: DataFrame, now: Column) -> DataFrame:
+    """Files that nothing refers to with their age in hours, oldest first."""
+    f = files.join(referenced.select("path"), "path", "left_anti").withColumn("age_hours", age_hours(F.col("mtime"), now))
+    return f.orderBy(F.desc("age_hours"), "path")
+
+
+def upsert(cache: DataFrame, new: DataFrame, enabled: bool = True) -> DataFrame:
+    """A cache with further entries of its columns appended; which of a key's entries counts is decided on reading, the newest one."""
+    return cache.unionByName(new.select(*cache.columns)) if enabled else cache
+
+
+def context_key(**fields: Column) -> Column:
+    """The 64-digit key of a context: SHA-256 of its JSON with fields in the order of their names and nulls kept, so that unlike contexts differ."""
+    return F.sha2(F.to_json(F.struct(*[c.alias(n) for n, c in sorted(fields.items())]), {"ignoreNullFields": "false"}), 256)

@@ -15,7 +15,7 @@ def usable(words: DataFrame) -> DataFrame:
     return words.filter((strip(F.col("text")) != "") & (F.col("conf").cast("int") >= 0))
 
 
-def lines(words: DataFrame, page: str = "page_id", exact: bool = True) -> DataFrame:
+def lines(words: DataFrame, page: str = "page_id") -> DataFrame:
     """One row per line: box without outliers in height, top or bottom (beyond the median plus or minus three scaled median
     deviations), mean confidence and text of all words, class, and reading order.
 

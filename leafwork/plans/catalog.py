@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from leafwork.plans import compaction, reference
+from leafwork.plans import compaction, reference, service
 
-MODULES = (compaction, reference)
+MODULES = (compaction, reference, service)
 QUERIES = {k: f for m in MODULES for k, f in m.QUERIES.items()}
 SQL = {k: s for m in MODULES for k, s in m.SQL.items()}

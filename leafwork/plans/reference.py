@@ -12,7 +12,6 @@ from leafwork.operators import jobs as J
 from leafwork.operators import parse as P
 from leafwork.operators import retention as R
 from leafwork.operators import words as W
-from leafwork.operators.layout import layout
 from leafwork.streaming.jobs import run_available
 from leafwork.tables import table
 
@@ -94,14 +93,20 @@ def job_summary(spark, d):
 EVENTS = "(SELECT DISTINCT ON (job_id, seq) * FROM job_events)"
 
 
-@query("WITH e AS (SELECT *, CASE WHEN event_kind = 'error' THEN 'error' WHEN event_kind = 'progress' AND phase = 'render' THEN 'render' WHEN event_kind = 'status' THEN status END AS state, event_kind = 'progress' AND phase = 'ocr' AS pr FROM job_events) "
-       "SELECT job_id, arg_max(state, seq) FILTER (state IS NOT NULL) AS state, any_value(cp) AS current_page, any_value(tt) AS total, max(seq) AS last_seq, arg_max(message, seq) FILTER (event_kind = 'error' AND message IS NOT NULL) AS error "
-       "FROM e LEFT JOIN (SELECT job_id, current_page AS cp, total AS tt FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY seq DESC) AS rn FROM e WHERE pr) WHERE rn = 1) l USING (job_id) GROUP BY job_id")
+_STATE = f"""WITH e AS (SELECT *, event_kind = 'progress' AND phase IS DISTINCT FROM 'render' AS p, event_kind = 'status' AS s FROM {EVENTS}),
+k AS (SELECT job_id, max(seq) AS last_seq, max(seq) FILTER (p OR s) AS cleared,
+  max(seq) FILTER (event_kind = 'error' OR (s AND status IS NOT NULL) OR (p AND status IN ('running', 'retrying'))) AS at_state, max(seq) FILTER (p OR (s AND current_page IS NOT NULL)) AS at_page, max(seq) FILTER (p) AS at_total,
+  max(seq) FILTER (event_kind = 'error') AS at_error, max(seq) FILTER (event_kind = 'progress' AND phase = 'render') AS at_render FROM e GROUP BY job_id)
+SELECT k.job_id, CASE WHEN a.event_kind = 'error' THEN 'error' ELSE a.status END AS state, b.current_page, c.total, last_seq, CASE WHEN at_error > coalesce(cleared, -1) THEN d.message END AS error, CASE WHEN at_render > coalesce(cleared, -1) THEN r.current_page END AS render
+FROM k LEFT JOIN e a ON a.job_id = k.job_id AND a.seq = at_state LEFT JOIN e b ON b.job_id = k.job_id AND b.seq = at_page LEFT JOIN e c ON c.job_id = k.job_id AND c.seq = at_total LEFT JOIN e d ON d.job_id = k.job_id AND d.seq = at_error LEFT JOIN e r ON r.job_id = k.job_id AND r.seq = at_render"""
+
+
+@query(_STATE)
 def job_state(spark, d):
     return J.current_state(table(spark, d, "job_events"))
 
 
-@query()
+@query(_STATE)
 def job_state_stream(spark, d):
     path = f"{d}/job_events.parquet"
     return run_available(spark, path, spark.read.parquet(path).schema, "job-state")
@@ -187,13 +192,6 @@ def cache_lookup(spark, d):
     return R.lookup(c.select("key").distinct(), c, now())
 
 
-@query("SELECT page_id, sha256(coalesce(j.pdf_sha256, '') || '|' || page_index || '|' || coalesce(p.adapter, '') || '|' || coalesce(model, '')) AS key FROM ocr_pages p LEFT JOIN jobs j ON j.id = p.job_id")
-def cache_keys(spark, d):
-    j = table(spark, d, "jobs").select(F.col("id").alias("job_id"), "pdf_sha256")
-    e = lambda c: F.coalesce(c, F.lit(""))
-    return pages(spark, d).select("page_id", "job_id", "page_index", "adapter", "model").join(j, "job_id", "left").select("page_id", F.sha2(F.concat_ws("|", e("pdf_sha256"), F.col("page_index").cast("string"), e("adapter"), e("model")), 256).alias("key"))
-
-
 @query(f"SELECT page_id, CAST(block_index AS INT) AS block_index, [CAST(round_even(least(a, c), 0) AS INT), CAST(round_even(least(bb, dd), 0) AS INT), CAST(round_even(greatest(a, c), 0) AS INT), CAST(round_even(greatest(bb, dd), 0) AS INT)] AS bbox FROM (SELECT page_id, block_index, b.bbox[3] % 1000 * (width / 1000.0::DOUBLE) AS a, b.bbox[2] % 1000 * (height / 1000.0::DOUBLE) AS bb, b.bbox[1] % 1000 * (width / 1000.0::DOUBLE) AS c, b.bbox[4] % 1000 * (height / 1000.0::DOUBLE) AS dd FROM {FLAT} WHERE len(b.bbox) = 4)")
 def bbox_to_pixels(spark, d):
     f = B.flat(pages(spark, d), "width", "height").filter("size(bbox) = 4")
@@ -217,14 +215,17 @@ def cjk_blocks(spark, d):
 
 
 _HINTS = T.MATH_HINTS
+# White space as Python and Java with (?U) see it; RE2 knows only ASCII's.
+_WS = r"\t-\r\x{1c}-\x{1f} \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_STRIP = "regexp_replace({0}, '^[" + _WS.replace("{", "{{").replace("}", "}}") + "]+|[" + _WS.replace("{", "{{").replace("}", "}}") + "]+$', '', 'g')"
 _CLASSIFY = ("CASE WHEN t = '' THEN 'text' WHEN m >= 2 AND m / n > 0.15 THEN 'equation' WHEN n <= 40 AND regexp_matches(t, '^(\\s*\\d+([.、．]\\d+)*[.、．]?\\s*|\\s*第[一二三四五六七八九十百千万0-9]+[章节篇部分]?\\s*|\\s*§\\s*\\d+[.\\d]*\\s*|\\s*(CHAPTER|Chapter|Chapter\\s+\\d+)\\s*|\\s*[\\x{4e00}-\\x{9fff}]{1,8}\\s*)$') THEN 'heading' "
              "WHEN h > 40 AND n <= 30 AND strpos(t, '，。；：') = 0 THEN 'heading' ELSE 'text' END")
+_CLASSIFY = _CLASSIFY.replace("\\\\s", "[" + _WS + "]").replace("\\s", "[" + _WS + "]").replace("[.\\d]", "[.\\p{Nd}]").replace("\\d", "\\p{Nd}")
 
 
-@query(f"SELECT page_id, CAST(block_index AS INT) AS block_index, {_CLASSIFY} AS class FROM (SELECT page_id, block_index, trim(b.text, ' ' || chr(10)) AS t, length(t) AS n, n - length(translate(t, '{_HINTS}', '')) AS m, b.bbox[4] - b.bbox[2] AS h FROM {FLAT} WHERE b.text IS NOT NULL AND len(b.bbox) = 4 AND regexp_matches(b.text, '^[\\x20-\\x7e\\n\\x{{4e00}}-\\x{{9fff}}，。；：]*$'))")
+@query(f"SELECT page_id, CAST(block_index AS INT) AS block_index, {_CLASSIFY} AS class FROM (SELECT page_id, block_index, {_STRIP.format('b.text')} AS t, length(t) AS n, n - length(translate(t, '{_HINTS}', '')) AS m, b.bbox[4] - b.bbox[2] AS h FROM {FLAT} WHERE b.text IS NOT NULL AND len(b.bbox) = 4)")
 def classify_blocks(spark, d):
-    plain = r"^[\x20-\x7e\n\x{4e00}-\x{9fff}，。；：]*$"  # texts in which SQL's and Python's white space agree
-    f = B.flat(pages(spark, d)).filter(F.col("text").isNotNull() & (F.size("bbox") == 4) & F.col("text").rlike(plain))
+    f = B.flat(pages(spark, d)).filter(F.col("text").isNotNull() & (F.size("bbox") == 4))
     return f.select("page_id", "block_index", T.classify(F.col("text"), (F.col("bbox")[3] - F.col("bbox")[1]).cast("double")).alias("class"))
 
 
@@ -233,11 +234,11 @@ def tidy_formulas(spark, d):
     return B.flat(pages(spark, d)).filter("kind = 'equation' and text is not null").select("page_id", "block_index", T.tidy_formula(F.col("text")).alias("text"))
 
 
-@query(f"SELECT page_id, b.kind AS kind, [b.bbox[1], b.bbox[2], b.bbox[3], b.bbox[4]] AS box, b.text AS text FROM {FLAT} WHERE b.text IS NOT NULL AND len(b.bbox) = 4 AND regexp_full_match(b.kind, '[a-z_]+')")
+@query(f"SELECT page_id, b.kind AS kind, [b.bbox[1], b.bbox[2], b.bbox[3], b.bbox[4]] AS box, coalesce(b.text, '') AS text FROM {FLAT} WHERE len(b.bbox) = 4 AND len(list_filter(b.bbox, lambda x: x >= 0)) = 4 AND regexp_full_match(b.kind, '[a-z_]+')")
 def marker_blocks(spark, d):
-    """Blocks written as marked-up text and parsed back."""
-    ok = F.filter("blocks", lambda b: b["text"].isNotNull() & (F.size(b["bbox"]) == 4) & b["kind"].rlike("^[a-z_]+$"))
-    raw = F.array_join(F.transform(ok, lambda b: F.concat(F.lit("<|det|>"), b["kind"], F.lit(" ["), F.array_join(b["bbox"].cast("array<string>"), ", "), F.lit("]<|/det|>"), b["text"])), "")
+    """Blocks written as marked-up text and parsed back; boxes of other than four numbers and kinds of other letters make marks that are skipped."""
+    none = lambda c: F.coalesce(c, F.lit(""))
+    raw = F.array_join(F.transform("blocks", lambda b: F.concat(F.lit("<|det|>"), none(b["kind"]), F.lit(" ["), none(F.array_join(b["bbox"].cast("array<string>"), ", ")), F.lit("]<|/det|>"), none(b["text"]))), "")
     return pages(spark, d).select("page_id", F.explode(P.marker_blocks(raw)).alias("m")).select("page_id", "m.*")
 
 
@@ -264,40 +265,36 @@ def caption_pairs(spark, d):
     return B.pair_captions(B.flat(pages(spark, d)).select("page_id", "block_index", role.alias("role")), ["page_id"], "block_index")
 
 
-_WORDS = f"(SELECT doc_id AS page_id, CAST(ln // 20 AS INT) AS block_num, CAST(ln // 4 AS INT) AS par_num, CAST(ln AS INT) AS line_num, CAST(u.i AS INT) AS word_seq, 10 * CAST(u.i AS INT) AS \"left\", 20 * ln + length(w) % 3 AS top, 8 * length(w) AS width, 10 + length(w) % 5 AS height, w AS text, CAST(CASE WHEN (ln + u.i) % 17 = 0 THEN -1 ELSE length(w) * 7 % 100 END AS DOUBLE) AS conf FROM {LINES} l, UNNEST(range(1, len(string_split(line, ' ')) + 1)) AS u(i), LATERAL (SELECT string_split(line, ' ')[u.i] AS w) WHERE regexp_full_match(line, '[ -~]*'))"
+_WORDS = f"(SELECT doc_id AS page_id, CAST(ln // 20 AS INT) AS block_num, CAST(ln // 4 AS INT) AS par_num, CAST(ln AS INT) AS line_num, CAST(u.i AS INT) AS word_seq, 10 * CAST(u.i AS INT) AS \"left\", 20 * ln + length(w) % 3 AS top, 8 * length(w) AS width, 10 + length(w) % 5 AS height, w AS text, CAST(CASE WHEN (ln + u.i) % 17 = 0 THEN -1 ELSE length(w) * 7 % 100 END AS DOUBLE) AS conf FROM {LINES} l, UNNEST(range(1, len(string_split(line, ' ')) + 1)) AS u(i), LATERAL (SELECT string_split(line, ' ')[u.i] AS w))"
 
 
 def words_of(spark, d):
-    """Words with boxes made from the documents' lines (plain ASCII ones, so that SQL can follow)."""
-    doc = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line")).filter(F.col("line").rlike("^[ -~]*$"))
+    """Words with boxes made from the documents' lines."""
+    doc = table(spark, d, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ln", "line"))
     w = doc.select("doc_id", "ln", F.posexplode(F.split("line", " ")).alias("i", "text"))
     n = F.length("text")
     return w.select(F.col("doc_id").alias("page_id"), F.floor(F.col("ln") / 20).cast("int").alias("block_num"), F.floor(F.col("ln") / 4).cast("int").alias("par_num"), F.col("ln").alias("line_num"), (F.col("i") + 1).alias("word_seq"), (10 * (F.col("i") + 1)).alias("left"), (20 * F.col("ln") + n % 3).alias("top"), (8 * n).alias("width"), (10 + n % 5).alias("height"), "text", F.when((F.col("ln") + F.col("i") + 1) % 17 == 0, -1.0).otherwise((n * 7 % 100).cast("double")).alias("conf"))
 
 
-@query(f"""WITH w AS (SELECT *, top + height AS bottom FROM {_WORDS} WHERE text <> '' AND conf >= 0),
+_LINES = f"""WITH w AS (SELECT *, top + height AS bottom FROM {_WORDS} WHERE {_STRIP.format('text')} <> '' AND trunc(conf) >= 0),
 m AS (SELECT page_id, block_num, par_num, line_num, median(height) AS mh, median(top) AS mt, median(bottom) AS mb FROM w GROUP BY ALL),
 x AS (SELECT w.*, mh, mt, mb FROM w JOIN m USING (page_id, block_num, par_num, line_num)),
 s AS (SELECT page_id, block_num, par_num, line_num, median(abs(height - mh)) AS dh, median(abs(top - mt)) AS dt, median(abs(bottom - mb)) AS db FROM x GROUP BY ALL),
 y AS (SELECT x.*, (dh = 0 OR abs(height - mh) <= 3 * 1.4826::DOUBLE * dh) AND (dt = 0 OR abs(top - mt) <= 3 * 1.4826::DOUBLE * dt) AND (db = 0 OR abs(bottom - mb) <= 3 * 1.4826::DOUBLE * db) AS ok0 FROM x JOIN s USING (page_id, block_num, par_num, line_num)),
 z AS (SELECT *, ok0 OR NOT bool_or(ok0) OVER (PARTITION BY page_id, block_num, par_num, line_num) AS ok FROM y)
-SELECT page_id, line_num, CAST(min("left") FILTER (ok) AS INT) AS x1, CAST(min(top) FILTER (ok) AS INT) AS y1, CAST(max("left" + width) FILTER (ok) AS INT) AS x2, CAST(max(bottom) FILTER (ok) AS INT) AS y2, round(avg(conf), 6) AS conf, string_agg(text, ' ' ORDER BY word_seq) AS text, CAST(row_number() OVER (PARTITION BY page_id ORDER BY min(top), min("left"), min(word_seq)) AS INT) AS reading_order FROM z GROUP BY page_id, block_num, par_num, line_num""")
+SELECT page_id, line_num, CAST(min("left") FILTER (ok) AS INT) AS x1, CAST(min(top) FILTER (ok) AS INT) AS y1, CAST(max("left" + width) FILTER (ok) AS INT) AS x2, CAST(max(bottom) FILTER (ok) AS INT) AS y2, round(avg(conf), 6) AS conf, CASE WHEN regexp_matches(string_agg(text, '' ORDER BY word_seq), '[\\x{{4e00}}-\\x{{9fff}}\\x{{3040}}-\\x{{30ff}}\\x{{ac00}}-\\x{{d7af}}]') THEN string_agg(text, '' ORDER BY word_seq) ELSE string_agg(text, ' ' ORDER BY word_seq) END AS text, avg(height) FILTER (ok) AS h, CAST(row_number() OVER (PARTITION BY page_id ORDER BY min(top), min("left"), min(word_seq)) AS INT) AS reading_order FROM z GROUP BY page_id, block_num, par_num, line_num"""
+
+
+@query(f"SELECT * EXCLUDE (h) FROM ({_LINES})")
 def line_clusters(spark, d):
     return W.lines(words_of(spark, d)).select("page_id", "line_num", *[F.col(c).cast("int").alias(c) for c in ("x1", "y1", "x2", "y2")], F.round("conf", 6).alias("conf"), "text", "reading_order")
 
 
-@query()
+@query(f"SELECT {_CLASSIFY} AS kind, count(*) AS lines FROM (SELECT {_STRIP.format('text')} AS t, length(t) AS n, n - length(translate(t, '{_HINTS}', '')) AS m, h FROM ({_LINES})) GROUP BY kind")
 def line_classes(spark, d):
     return W.lines(words_of(spark, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("lines"))
 
 
-@query()
-def font_info(spark, d):
-    f = B.flat(pages(spark, d)).filter(B.embeddable(F.col("kind"), F.col("text")) & (F.size("bbox") == 4))
-    f = f.select("page_id", "block_index", "text", "font_scale", *[F.col("bbox")[i].alias(n) for i, n in enumerate(("x1", "y1", "x2", "y2"))])
-    return layout(f, "page_id", "block_index").select("page_id", "block_index", "font", F.round("derived", 2).alias("derived"), F.round("size", 2).alias("size"), F.size("lines").alias("lines"))
-
-
 @query()
 def page_json(spark, d):
     return B.compact_json(pages(spark, d))
@@ -315,19 +312,12 @@ def edit_first_block(spark, d):
     return p.select("page_id", F.get("blocks", F.lit(0))["text"].alias("first_text"), F.get("blocks", F.lit(1))["text"].alias("second_text"))
 
 
-@query("SELECT count(*) AS attempted, count(*) FILTER (l_discount * 100 < l_tax * 100) AS replaced, CAST(sum(l_partkey) AS BIGINT) AS before_bytes, CAST(sum(CASE WHEN l_suppkey < l_partkey THEN l_suppkey ELSE l_partkey END) AS BIGINT) AS after_bytes FROM lineitem")
-def image_choice(spark, d):
-    """The smaller of two encodings wins; sizes stand in the line items' keys."""
-    l = table(spark, d, "lineitem")
-    return l.agg(F.count(F.lit(1)).alias("attempted"), F.count_if(F.col("l_discount") * 100 < F.col("l_tax") * 100).alias("replaced"), F.sum("l_partkey").alias("before_bytes"), F.sum(F.least("l_suppkey", "l_partkey")).alias("after_bytes"))
-
-
 _SIZE = "CASE WHEN size_bytes * 1000 < 1024 THEN format('{:.0f} B', size_bytes * 1000.0) WHEN size_bytes * 1000 < 1048576 THEN CASE WHEN size_bytes * 1000 / 1024.0 >= 100 THEN format('{:.0f} KB', floor(size_bytes * 1000 / 1024.0::DOUBLE + 0.5)) ELSE format('{:.1f} KB', size_bytes * 1000 / 1024.0::DOUBLE) END ELSE format('{:.1f} MB', size_bytes * 1000 / 1048576.0::DOUBLE) END"
 
 
-@query(f"SELECT file_id, {_SIZE} AS size FROM cache_files WHERE size_bytes < 10000 AND size_bytes > 0")
+@query(f"SELECT file_id, {_SIZE} AS size FROM cache_files")
 def byte_sizes(spark, d):
-    c = table(spark, d, "cache_files").filter("size_bytes < 10000 and size_bytes > 0")
+    c = table(spark, d, "cache_files")
     return c.select("file_id", T.byte_size((F.col("size_bytes") * 1000).cast("double")).alias("size"))
 
 

@@ -1,7 +1,9 @@
 """Shared scratch space and staged tables.
 
 Everything an operator has to write on the way (staged tables, merged files) goes to the folder the session names in
-``spark.checkpoint.dir``, which all executors can reach. Only a local session without that setting gets a temporary folder.
+``spark.checkpoint.dir``, which all executors can reach; a cluster session without that setting is
+refused, and a local one, as in tests, gets a folder of its own. ``clear`` removes what earlier
+calls have written, for long sessions; the rest goes when the driver's Python ends.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not at:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        at = "file://" + tempfile.mkdtemp(prefix="leafwork-")
+        at = "file://" + tempfile.mkdtemp(prefix="leafwork-")  # one process: every task is on this machine
         spark.conf.set("spark.checkpoint.dir", at)
         _OPENED.setdefault(at, spark)
     return at.rstrip("/") if "://" in at else "file://" + at.rstrip("/")
@@ -48,6 +50,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete the scratch of all earlier calls. Frames made before it can no longer be read."""
+    for path in [p for p, s in _OPENED.items() if s is spark]:
+        delete(spark, path)
+        del _OPENED[path]
+
+
 def _clear() -> None:
     for path, spark in _OPENED.items():
         try:

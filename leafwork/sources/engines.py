@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import hashlib
+import json
+import shlex
+import shutil
+import subprocess
+import urllib.request
 from abc import ABC, abstractmethod
 from collections.abc import Callable, Iterator
 
@@ -45,16 +52,67 @@ def engine(name: str | None, default: str = "unlimited") -> Engine:
     return _ENGINES[key]()
 
 
-class _Missing(Engine):
-    def __init__(self, needs: str):
-        self.needs = needs
+class ChatEngine(Engine):
+    """A recogniser behind a chat-completions address: the page as a PNG in the message, temperature 0, no second try."""
+
+    def __init__(self, base_url: str = "", model: str = "", api_key: str = "", prompt: str = "", max_tokens: int = 32767, timeout: float = 300.0):
+        self.base_url, self.model, self.api_key, self.prompt, self.max_tokens, self.timeout = base_url.rstrip("/"), model, api_key, prompt, min(int(max_tokens), 32767), timeout
+
+    def fingerprint(self) -> dict[str, str]:
+        key = hashlib.sha256(self.api_key.encode()).hexdigest() if self.api_key else ""
+        return {"engine": type(self).__name__, "base_url": self.base_url, "model": self.model, "prompt": self.prompt, "max_tokens": str(self.max_tokens), "key_sha256": key}
 
     def recognise(self, image: bytes, width: int, height: int) -> str:
-        raise Unavailable(f"{self.needs} is not installed")
+        if not self.base_url:
+            raise Unavailable("no address is set")
+        picture = {"type": "image_url", "image_url": {"url": "data:image/png;base64," + base64.b64encode(image).decode()}}
+        body = {"model": self.model, "temperature": 0, "max_tokens": self.max_tokens, "messages": [{"role": "user", "content": [picture, {"type": "text", "text": self.prompt}]}]}
+        ask = urllib.request.Request(f"{self.base_url}/chat/completions", json.dumps(body).encode(), {"Content-Type": "application/json", "Authorization": f"Bearer {self.api_key}"})
+        with urllib.request.urlopen(ask, timeout=self.timeout) as answer:
+            raw = json.load(answer)
+        try:
+            return raw["choices"][0]["message"]["content"] or ""
+        except (KeyError, IndexError, TypeError):
+            return ""
+
 
+class CommandEngine(Engine):
+    """A recogniser that is a program on the executor: gives its table of words as text."""
 
-for _name, _needs in (("unlimited", "an HTTP endpoint"), ("tesseract", "the tesseract binary"), ("generic_openai", "an HTTP endpoint")):
-    register(_name, lambda needs=_needs: _Missing(needs))
+    def __init__(self, lang: str = "eng", psm: str = "", oem: str = "", config: str = "", command: str = "tesseract"):
+        self.lang, self.psm, self.oem, self.config, self.command = lang, str(psm), str(oem), config, command
+
+    def fingerprint(self) -> dict[str, str]:
+        return {"engine": type(self).__name__, "lang": self.lang, "flags": " ".join(self.flags())}
+
+    def flags(self) -> list[str]:
+        """The extra flags, and --psm and --oem where they do not hold them already."""
+        given = shlex.split(self.config)
+        return given + [x for name, v in (("--psm", self.psm), ("--oem", self.oem)) if v and name not in given for x in (name, v)]
+
+    def recognise(self, image: bytes, width: int, height: int) -> str:
+        if shutil.which(self.command) is None:
+            raise Unavailable(f"{self.command} is not installed")
+        done = subprocess.run([self.command, "stdin", "stdout", "-l", self.lang, *self.flags(), "tsv"], input=image, capture_output=True, timeout=300)
+        if done.returncode:
+            raise Unavailable(done.stderr.decode("utf-8", "replace").strip()[:500])
+        return done.stdout.decode("utf-8", "replace")
+
+
+# The names recognisers go by (fixed values).
+register("unlimited", ChatEngine)
+register("tesseract", CommandEngine)
+register("generic_openai", ChatEngine)
+
+
+def configured(name: str | None, overrides: dict[str, str]) -> Engine:
+    """An engine with overrides; where it does not take them, one with its defaults."""
+    key = (name or "unlimited").strip().lower()
+    engine(key)
+    try:
+        return _ENGINES[key](**overrides)
+    except TypeError:
+        return _ENGINES[key]()
 
 
 def recognise(images: DataFrame, make: Callable[[], Engine]) -> DataFrame:

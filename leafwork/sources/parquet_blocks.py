@@ -6,6 +6,8 @@ moved by the distance its row group moved.
 
 from __future__ import annotations
 
+import uuid
+
 import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 
@@ -51,11 +53,12 @@ def merge(fs: pafs.FileSystem, inputs: list[str], output: str) -> dict:
     """Copy all row groups of ``inputs`` into ``output`` and return its row, block and byte counts.
 
     Inputs without rows add no block. Files of unlike schema raise ``IncompatibleFile``; so does a result whose block or row
-    count, read back from disk, is not the sum of the inputs'. The output appears under its name only when it is whole.
+    count, read back from disk, is not the sum of the inputs'. The output appears under its name only when it is whole; every
+    attempt writes under a name of its own until then.
     """
     footers = [(p, read_footer(fs, p)) for p in inputs]
     first = footers[0][1]
-    groups, rows, at, temporary = [], 0, len(MAGIC), output.rpartition("/")[0] + "/_" + output.rpartition("/")[2]
+    groups, rows, at, temporary = [], 0, len(MAGIC), f"{output.rpartition('/')[0]}/_{uuid.uuid4().hex}-{output.rpartition('/')[2]}"
     with fs.open_output_stream(temporary) as out:
         out.write(MAGIC)
         for path, footer in footers:

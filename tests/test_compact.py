@@ -6,7 +6,7 @@ import pyarrow.fs as pafs
 import pyarrow.parquet as pq
 import pytest
 
-from leafwork.operators.compact import compact_parquet, consolidate_cache, normal_key, normal_page, same_record_pairs
+from leafwork.operators.compact import compact_parquet, consolidate_cache, normal_key, normal_page, record_members, same_record_pairs
 from leafwork.sources.parquet_blocks import IncompatibleFile, merge
 
 K = "ab" * 32
@@ -65,5 +65,28 @@ def test_consolidation(spark):
     done = consolidate_cache(df)
     assert sorted(r[0] for r in done.records.select("file_id").collect()) == [1, 4, 5]
     assert sorted(map(tuple, same_record_pairs(done).collect())) == [(1, 2), (1, 3), (2, 3)]
+    assert {r["file_id"]: (r["record"], r["links"]) for r in record_members(done).collect()} == {1: (1, 2), 2: (1, 2), 3: (1, 2), 4: (4, 0), 5: (5, 0)}
     empty = consolidate_cache(df.limit(0))
     assert empty.records.count() == 0 and same_record_pairs(empty).count() == 0
+
+
+def test_many_small_files_of_the_cache(spark, tmp_path):
+    """One-record files as a cache keeps them, written one by one: merged by size, none lost, none twice."""
+    sizes = {}
+    for i in range(120):
+        pq.write_table(pa.table({"key": [f"{i:064x}"], "page": ["x" * (10 + i % 7 * 400)]}), tmp_path / f"{i}.parquet", compression="none")
+        sizes[i] = (tmp_path / f"{i}.parquet").stat().st_size
+    out = str(tmp_path / "out")
+    m = compact_parquet(spark, str(tmp_path), out, target_bytes=20_000).collect()
+    assert sum(r["source_files"] for r in m) == sum(r["rows"] for r in m) == sum(r["blocks"] for r in m) == 120
+    assert max(r["source_bytes"] for r in m) <= 20_000 + max(sizes.values()) and len(m) <= 2 * sum(sizes.values()) / 20_000 + 1
+    assert spark.read.parquet(out).select("key").distinct().count() == 120 and not [f for f in os.listdir(out) if f.startswith("_")]
+
+
+def test_hot_record(spark, monkeypatch):
+    from leafwork.operators import compact
+
+    monkeypatch.setattr(compact, "SALT_ROWS", 5)
+    df = spark.createDataFrame([(i, K, '{"a":1}') for i in range(40)], "file_id long, key string, page string")
+    got = same_record_pairs(consolidate_cache(df)).collect()
+    assert len(got) == len(set(got)) == 40 * 39 // 2

@@ -117,39 +117,3 @@ def test_against_sql(spark, sql, name):
 def test_stream_equals_batch(spark):
     rows = lambda n: sorted(map(tuple, catalog.QUERIES[n](spark, SF).collect()), key=repr)
     assert rows("job_state_stream") == rows("job_state")
-
-
-def test_font_info_against_plain_code(spark):
-    from leafwork.operators.layout import EM, FILL, METRICS, layout
-    import math
-
-    cases = [("x" * n + ("\ny" if two else ""), w, h) for n in (1, 5, 40, 300) for w in (0, 30, 200) for h in (0, 12, 90) for two in (False, True)]
-    df = spark.createDataFrame([(i, t, 1.0, 10, 20, 10 + w, 20 + h) for i, (t, w, h) in enumerate(cases)], "i int, text string, font_scale double, x1 int, y1 int, x2 int, y2 int")
-    ink, leading, _ = METRICS["helv"]
-    for r in layout(df, "i").collect():
-        t, w, h = cases[r["i"]]
-        ls = t.split("\n")
-        if h <= 0:
-            size = 8.0
-        elif w <= 0:
-            size = max(h / ink, 1.0)
-        elif len(ls) > 1:
-            size = h / (len(ls) * leading)
-            widest = max(map(len, ls)) * size * EM
-            size = max(size * w / widest if widest > w else size, 0.5)
-        elif len(t) * h / ink * EM <= w * FILL:
-            size = max(h / ink, 1.0)
-        else:
-            size = math.sqrt(w * h / (len(t) * EM * leading))
-            for _ in range(12):
-                n = max(1, math.ceil(len(t) * size * EM / w - 1e-9))
-                if n == 1:
-                    size = max(h / ink * w / (len(t) * h / ink * EM), 0.5)
-                    break
-                new = h / (n * leading)
-                stop, size = abs(new - size) < 0.2, new
-                if stop:
-                    break
-            size = max(size, 0.5)
-        assert r["derived"] == pytest.approx(size), cases[r["i"]]
-        assert "".join(x["text"] for x in r["lines"]) == t.replace("\n", "")
