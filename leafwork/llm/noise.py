@@ -1,8 +1,9 @@
-"""Noise of scanned pages and its repair: a hidden Markov model labels the lines of a page as header, body or break.
+"""Noise of scanned pages and its repair: a hidden Markov model labels every line of a page as header, page number, break or body.
 
-The lines at the edges of a page are described by layout features (edge, form, length, whether the line recurs on pages nearby);
-the model, fitted by hard re-estimation on a bounded sample, labels the sequence. Broken words and misread characters are
-found against a lexicon of the pages' own words and a table of visual confusions.
+The lines are described by layout features (place on the page, form, whether a line at the edge recurs on pages nearby, how it starts and
+what came before, its block's kind and confidence); the model, fitted by hard re-estimation on a bounded sample, labels the sequence,
+and paragraphs follow its breaks. Broken words and misread characters are found against a lexicon counted over all pages and a
+table of visual confusions.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,9 +21,10 @@ from pyspark.sql import functions as F
 from leafwork.llm.languages import readable
 from leafwork.llm.lookalikes import skeleton
 from leafwork.llm.pages import bounded_sample, fields, slices
+from leafwork.shared import stage
 
 SAMPLE_PAGES = 3000
-STATES = ("body", "header", "break")
+COMMON, RARE = 300, 40
 #: A line recurs where it stands on this many pages of a stretch; a stretch is up to three buckets of this many pages.
 RECURS, BUCKET = 3, 12
 # What a character or pair of characters is visually recognised as (fixed values): read -> meant.
@@ -63,135 +66,189 @@ def line_key(line: str) -> str:
     return t if len(t) >= 4 else ""
 
 
-def edge_lines(texts: list, boxes: list, kinds: list, height) -> list[tuple[int, str, str, str]]:
-    """(block, edge, form, key) of the lines that can be headers or page numbers, in order."""
+#: Groups of features of a line: its place, form and recurrence; how it starts and what came before; its block's kind and confidence.
+EDGES, FORMS = ("mid", "near", "top", "bottom"), ("closed", "open", "table", "list", "number", "folio", "first-closed", "first-open", "first-table", "first-list")
+STARTS, KINDS = ("lower", "upper", "other"), ("text", "heading", "table", "other")
+SIZES = (len(EDGES) * len(FORMS) * 2, 2 * len(STARTS) * 3, len(KINDS) * 4)
+
+
+def page_lines(texts: list, boxes: list, kinds: list, confs: list, height) -> tuple[list[int], list[tuple[int, int, int]], list[tuple[int, str]]]:
+    """All lines of a page in order: the block of each, its features without recurrence, and (block, key) of the first lines at an edge: in the outer
+    seventh of the page's height or in its first or last two texts."""
     full = [i for i, t in enumerate(texts) if t and t.strip() and kinds[i] not in _NO_TEXT]
-    out = []
+    blocks, codes, keys = [], [], []
+    before = 2
     for n, i in enumerate(full):
         y = boxes[i][1] if boxes[i] and len(boxes[i]) == 4 and boxes[i][1] is not None else None
         at = y / height if y is not None and height else None
-        first, last = n < 2, n >= len(full) - 2
-        if not first and not last:
-            continue
-        edge = "top" if n == 0 and (at is None or at < 0.12) or at is not None and at < 0.055 else "bottom" if n == len(full) - 1 and (at is None or at > 0.8) or at is not None and at > 0.93 else "near"
+        outer = n < 2 or n >= len(full) - 2 or at is not None and (at < 0.14 or at > 0.86)
+        edge = "mid" if not outer else "top" if n == 0 and (at is None or at < 0.12) or at is not None and at < 0.055 else "bottom" if n == len(full) - 1 and (at is None or at > 0.8) or at is not None and at > 0.93 else "near"
         t = texts[i].strip()
-        line, more, _ = t.partition("\n")
+        lines = t.split("\n")
+        line = lines[0]
         if folio(t):
             above = texts[full[n - 1]].strip() if n == 1 else ""
             under_header = bool(above) and at is not None and at < 0.2 and len(above) <= 70 and "\n" not in above and not re.search(r"[.。]$", above)
-            out.append((i, edge, "folio" if at is None and n in (0, len(full) - 1) or at is not None and (at < 0.06 or at > 0.9) or under_header else "number", ""))
-        elif len(line) <= 90:
+            form = "folio" if at is None and n in (0, len(full) - 1) or at is not None and (at < 0.06 or at > 0.9) or under_header else "number"
+        else:
             shape = "table" if "|" in line and t.count("|") > 1 else "list" if re.match(r"[-–•*]\s", line) else "closed" if re.search(r"[.!?。！？]$", line) else "open"
-            out.append((i, edge, ("first-" if more else "") + shape, line_key(line)))
-    return out
+            form = ("first-" if len(lines) > 1 else "") + shape
+            if outer and (key := line_key(line)):
+                keys.append((i, key))
+        c = confs[i] if confs[i] is None or confs[i] > 1 else confs[i] * 100
+        block = KINDS.index(kinds[i] if kinds[i] in KINDS else "other") * 4 + (0 if c is None or c != c else 1 if c < 60 else 2 if c < 85 else 3)
+        for j, x in enumerate(lines):
+            x = x.strip()
+            if j:
+                form = "table" if x.count("|") > 1 else "list" if re.match(r"[-–•*]\s", x) else "closed" if re.search(r"[.!?。！？]$", x) else "open"
+            start = 0 if x[:1].islower() else 1 if x[:1].isupper() else 2
+            blocks.append(i)
+            codes.append(((EDGES.index(edge if not j else "mid") * len(FORMS) + FORMS.index(form)) * 2, ((j == 0) * len(STARTS) + start) * 3 + before, block))
+            before = 0 if re.search(r"[.!?。！？:：]$", x) else 1
+    return blocks, codes, keys
 
 
 class LineModel:
-    """A hidden Markov model over the edge lines of a page; emissions of (edge, form, recurs)."""
+    """A hidden Markov model over all lines of a page: running header, page number, line that opens a paragraph (break), line that goes on (body).
+
+    A line's features come in three groups, independent of each other given its state. Rules only give the first labels; they are then
+    estimated anew, so a line is labelled by all its features and its neighbours."""
+
+    STATES = ("body", "break", "header", "number")
 
     def __init__(self):
-        self.start = {s: math.log(1 / 3) for s in STATES}
-        self.move = {(a, b): math.log(1 / 3) for a in STATES for b in STATES}
-        self.emit: dict[tuple[str, tuple], float] = {}
+        self.start, self.move = np.full(4, -math.log(4)), np.full((4, 4), -math.log(4))
+        self.emit = [np.zeros((4, n)) for n in SIZES]
 
     @staticmethod
-    def seed(x: tuple) -> str:
-        edge, form, recurs = x
-        if form == "folio":
-            return "break"
-        return "header" if recurs and edge != "mid" and form not in ("table", "list", "first-table", "first-list", "number") else "body"
-
-    def fit(self, pages: list[list[tuple]], rounds: int = 2) -> "LineModel":
-        labels = [[self.seed(x) for x in p] for p in pages]
+    def seed(code: np.ndarray) -> np.ndarray:
+        """First labels of lines by (place, form, recurrence) and how they start."""
+        place, recurs = code[:, 0] // 2, code[:, 0] % 2
+        edge, form = place // len(FORMS), place % len(FORMS)
+        first = code[:, 1] // (3 * len(STARTS))
+        goes_on = (code[:, 1] // 3 % len(STARTS) == 0) & (code[:, 1] % 3 == 1)
+        y = np.where((first == 1) & ~goes_on, 1, 0)
+        y[(recurs == 1) & (edge > 0) & np.isin(form, [FORMS.index(f) for f in ("closed", "open", "first-closed", "first-open")])] = 2
+        y[form == FORMS.index("folio")] = 3
+        return y
+
+    def fit(self, pages: list[np.ndarray], rounds: int = 3) -> "LineModel":
+        """``pages`` are (lines, 3) features of each page."""
+        pages = [p for p in pages if len(p)]
+        if not pages:
+            return self
+        labels = [self.seed(p) for p in pages]
         for _ in range(rounds):
-            start, move, emit = Counter(), Counter(), Counter()
-            for p, y in zip(pages, labels):
-                for i, (x, s) in enumerate(zip(p, y)):
-                    emit[s, x] += 1
-                    if i:
-                        move[y[i - 1], s] += 1
-                    else:
-                        start[s] += 1
-            kinds = {x for p in pages for x in p}
-            total = Counter()
-            for (s, _), n in emit.items():
-                total[s] += n
-            self.start = {s: math.log((start[s] + 1) / (sum(start.values()) + 3)) for s in STATES}
-            self.move = {(a, b): math.log((move[a, b] + 1) / (sum(move[a, c] for c in STATES) + 3)) for a in STATES for b in STATES}
-            self.emit = {(s, x): math.log((emit[s, x] + 0.01) / (total[s] + 0.01 * len(kinds) + 1)) for s in STATES for x in kinds}
-            labels = [self.label(p) for p in pages]
+            y, x = np.concatenate(labels), np.concatenate(pages)
+            first = np.cumsum([0, *map(len, pages[:-1])])
+            start = np.bincount(y[first], minlength=4) + 1.0
+            inner = np.setdiff1d(np.arange(1, len(y)), first)
+            move = np.bincount(y[inner - 1] * 4 + y[inner], minlength=16).reshape(4, 4) + 1.0
+            self.start, self.move = np.log(start / start.sum()), np.log(move / move.sum(axis=1, keepdims=True))
+            for g, n in enumerate(SIZES):
+                c = np.bincount(y * n + x[:, g], minlength=4 * n).reshape(4, n) + 0.02
+                self.emit[g] = np.log(c / c.sum(axis=1, keepdims=True))
+            form = np.arange(SIZES[0]) // 2 % len(FORMS)
+            self.emit[0][3, ~np.isin(form, (FORMS.index("folio"), FORMS.index("number")))] = -1e9  # a page number is nothing but one
+            labels = self.label(pages)
         return self
 
-    def label(self, lines: list[tuple]) -> list[str]:
-        best, back = None, []
-        for x in lines:
-            e = {s: self.emit.get((s, x), -0.1 if s == self.seed(x) else -7.0) for s in STATES}
-            if best is None:
-                best = {s: self.start[s] + e[s] for s in STATES}
-                continue
-            came = {s: max(STATES, key=lambda r: best[r] + self.move[r, s]) for s in STATES}
-            best = {s: best[came[s]] + self.move[came[s], s] + e[s] for s in STATES}
-            back.append(came)
-        if best is None:
-            return []
-        s = max(STATES, key=lambda r: best[r])
-        out = [s]
-        for came in reversed(back):
-            s = came[s]
-            out.append(s)
-        return out[::-1]
-
-
-def recurring_lines(pages: DataFrame) -> DataFrame:
-    """Edge lines with whether each recurs: ``page_id``, ``lines`` (array of ``n``, ``block_index``, ``edge``, ``form``, ``recurs``).
-
-    Pages are counted by (job, line, bucket of pages) and a bucket adds its neighbours', so a hot job is spread by its lines and
-    buckets and no task holds more of it than that.
-    """
+    def label(self, pages: list[np.ndarray]) -> list[np.ndarray]:
+        """The best states of each page's lines; pages are decoded side by side."""
+        out = [np.zeros(0, np.int64)] * len(pages)
+        order = sorted((i for i, p in enumerate(pages) if len(p)), key=lambda i: len(pages[i]))
+        for k in range(0, len(order), 256):
+            part = order[k : k + 256]
+            size = np.array([len(pages[i]) for i in part])
+            x = np.zeros((len(part), size.max(), 3), np.int64)
+            for j, i in enumerate(part):
+                x[j, : size[j]] = pages[i]
+            e = sum(self.emit[g][:, x[:, :, g]] for g in range(3))  # (state, page, line)
+            best, back = self.start[:, None] + e[:, :, 0], np.zeros((x.shape[1], 4, len(part)), np.int8)
+            for t in range(1, x.shape[1]):
+                s = best[:, None, :] + self.move[:, :, None]
+                back[t] = s.argmax(axis=0)
+                on = t < size
+                best = np.where(on, s.max(axis=0) + e[:, :, t], best)
+            y, rows = best.argmax(axis=0), np.arange(len(part))
+            path = np.zeros(x.shape[:2], np.int64)
+            for t in range(x.shape[1] - 1, -1, -1):
+                on = t < size
+                path[on, t] = y[on]
+                y = np.where(on & (t > 0), back[t][y, rows], y)
+            for j, i in enumerate(part):
+                out[i] = path[j, : size[j]]
+        return out
+
+
+def page_features(pages: DataFrame) -> DataFrame:
+    """One row a page: ``page_id``, ``at`` and ``codes`` (the block and the features of each line, packed), ``recurs`` (its blocks whose first line recurs).
+
+    Recurrence is counted by (job, line, bucket of pages) and a bucket adds its neighbours', so a hot job is spread by its lines and
+    buckets and no task holds more of it than that."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            f = fields(b, ["kind", "bbox", "text"])
-            rows = []
-            for page, job, at, h, t, k, x in zip(*(b.column(c).to_pylist() for c in ("page_id", "job_id", "page_index", "height")), f["text"], f["kind"], f["bbox"]):
-                rows += [(page, job, at, n, i, edge, form, key) for n, (i, edge, form, key) in enumerate(edge_lines(t, x, k, h))]
-            kinds = (pa.int64(), pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], ["page_id", "job_id", "page_index", "n", "block_index", "edge", "form", "key"])
-
-    lines = pages.select(F.col("page_id").cast("long"), "job_id", "page_index", F.col("height").cast("int").alias("height"), "blocks").mapInArrow(
-        work, "page_id long, job_id string, page_index int, n int, block_index int, edge string, form string, key string")
-    lines = lines.withColumn("bucket", F.floor(F.col("page_index") / BUCKET))
-    once = lines.filter("key != ''").select("job_id", "key", "bucket", "page_index").distinct().groupBy("job_id", "key", "bucket").agg(F.count(F.lit(1)).alias("c"))
+            f = fields(b, ["kind", "bbox", "text", "conf"])
+            at, codes, keys = [], [], []
+            for h, t, k, x, c in zip(b.column("height").to_pylist(), f["text"], f["kind"], f["bbox"], f["conf"]):
+                i, v, ks = page_lines(t, x, k, c, h)
+                at.append(np.array(i, np.int32).tobytes())
+                codes.append(np.array(v, np.int16).tobytes())
+                keys.append([{"block_index": i, "key": key} for i, key in ks])
+            yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("job_id"), b.column("page_index"), pa.array(at, pa.binary()), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.struct([("block_index", pa.int32()), ("key", pa.string())])))],
+                                             ["page_id", "job_id", "page_index", "at", "codes", "keys"])
+
+    lines = pages.select(F.col("page_id").cast("long"), "job_id", F.col("page_index").cast("int").alias("page_index"), F.col("height").cast("int").alias("height"), "blocks").mapInArrow(
+        work, "page_id long, job_id string, page_index int, at binary, codes binary, keys array<struct<block_index int, key string>>")
+    lines = stage(lines, "lines")
+    each = lines.select("page_id", "job_id", F.floor(F.col("page_index") / BUCKET).alias("bucket"), F.explode("keys").alias("k")).select("page_id", "job_id", "bucket", F.col("k.block_index"), F.col("k.key"))
+    once = each.select("job_id", "key", "bucket", "page_id").distinct().groupBy("job_id", "key", "bucket").agg(F.count(F.lit(1)).alias("c"))
     near = once.select("job_id", "key", F.explode(F.array(F.col("bucket") - 1, F.col("bucket"), F.col("bucket") + 1)).alias("bucket"), "c").groupBy("job_id", "key", "bucket").agg(F.sum("c").alias("c"))
-    often = near.filter(F.col("c") >= RECURS).select("job_id", "key", "bucket", F.lit(True).alias("recurs"))
-    lines = lines.join(often, ["job_id", "key", "bucket"], "left")
-    return lines.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("n", "block_index", "edge", "form", F.coalesce("recurs", F.lit(False)).alias("recurs")))).alias("lines"))
+    often = each.join(near.filter(F.col("c") >= RECURS).select("job_id", "key", "bucket"), ["job_id", "key", "bucket"], "left_semi")
+    recurs = often.groupBy("page_id").agg(F.collect_set("block_index").alias("recurs"))
+    return stage(lines.select("page_id", "at", "codes").join(recurs, "page_id", "left"), "features")
 
 
-def label_lines(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """``page_id``, ``block_index``, ``label`` (header or break) of the edge lines that are not body."""
-    from leafwork.shared import stage
+def _features(at: bytes, codes: bytes, recurs) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks and features of a page's lines; recurrence is a block's first line's."""
+    blocks, x = np.frombuffer(at, np.int32), np.frombuffer(codes, np.int16).reshape(-1, 3).astype(np.int64)
+    if recurs and len(blocks):
+        first = np.concatenate([[True], blocks[1:] != blocks[:-1]])
+        x[:, 0] += first & np.isin(blocks, recurs)
+    return blocks, x
+
 
-    lines = stage(recurring_lines(pages), "edge-lines")
-    sample = bounded_sample(lines, "page_id", sample_pages)
-    model = LineModel().fit([[(x["edge"], x["form"], x["recurs"]) for x in r["lines"]] for r in sample])
+def label_lines(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
+    """``page_id``, ``block_index``, ``line`` (its place in the block), ``label`` of every line of every page. The model is fitted on about ``sample_pages``
+    pages (a documented bound)."""
+    rows = page_features(pages)
+    sample = bounded_sample(rows, "page_id", sample_pages)
+    model = LineModel().fit([_features(r["at"], r["codes"], r["recurs"])[1] for r in sample])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            rows = []
-            for page, ls in zip(b.column("page_id").to_pylist(), b.column("lines").to_pylist()):
-                rows += [(page, x["block_index"], s) for x, s in zip(ls, model.label([(x["edge"], x["form"], x["recurs"]) for x in ls])) if s != "body"]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["page_id", "block_index", "label"])
+            got = [_features(*v) for v in zip(b.column("at").to_pylist(), b.column("codes").to_pylist(), b.column("recurs").to_pylist())]
+            labels = model.label([x for _, x in got])
+            ids = np.repeat(np.array(b.column("page_id").to_pylist(), object), [len(k) for k, _ in got]).tolist()
+            blocks, y = (np.concatenate([*v, np.zeros(0, np.int64)]) for v in ([k for k, _ in got], labels))
+            first = [np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64) for k, _ in got]
+            line = np.concatenate([*(np.arange(len(k)) - np.repeat(f, np.diff(np.append(f, len(k)))) for (k, _), f in zip(got, first)), np.zeros(0, np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks, pa.int32()), pa.array(line, pa.int32()), pa.array([LineModel.STATES[int(v)] for v in y], pa.string())], ["page_id", "block_index", "line", "label"])
 
-    return lines.mapInArrow(work, "page_id long, block_index int, label string")
+    return rows.mapInArrow(work, "page_id long, block_index int, line int, label string")
 
 
 class Lexicon:
     """Words known from the pages, and the repair of words that are not."""
 
     def __init__(self, words: Counter, pairs: Counter, least: int):
+        self.least = least
         self.words = {w: n for w, n in words.items() if n >= least}
         self.pairs = Counter({p: n for p, n in pairs.items() if n >= 3})
+        # a form that is rare beside the word it looks like is its misreading, however often it was counted
+        for w in [w for w, n in self.words.items() if len(w) > 2 and any(words.get(c, 0) >= RARE * n for c in self._swaps(w))]:
+            del self.words[w]
         self.near: dict[str, str] = {}
         for w, n in self.words.items():
             if len(w) >= 6:
@@ -213,6 +270,10 @@ class Lexicon:
             self.memo[low] = self._repair(low)
         return self.memo[low]
 
+    def surely(self, w: str) -> bool:
+        """Whether one visual confusion makes an unknown word a frequent one: nouns are misread too where they are capitalised like names."""
+        return len(w) > 4 and w not in self.words and any(self.words.get(c, 0) >= 5 * self.least for c in self._swaps(w))
+
     def _swaps(self, w: str):
         for i in range(len(w)):
             for k in (3, 2, 1):
@@ -274,19 +335,17 @@ def clean(text: str) -> str:
     return t.replace("\x02", "")
 
 
-def fit_lexicon(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Lexicon:
-    """Known words and Chinese character pairs from about ``sample_pages`` pages (a documented bound)."""
-    rows = bounded_sample(pages.select("page_id", F.transform("blocks", lambda b: b["text"]).alias("texts")), "page_id", sample_pages)
-    words, pairs = Counter(), Counter()
-    for r in rows:
-        for t in r["texts"] or []:
-            if t:
-                t = clean(t)
-                words.update(w.lower() for w in re.findall(r"[^\W\d_㐀-鿿]+", t))
-                if re.search("[㐀-鿿]", t):
-                    flat = t.replace("\n", "")
-                    pairs.update(_class(a) + _class(b) for a, b in zip(flat, flat[1:]))
-    return Lexicon(words, pairs, max(3, len(rows) // 150))
+def fit_lexicon(pages: DataFrame) -> Lexicon:
+    """Known words and Chinese character pairs, counted over all pages by Spark. A word is known from one sighting in ``COMMON`` pages on (three at
+    least), so the driver gets at most ``COMMON`` times the words of a page, however many pages there are."""
+    total = pages.count()
+    least = max(3, total // COMMON)
+    text = pages.select(F.explode("blocks").alias("b")).select(F.lower("b.text").alias("t")).filter("t is not null")
+    words = text.select(F.explode(F.regexp_extract_all("t", F.lit(r"[\p{L}&&[^\p{IsHan}]]+"), F.lit(0))).alias("w")).groupBy("w").count().filter(F.col("count") >= least)
+    flat = text.filter(F.col("t").rlike(r"\p{IsHan}")).select(F.regexp_replace(F.regexp_replace("t", "\n", ""), r"\d", "0").alias("t")).filter("length(t) > 1")
+    pairs = flat.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring("t", i, F.lit(2)))).alias("w")).groupBy("w").count().filter(F.col("count") >= least)
+    got = [Counter({r["w"]: r["count"] for r in x.collect()}) for x in (words, pairs)]
+    return Lexicon(*got, least)
 
 
 _SUSPECT_NUMBER = re.compile(r"(?<![A-Za-z\d])(?=\d*[lOoI])(?=[lOoI]*\d)[\dlOoI]{2,}(?![A-Za-z\d])")
@@ -301,7 +360,7 @@ def _torn_lines(t: str, lex: Lexicon) -> list[int]:
     lines = t.split("\n")
     for x, y in zip(lines, lines[1:]):
         at += len(x) + 1
-        a, b = x[-40:].split()[-1:], y[:40].split()[:1]
+        a, b = x.split()[-1:], y.split()[:1]
         if a and b:
             w, v = a[0].lstrip(_TRIM), b[0].rstrip(_TRIM)
             if w.isalpha() and v.isalpha() and (w.lower() not in known or v.lower() not in known) and lex.joined(w, v):
@@ -309,20 +368,11 @@ def _torn_lines(t: str, lex: Lexicon) -> list[int]:
     return out
 
 
-def _suspects(t: str, lex: Lexicon) -> bool:
-    """Whether any word needs a closer look: unknown, and no number or name."""
-    words = set(_WORD.findall(t))
-    for w in words - lex.plain:
-        if w.isdigit() or w[0].isupper() and w.isalpha() and lex.repair(w) is None:
-            continue
-        if w.lower() not in lex.words:
-            return True
-    return False
-
-
 def _misread_word(t: str, lex: Lexicon, torn: list[int]) -> bool:
     known = lex.words
     words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(t)]
+    if all(w in lex.plain or w.isdigit() for _, _, w in words):  # no word is unknown
+        return False
     end, closed = len(t.rstrip()), t.rstrip()[-1:] in ".!?。！？"
     for j, (s, e, w) in enumerate(words):
         low = w.lower()
@@ -343,7 +393,9 @@ def _misread_word(t: str, lex: Lexicon, torn: list[int]) -> bool:
             continue
         opens = j == 0 or t[max(0, s - 2) : s].strip()[-1:] in (".", "!", "?", ":", "•", "–", "-")
         if w[0].isupper() and w.isalpha() and not (opens or w.isupper()):
-            continue  # a name
+            if not lex.surely(low):
+                continue  # a name
+            return True
         if w.isupper() and any(c.isdigit() for c in w) or re.match(r"[A-Z]\d", w):
             continue  # a shelf mark
         if j + 1 < len(words) and t[e : words[j + 1][0]] == " " and lex.joined(w, words[j + 1][2]) or j and t[words[j - 1][1] : s] == " " and lex.joined(words[j - 1][2], w):
@@ -363,13 +415,13 @@ def block_noise(text: str, after: str | None, kind: str, lex: Lexicon) -> list[s
     last = end[-1:]
     broken = bool(torn) or "\n" in t and any(h + "\n" in t for h in _HYPHENS) and bool(_BROKEN.search(t)) or last != "" and last in _HYPHENS and bool(_OPEN_END.search(t[-6:])) and (after is None or after[:1].islower())
     if not broken and after and last.isalpha() and after[:1].islower():
-        w, v = end[-40:].split()[-1].lstrip(_TRIM), after[:40].split()[0].rstrip(_TRIM)
+        w, v = end.split()[-1].lstrip(_TRIM), after.split()[0].rstrip(_TRIM)
         broken = w.isalpha() and v.isalpha() and w.lower() not in lex.words and lex.joined(w, v)
     out = ["hyphenation"] if broken else []
     if kind == "equation":
         return out
-    misread = _suspects(t, lex) and _misread_word(t, lex, torn) or bool(_MAYBE_NUMBER.search(t) and _SUSPECT_NUMBER.search(t))
-    if not misread and len(t) <= 12 and folio(t) and re.fullmatch(r"[\W_]*[lO]{1,3}[\W_]*", t):
+    misread = _misread_word(t, lex, torn) or bool(_MAYBE_NUMBER.search(t) and _SUSPECT_NUMBER.search(t))
+    if not misread and folio(t) and re.fullmatch(r"[\W_]*[lO]{1,3}[\W_]*", t):
         misread = True
     if not misread and not t.isascii() and _CHINESE.search(t):
         flat = t.replace("\n", "")
@@ -398,7 +450,7 @@ def word_noise(pages: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
 
 
 def _next_text(texts: list, kinds: list, i: int) -> str | None:
-    for j in range(i + 1, min(len(texts), i + 4)):
+    for j in range(i + 1, len(texts)):
         if texts[j] and kinds[j] not in _NO_TEXT and kinds[j] not in ("header", "table") and not folio(texts[j]):
             return texts[j]
     return None
@@ -411,7 +463,7 @@ def find_noise(pages: DataFrame) -> DataFrame:
     noise; a null box counts by the block's place in the page; repeated pages are listed each, but count once as a
     page on which a line recurs. An empty table gives no rows.
     """
-    labels = label_lines(pages).select("page_id", "block_index", F.when(F.col("label") == "header", "running_header").otherwise("page_number").alias("noise"))
+    labels = label_lines(pages).filter("line = 0 and label in ('header', 'number')").select("page_id", "block_index", F.when(F.col("label") == "header", "running_header").otherwise("page_number").alias("noise"))
     return labels.unionByName(word_noise(pages)).distinct()
 
 
@@ -427,7 +479,7 @@ def repaired(text: str, lex: Lexicon) -> str:
 
     def put_right(m):
         w = m[0]
-        if w[0].isupper() and w.isalpha() or w.isdigit() or re.match(r"[A-Z]\d", w):
+        if w[0].isupper() and w.isalpha() and not lex.surely(w.lower()) or w.isdigit() or re.match(r"[A-Z]\d", w):
             return w
         r = lex.repair(w)
         return w if not r else r.capitalize() if w[0].isupper() else r
@@ -439,36 +491,35 @@ def repaired(text: str, lex: Lexicon) -> str:
 
 
 def paragraphs(pages: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
-    """Every page as continuous paragraphs: ``page_id``, ``paragraph``, ``first_block``, ``text``; headers and page numbers left out, blocks whose
-    sentence goes on in the next joined. Pages without text give no row."""
+    """Every page as continuous paragraphs: ``page_id``, ``paragraph``, ``first_block``, ``text``; headers and page numbers left out, a new one
+    starting where the model labels a line as a break. Pages without text give no row."""
     lex = lexicon or fit_lexicon(pages)
     shared = pages.sparkSession.sparkContext.broadcast(lex)
-    out_of_text = label_lines(pages).groupBy("page_id").agg(F.collect_set(F.struct("block_index", "label")).alias("left_out"))
+    labels = label_lines(pages).groupBy("page_id").agg(F.collect_list(F.struct("block_index", "line", "label")).alias("labels"))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         for b in slices(batches):
             f = fields(b, ["kind", "text"])
             rows = []
-            for page, texts, kinds, gone in zip(b.column("page_id").to_pylist(), f["text"], f["kind"], b.column("left_out").to_pylist()):
-                gone = {x["block_index"]: x["label"] for x in gone or []}
+            for page, texts, kinds, labels in zip(b.column("page_id").to_pylist(), f["text"], f["kind"], b.column("labels").to_pylist()):
+                told = {(x["block_index"], x["line"]): x["label"] for x in labels or []}
                 done: list[list] = []
                 for i, t in enumerate(texts):
                     if not t or not t.strip() or kinds[i] in _NO_TEXT:
                         continue
-                    if i in gone:
-                        t = t.strip().partition("\n")[2] if gone[i] == "header" else ""
-                        if not t:
+                    for j, x in enumerate(t.strip().split("\n")):
+                        label = told.get((i, j), "break")
+                        if label in ("header", "number"):
                             continue
-                    was = done[-1] if done else None
-                    if was and kinds[i] == kinds[was[2]] == "text" and t[:1].islower() and not re.search(r"[.!?。！？]\s*$", was[1]):
-                        hyphen = _OPEN_END.search(was[1])
-                        was[1] = repaired(was[1].rstrip() + ("\n" if hyphen else " ") + t, lex)
-                        continue
-                    done.append([i, repaired(t, lex), i])
-                rows += [(page, n, i, t) for n, (i, t, _) in enumerate(done)]
+                        if done and (label == "body" or j and "|" in x):
+                            done[-1][1] += "\n" + x
+                        else:
+                            done.append([i, x])
+                done = [[i, repaired(x, lex)] for i, x in done]
+                rows += [(page, n, i, t) for n, (i, t) in enumerate(done)]
             kinds_ = (pa.int64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds_)], ["page_id", "paragraph", "first_block", "text"])
 
-    joined = pages.select(F.col("page_id").cast("long"), "blocks").join(out_of_text, "page_id", "left")
+    joined = pages.select(F.col("page_id").cast("long"), "blocks").join(labels, "page_id", "left")
     return joined.mapInArrow(work, "page_id long, paragraph int, first_block int, text string")

@@ -119,3 +119,28 @@ def test_noise(spark, real, odd):
     assert noise.find_noise(odd).filter("page_id < 3").count() == 0 and noise.find_noise(odd.limit(0)).count() == 0
     text = [r["text"] for r in noise.paragraphs(pages(spark, *rows), lex).filter("page_id = 1").collect()]
     assert text == ["Each rough page is kept herehere."]
+
+
+def test_the_model_labels_otherwise_than_the_rules():
+    """Lines that the first rules take for body or header are labelled by what surrounds them, and every line gets a label."""
+    import numpy as np
+
+    form = lambda e, f, r: (noise.EDGES.index(e) * len(noise.FORMS) + noise.FORMS.index(f)) * 2 + r
+    start = lambda first, s, before: (first * len(noise.STARTS) + noise.STARTS.index(s)) * 3 + before
+    good = np.array([(form("top", "open", 1), start(1, "upper", 2), 0), (form("near", "first-open", 0), start(1, "upper", 1), 0), *[(form("mid", "open", 0), start(0, "lower", 1), 0)] * 5, (form("mid", "closed", 0), start(0, "lower", 1), 0), (form("mid", "first-closed", 0), start(1, "upper", 0), 0), (form("bottom", "folio", 0), start(1, "other", 0), 3)])
+    odd = good.copy()
+    odd[-1, 0] = form("bottom", "number", 0)  # a page number that is out of its place
+    pages = [good] * 60 + [odd]
+    m = noise.LineModel().fit(pages)
+    got = [m.STATES[v] for v in m.label([good])[0]]
+    assert got == ["header", "break", *["body"] * 6, "break", "number"]
+    assert [m.STATES[v] for v in m.label([odd])[0]][-1] == "number" != m.STATES[noise.LineModel.seed(odd)[-1]]
+    assert all(len(y) == len(p) for y, p in zip(m.label(pages), pages)) and m.label([np.zeros((0, 3), int)])[0].size == 0
+
+
+def test_headers_anywhere_in_the_edge_zone(spark):
+    """A header that is the third block, or longer than any line of the page, recurs like another."""
+    long = "Inventory of the northern parish registers and of the tithe maps kept with them, second series, volume"
+    rows = [{"at": i, "blocks": [block("Stray mark.", y=20), block("Another mark.", y=60), block(f"{long} {i + 1}", y=120), *[block(f"The clerk {w}{chr(97 + i) * 4} keeps {chr(107 + i) * 5} on the {chr(115 - i) * 6}{w} shelf.", y=400 + 200 * k) for k, w in enumerate(("upper", "lower", "inner"))], block(str(i + 1), y=1950)]} for i in range(8)]
+    got = {(r["page_id"], r["block_index"]): r["noise"] for r in noise.find_noise(pages(spark, *rows)).filter("noise <> 'misread'").collect()}
+    assert all(got.get((i, 2)) == "running_header" and got.get((i, 6)) == "page_number" for i in range(8)) and not any((i, k) in got for i in range(8) for k in (3, 4, 5))
