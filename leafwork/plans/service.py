@@ -263,4 +263,6 @@ def font_info(spark, d):
 @query()
 def baselines(spark, d):
     """Every laid out line: where it stands, its text and size."""
-    return laid_out(spark, d).select("page_id", "block_index", "size", F.posexplode("lines").alias("line", "l")).select("page_id", "block_index", "line", F.round("l.x", 2).alias("x"), F.round("l.baseline", 2).alias("baseline"), "l.text", F.round("size", 2).alias("size"))
+    # the outer form, as the optimizer infers a filter on lines from the plain one and pushes it, written out in full, below every step of the layout
+    each = laid_out(spark, d).select("page_id", "block_index", "size", F.posexplode_outer("lines").alias("line", "l")).filter("line is not null")
+    return each.select("page_id", "block_index", "line", F.round("l.x", 2).alias("x"), F.round("l.baseline", 2).alias("baseline"), "l.text", F.round("size", 2).alias("size"))

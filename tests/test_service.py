@@ -186,3 +186,16 @@ def test_edits(spark):
 def test_fonts(spark):
     with pytest.raises(ValueError):
         O.resolve(spark.createDataFrame([("a",)], "asked string"), spark.range(1001).selectExpr("cast(id as int) rank", "'n' name", "'p' path"), spark.createDataFrame([("p",)], "path string"))
+
+
+def test_baselines_are_the_laid_out_lines_in_a_small_plan(spark):
+    from leafwork.plans import service
+
+    got = service.baselines(spark, "/root/testdata/sf0.001")
+    assert len(got._jdf.queryExecution().optimizedPlan().toString()) < 100_000  # 5,400,000 while a filter on the lines was pushed below the layout
+    laid = service.laid_out(spark, "/root/testdata/sf0.001").select("page_id", "block_index", "size", "lines").collect()
+    want = {(r["page_id"], r["block_index"], i, x["text"]): (x["x"], x["baseline"], r["size"]) for r in laid for i, x in enumerate(r["lines"])}
+    rows = got.collect()
+    have = {(r["page_id"], r["block_index"], r["line"], r["text"]): (r["x"], r["baseline"], r["size"]) for r in rows}
+    assert len(rows) == len(have) > 1000 and have.keys() == want.keys()
+    assert all(v == pytest.approx(want[k], abs=0.0051) for k, v in have.items())
