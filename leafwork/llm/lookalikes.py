@@ -14,17 +14,16 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from leafwork.llm.pages import bounded_sample, fields, slices
+from leafwork.llm.pages import fields, slices, word_counts
 from leafwork.shared import stage
 
-SAMPLE_PAGES = 1500
 SALT_ROWS = 20_000
 # Letters of other scripts and the Latin letter each looks like (fixed values).
 CYRILLIC = dict(zip("аеорсхуѕіјһԁԛԝАВЕЅІЈКМНОРСТХУҮ", "aeopcxysijhdqwABESIJKMHOPCTXYY"))
@@ -47,6 +46,8 @@ _PLAIN = re.compile("[\n -~¡-¬®-ʯ‒-‧　-〿一-鿿！-～]*")
 _ODD_ASCII = re.compile("[\r\t]")
 _ONLY_LATIN = re.compile("[bdfghklmnqrtuvwzDFGLNQRUVWZ]")
 _WORD = re.compile(r"[^\W\d_]+")
+# Words that are of no script with look-alikes, whatever they say.
+_FAR = re.compile("[　-\uffff]+")
 #: What a change of script within a word and the choice of a letter that is only near to the stored one are scored.
 _SWITCH, _NEAR = -10.0, -11.0
 
@@ -59,19 +60,24 @@ def skeleton(text: str) -> str:
     return unicodedata.normalize("NFC", _IGNORABLE.sub("", t).translate(TO_LATIN))
 
 
+def bigrams(words: Iterable[tuple[str, int]]) -> dict[str, Counter]:
+    """Counts of the letter pairs of words of one script. Pairs with a letter of the far scripts are never asked for; they count together, as the pair ""."""
+    pairs: dict[str, Counter] = {"L": Counter(), "C": Counter(), "G": Counter()}
+    for w, n in words:
+        kind = script(w)
+        if kind in pairs:
+            s = f"^{w.lower()}$"
+            for a, b in zip(s, s[1:]):
+                pairs[kind]["" if a > "⿿" or b > "⿿" else a + b] += n
+    return pairs
+
+
 class Scripts:
     """Character bigram scores of Latin, Cyrillic and Greek words, smoothed; enough to choose among look-alikes."""
 
     def __init__(self, words: Counter | None = None):
-        pairs: dict[str, Counter] = {"L": Counter(), "C": Counter(), "G": Counter()}
-        for w, n in (words or {}).items():
-            kind = script(w)
-            if kind in pairs:
-                s = f"^{w.lower()}$"
-                for a, b in zip(s, s[1:]):
-                    pairs[kind][a + b] += n
-        self.total = {k: sum(c.values()) + 1000 for k, c in pairs.items()}
-        self.pairs = pairs
+        self.pairs = bigrams((words or {}).items())
+        self.total = {k: sum(c.values()) + 1000 for k, c in self.pairs.items()}
         self.memo: dict[tuple[str, str], str] = {}
 
     def bigram(self, kind: str, a: str, b: str) -> float:
@@ -151,11 +157,25 @@ def consistent(text: str, scripts: Scripts) -> str:
     return _WORD.sub(lambda m: m[0] if m[0][0] > "⿿" or around == "L" and script(m[0]) in "L-" else scripts.word(m[0], around), s)
 
 
-def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> Scripts:
-    """N-gram scores from the words of about ``sample_pages`` pages (a documented bound), chosen by a hash of their id."""
-    rows = bounded_sample(pages.select("page_id", F.transform("blocks", lambda b: b["text"]).alias("texts")), "page_id", sample_pages)
-    words = Counter(w for r in rows for t in r["texts"] or [] if t for w in _WORD.findall(unicodedata.normalize("NFC", t)))
-    return Scripts(Counter({w: n for w, n in words.items() if n > 1}))
+def near_words(text: str) -> list[str]:
+    """The words of a text that can be of a script with look-alikes."""
+    return [w for w in _WORD.findall(unicodedata.normalize("NFC", text)) if not _FAR.fullmatch(w)]
+
+
+def fit(pages: DataFrame) -> Scripts:
+    """Bigram scores from the words of all pages that stand there more than once. Only the counts of letter pairs come to the driver."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = [(k, x, n) for k, c in bigrams(zip(b.column("word").to_pylist(), b.column("n").to_pylist())).items() for x, n in c.items()]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.string(), pa.string(), pa.int64()))], ["kind", "pair", "n"])
+
+    counts = word_counts(pages, near_words).filter("n > 1").mapInArrow(work, "kind string, pair string, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n"))
+    scripts = Scripts()
+    for r in counts.collect():
+        scripts.pairs[r["kind"]][r["pair"]] = r["n"]
+    scripts.total = {k: sum(c.values()) + 1000 for k, c in scripts.pairs.items()}
+    return scripts
 
 
 def consistent_text(pages: DataFrame, scripts: Scripts | None = None, keep_text: bool = True) -> DataFrame:

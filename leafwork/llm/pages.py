@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Rows handled at a time, so that a task's Python memory follows this and not the batch size of the session.
 PAGES = 256
+#: Different words a task counts before it hands them on.
+WORDS = 200_000
 
 
 def fields(batch: pa.RecordBatch, names: list[str]) -> dict[str, list]:
@@ -35,6 +38,26 @@ def slices(batches: Iterator[pa.RecordBatch], n: int = PAGES) -> Iterator[pa.Rec
             yield b.slice(i, n)
 
 
+def word_counts(pages: DataFrame, split: Callable[[str], Iterable[str]]) -> DataFrame:
+    """``word`` and ``n``: how often each word that ``split`` gives stands in the texts of all pages; tasks count before the shuffle."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(n: Counter) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
+
+        counts: Counter = Counter()
+        for b in slices(batches):
+            for t in b.column("texts").flatten().to_pylist():
+                if t:
+                    counts.update(split(t))
+            if len(counts) >= WORDS:
+                yield out(counts)
+                counts = Counter()
+        yield out(counts)
+
+    return pages.select(F.col("blocks.text").alias("texts")).mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 def bounded_sample(df: DataFrame, key: str, n: int) -> list:
     """``n`` rows, chosen by a hash of ``key``, for fitting a model; all of them where there are no more.
 

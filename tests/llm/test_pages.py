@@ -144,3 +144,13 @@ def test_headers_anywhere_in_the_edge_zone(spark):
     rows = [{"at": i, "blocks": [block("Stray mark.", y=20), block("Another mark.", y=60), block(f"{long} {i + 1}", y=120), *[block(f"The clerk {w}{chr(97 + i) * 4} keeps {chr(107 + i) * 5} on the {chr(115 - i) * 6}{w} shelf.", y=400 + 200 * k) for k, w in enumerate(("upper", "lower", "inner"))], block(str(i + 1), y=1950)]} for i in range(8)]
     got = {(r["page_id"], r["block_index"]): r["noise"] for r in noise.find_noise(pages(spark, *rows)).filter("noise <> 'misread'").collect()}
     assert all(got.get((i, 2)) == "running_header" and got.get((i, 6)) == "page_number" for i in range(8)) and not any((i, k) in got for i in range(8) for k in (3, 4, 5))
+
+
+def test_letter_pairs_are_counted_over_every_page(spark):
+    """Each word stands on two of 1,700 pages, more than were once sampled: all letter pairs have their exact counts."""
+    from collections import Counter
+
+    words = ["".join(chr(97 + i // 26**k % 26) for k in range(3)) + "fgh" for i in range(850)]
+    far = pages(spark, *[{"blocks": [block(f"{words[i % 850]} жди 中文页 中文x" + (" seldom" if i == 5 else "")), block(None)]} for i in range(1700)], {"blocks": None})
+    s, plain = lookalikes.fit(far), lookalikes.Scripts(Counter({w: 2 for w in words} | {"жди": 1700, "中文x": 1700}))
+    assert s.pairs == plain.pairs and s.total == plain.total and s.pairs["C"]["жд"] == 1700
