@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from itertools import chain
 
 import numpy as np
 
@@ -31,24 +32,27 @@ class HashedLogistic:
     def fit(self, rows: list[list[int]], y: np.ndarray) -> "HashedLogistic":
         rng = np.random.default_rng(self.seed)
         width = max(map(len, rows))
-        x = np.zeros((len(rows), width), np.int64)
-        on = np.zeros((len(rows), width), np.float32)
-        for i, r in enumerate(rows):
-            x[i, : len(r)] = r
-            on[i, : len(r)] = 1
-        g2 = np.full(1 << BITS, 1e-8, np.float32)
+        flat = np.fromiter(chain.from_iterable(rows), np.int64)
+        ids = np.flatnonzero(np.bincount(flat, minlength=1 << BITS))  # only the weights that occur are gone through
+        m, place = len(ids), np.zeros(1 << BITS, np.int64)
+        place[ids] = np.arange(m)
+        x = np.full((len(rows), width), m)  # the last weight stays 0 and fills rows up
+        x[np.arange(width) < np.array([len(r) for r in rows])[:, None]] = place[flat]
+        w, g2 = np.append(self.w[ids], np.float32(0)), np.full(m, 1e-8, np.float32)
         for _ in range(self.epochs):
             order = rng.permutation(len(rows))
+            xs, ys = x[order], y[order]
             for i in range(0, len(order), 128):
-                b = order[i : i + 128]
-                z = (self.w[x[b]] * on[b]).sum(axis=1)
-                e = 1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[b]
-                g = np.zeros(1 << BITS, np.float32)
-                np.add.at(g, x[b], e[:, None] * on[b] / len(b))
-                hit = np.flatnonzero(g)
-                step = g[hit] + self.l2 * self.w[hit]
-                g2[hit] += step * step
-                self.w[hit] -= self.rate * step / np.sqrt(g2[hit])
+                xb = xs[i : i + 128]
+                e = 1 / (1 + np.exp(-np.clip(w.take(xb).sum(axis=1), -30, 30))) - ys[i : i + 128]
+                g = np.bincount(xb.ravel(), np.repeat(e / len(e), width), m + 1)[:m]
+                hit = np.flatnonzero(g != 0)
+                wh = w[hit]
+                step = g[hit].astype(np.float32) + self.l2 * wh
+                g2[hit] = gh = g2[hit] + step * step
+                w[hit] = wh - self.rate * step / np.sqrt(gh)
+        w = w[:m]
+        self.w[ids] = w
         return self
 
     def score(self, row: list[int]) -> float:

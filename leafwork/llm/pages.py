@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 #: Rows handled at a time, so that a task's Python memory follows this and not the batch size of the session.
 PAGES = 256
-#: Different words a task counts before it hands them on.
+#: Different stretches a task counts before it hands their words on.
 WORDS = 200_000
 
 
@@ -39,21 +39,24 @@ def slices(batches: Iterator[pa.RecordBatch], n: int = PAGES) -> Iterator[pa.Rec
 
 
 def word_counts(pages: DataFrame, split: Callable[[str], Iterable[str]]) -> DataFrame:
-    """``word`` and ``n``: how often each word that ``split`` gives stands in the texts of all pages; tasks count before the shuffle."""
+    """``word`` and ``n``: how often each word stands in the texts of all pages. ``split`` gives the words of a stretch without white space;
+    it is asked once for equal stretches, and tasks count before the shuffle."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def out(n: Counter) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["word", "n"])
-
-        counts: Counter = Counter()
+        def out() -> pa.RecordBatch:
+            counts: Counter = Counter()
+            for s, n in stretches.items():
+                for w in split(s):
+                    counts[w] += n
+            return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+        stretches: Counter = Counter()
         for b in slices(batches):
-            for t in b.column("texts").flatten().to_pylist():
-                if t:
-                    counts.update(split(t))
-            if len(counts) >= WORDS:
-                yield out(counts)
-                counts = Counter()
-        yield out(counts)
+            stretches.update("\n".join(t for t in b.column("texts").flatten().to_pylist() if t).split())
+            if len(stretches) >= WORDS:
+                yield out()
+                stretches.clear()
+        yield out()
 
     return pages.select(F.col("blocks.text").alias("texts")).mapInArrow(work, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 

@@ -1,30 +1,40 @@
 """Texts that lost their end: hashed logistic regression on how a text closes, its length against known limits, and what follows.
 
-Training needs no labels: intact values of a bounded sample of pages are cut artificially, at the limits seen in the data and at
-random places, to make positives; the same values whole, and values split in two that go on in the next block, are negatives.
+Training needs no labels: the intact values of all pages are cut artificially, at the limits seen in the data and at random
+places, to make positives; the same values whole, and values split in two that go on in the next block, are negatives. The pages
+are dealt by a hash of their id to shards, each shard fits weights of its own, and a feature's weight is their mean, each counted
+as often as the shard has the feature.
 """
 
 from __future__ import annotations
 
+import functools
 import random
 import re
-from collections import Counter
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from leafwork.llm.linear import HashedLogistic, hashed
-from leafwork.llm.pages import bounded_sample, fields, slices
+from leafwork.llm.linear import BITS, HashedLogistic, hashed
+from leafwork.llm.pages import fields, slices, word_counts
+from leafwork.shared import stage
 
-#: Pages the model is fitted on.
-SAMPLE_PAGES = 3000
+#: Pages of a shard, about; every page is in one.
+SHARD_PAGES = 3000
+#: A word is known that stands in the texts at least this often and once in so many pages.
+KNOWN, KNOWN_PAGES = 10, 300
+#: Steps of a weight of one as the shards' weights are summed: whole numbers, so that the order of the sum does not matter.
+FINE = 1 << 20
 TERMINAL = ".!?。！？．…｡"
 _CLOSERS = "\"'”’»)）]】」』›"
-_END = re.compile(r"(?:[.!?。！？．｡:：;；]|\.\.)[\"'”’»)）\]】」』›\s]*$")
+_ENDS = frozenset(".!?。！？．｡:：;；")
 _MARK = re.compile(r"[\s�]*(?:…|\.\.\.|\[…\]|\[\.\.\.\])?[\s�]*$")
+_OPEN_ENDS = frozenset(chr(i) for i in range(0x10000) if chr(i).isspace()) | {"�", "…"}
+_AFTER_END = _CLOSERS + "".join(c for c in sorted(_OPEN_ENDS) if c.isspace())
 _BULLET = re.compile(r"\s*[-–—•*·▪◦]\s|\s*\d{1,2}[.)]\s")
 _ROW = re.compile(r"^.*\|\s*[\d.,]+\s*$")
 _FOLIO = re.compile(r"^[\W_]*(?:(?:page|seite|página|pagina|стр|第|p|s)\W*)?(?:[\divxlcmoОоO]{1,8})[\W_]*(?:(?:of|von|de|di|van|из|页|共)\W*)*[\dlOоi]{0,6}\W*(?:页)?\W*$", re.I)
@@ -32,9 +42,16 @@ _HIDDEN = re.compile("[­​-‏⁠-⁤﻿]")
 _NOTED = re.compile(r"[.!?。！？．｡]\s*[(（][^()（）]{1,24}[)）]\s*$")
 _LABEL = re.compile(r"[,，] ?(?:[A-ZÀ-ÞА-ЯЁ][^\s\d]*|\d{4})(?:\s+[\divxlcIl]+)?$|^[\W_]*[\w\W]{0,20}[\d/.]{4,}")
 _WHOLE_ROW = re.compile(r"\|\s*\d+\s*\|\s*\d+[.,]\d\d\s*$")
+_PRICED = re.compile(r"\|\s*\d+[.,]\d\d\s*$")
+_HAN = re.compile("[㐀-鿿]")
 _SKIP = {"image", "image_ref", "equation", "table", "header"}
 
 
+def ended(text: str) -> bool:
+    """Whether a text has a closing mark, quotes, brackets and white space after it left out."""
+    return text.rstrip(_AFTER_END)[-1:] in _ENDS
+
+
 def start_class(text: str | None) -> str:
     if not text:
         return "none"
@@ -55,7 +72,7 @@ def follower(texts: list, kinds: list, i: int) -> str | None:
             continue
         if start_class(t) == "lower" and len(t) > 1:
             return t
-        if first is None and kinds[j] == "text" and (len(t) > 60 or _END.search(t[-12:])):
+        if first is None and kinds[j] == "text" and (len(t) > 60 or ended(t[-12:])):
             first = t
     return first
 
@@ -63,11 +80,13 @@ def follower(texts: list, kinds: list, i: int) -> str | None:
 def features(text: str, kind: str, after: str | None, last: bool, limits: tuple[set, set], known: set) -> list[int]:
     """Hashed features of a block: its close, its length to the limits, and the block after it."""
     text = _HIDDEN.sub("", text) if not text.isascii() else text
-    m = _MARK.search(text, max(0, len(text) - 16))
-    core, mark = text[: m.start()], text[m.start() :]
+    stop = len(text)
+    if text[-1:] in _OPEN_ENDS or text.endswith(("...", "…]", "...]")):  # else no mark can follow
+        stop = _MARK.search(text, max(0, stop - 16)).start()
+    core, mark = text[:stop], text[stop:]
     n = len(core)
     size = n if text.isascii() else len(core.encode("utf-8", "surrogatepass"))
-    at = any(d in limits[0] for d in range(n, n + 4)) or any(d in limits[1] for d in range(size, size + 5))
+    at = not limits[0].isdisjoint(range(n, n + 4)) or not limits[1].isdisjoint(range(size, size + 5))
     line = core[core.rfind("\n") + 1 :]
     words = line[-80:].split()
     w = words[-1] if words else ""
@@ -79,19 +98,33 @@ def features(text: str, kind: str, after: str | None, last: bool, limits: tuple[
     row = "row" if "|" in line and _ROW.match(line) else "pipe" if "|" in core else "item" if _BULLET.match(line) else "one" if line is core or line == core else "more"
     marked = ("e" if "…" in mark or "..." in mark else "") + ("r" if "�" in mark else "")
     size_class = min(n // 30, 5)
-    out = ["b", f"end={end}", f"at={at}", f"at={at},{end}", f"mark={marked},{end}", f"kind={kind},{end}", f"row={row},{end},{kind}", f"s={start},{end}",
-           f"s={start},{end},{size_class}", f"last={last},{end},{size_class}", f"n={size_class},{end},{row}", f"at={at},{end},{start},{row}", f"last={last},{start},{end},{row}", f"c={c}"]
-    if end in ("alpha", "cjk", "digit", "mark"):
-        complete = bare in known
-        place = w[:1].isupper() and len(words) > 1 and words[-2].endswith(",")
-        out += [f"w={bare if not cjk else core[-2:]}", f"known={complete},{row},{at}", f"place={place},{row},{size_class}", f"up={w[:1].isupper()},{row},{size_class}",
-                f"wl={min(len(bare), 6)},{complete}", f"open={core.count('(') > core.count(')')}", f"lines={min(core.count(chr(10)), 2)},{row},{size_class}", f"known={complete},{start}"]
-        if after:
-            first = after.split(None, 1)[0].strip(",.").lower()[:12] if start != "cjk" else after[:2]
-            out += [f"f={first}", f"f={first},{end}"]
-            if start == "cjk":
-                out.append(f"j={core[-1:]}{after[:1]}")
-    return [hashed(f) for f in out]
+    out = [*_shared(end, at, marked, kind, row, start, size_class, last), hashed(f"c={c}")]
+    if end not in ("alpha", "cjk", "digit", "mark"):
+        return out
+    place = w[:1].isupper() and len(words) > 1 and words[-2].endswith(",")
+    out += _of_word(bare in known, place, w[:1].isupper(), min(len(bare), 6), core.count("(") > core.count(")"), min(core.count("\n"), 2), row, at, size_class, start)
+    out.append(hashed(f"w={bare if not cjk else core[-2:]}"))
+    if after:
+        first = after.split(None, 1)[0].strip(",.").lower()[:12] if start != "cjk" else after[:2]
+        out += [hashed(f"f={first}"), hashed(f"f={first},{end}")]
+        if start == "cjk":
+            out.append(hashed(f"j={core[-1:]}{after[:1]}"))
+    return out
+
+
+@functools.lru_cache(200_000)
+def _shared(end: str, at: bool, marked: str, kind: str, row: str, start: str, size_class: int, last: bool) -> tuple[int, ...]:
+    """Hashed features of what many blocks have in common."""
+    return tuple(map(hashed, (
+        "b", f"end={end}", f"at={at}", f"at={at},{end}", f"mark={marked},{end}", f"kind={kind},{end}", f"row={row},{end},{kind}", f"s={start},{end}", f"s={start},{end},{size_class}",
+        f"last={last},{end},{size_class}", f"n={size_class},{end},{row}", f"at={at},{end},{start},{row}", f"last={last},{start},{end},{row}")))
+
+
+@functools.lru_cache(200_000)
+def _of_word(complete: bool, place: bool, up: bool, length: int, opened: bool, lines: int, row: str, at: bool, size_class: int, start: str) -> tuple[int, ...]:
+    """The same of an end without a closing mark."""
+    return tuple(map(hashed, (
+        f"known={complete},{row},{at}", f"place={place},{row},{size_class}", f"up={up},{row},{size_class}", f"wl={length},{complete}", f"open={opened}", f"lines={lines},{row},{size_class}", f"known={complete},{start}")))
 
 
 def find_limits(pages: DataFrame, sharp: float = 3.0) -> dict[tuple, tuple[set, set]]:
@@ -145,18 +178,8 @@ class TruncationModel:
         return self.limits.get((adapter, model), (set(), set()))
 
 
-def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, seed: int = 11) -> TruncationModel:
-    """Fit on about ``sample_pages`` pages chosen by a hash of their id (a documented bound; limits are counted over all pages)."""
-    limits = find_limits(pages)
-    rows = pages.select("page_id", "adapter", "model", F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"))).alias("blocks"))
-    rows = bounded_sample(rows, "page_id", sample_pages)
-    rng = random.Random(seed)
-    words: Counter = Counter()
-    for r in rows:
-        for b in r["blocks"] or []:
-            if b and b["text"]:
-                words.update(re.findall(r"[^\W\d_]+", b["text"].lower()))
-    known = {w for w, n in words.items() if n >= max(3, sample_pages // 300)}
+def examples(rows: list, limits: dict, known: set, rng: random.Random) -> tuple[list[list[int]], list[int]]:
+    """Features and labels from pages (``adapter``, ``model``, ``blocks``): intact texts as they are, split and cut."""
     x, y = [], []
 
     def add(text, kind, after, last, lim, label):
@@ -175,7 +198,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, seed: int = 11) -> T
             whole_list = bool(_BULLET.match(t)) and all(_BULLET.match(x) for x in t.split("\n"))
             label_line = len(t) < 70 and "\n" not in t and bool(_LABEL.search(_HIDDEN.sub("", t)))
             noted = bool(_NOTED.search(t[-40:]))
-            intact = whole_list or noted or len(t) <= 24 and bool(_FOLIO.match(t)) or label_line or bool(_END.search(t)) and not t.rstrip().endswith(("…", "...")) or kind in ("heading", "title", "header", "equation") or len(t) < 60 and not last and start_class(after) != "lower" or table and bool(re.search(r"\|\s*\d+[.,]\d\d\s*$", t))
+            intact = whole_list or noted or len(t) <= 24 and bool(_FOLIO.match(t)) or label_line or ended(t) and not t.rstrip().endswith(("…", "...")) or kind in ("heading", "title", "header", "equation") or len(t) < 60 and not last and start_class(after) != "lower" or table and bool(_PRICED.search(t))
             if not intact:
                 continue
             add(t, kind, after, last, lim, 0)
@@ -183,7 +206,7 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, seed: int = 11) -> T
                 continue
             if not table and not _BULLET.match(t) and (rng.random() < 0.5):  # goes on in the next block: not cut
                 p = rng.randrange(20, len(t) - 10)
-                if not re.search("[㐀-鿿]", t):
+                if not _HAN.search(t):
                     p = t.find(" ", p) + 1 or p
                 add(t[:p].rstrip(), kind, t[p:], last and rng.random() < 0.5, lim, 0)
             near = [n for n in lim[0] if n < len(t)] + [-n for n in lim[1] if n < len(t.encode("utf-8", "surrogatepass"))]
@@ -194,11 +217,36 @@ def fit(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, seed: int = 11) -> T
                     add(cut.rstrip() + rng.choice(["", "", "", "…"]), kind, after, last, lim, 1)
                 else:
                     cut = t[: rng.randrange(min(30, len(t) - 5), len(t) - 2)].rstrip()
-                    if not _END.search(cut):
+                    if not ended(cut):
                         add(cut + rng.choice(["", "", "", "…", "..."]), kind, None, True, lim, 1)
+    return x, y
+
+
+def fit(pages: DataFrame, seed: int = 11) -> TruncationModel:
+    """Fit on all pages; limits and known words are counted over all pages too. Peaks, words that stand in one of ``KNOWN_PAGES`` pages and
+    at most ``2**BITS`` sums of weights come to the driver."""
+    limits, total = find_limits(pages), pages.count()
+    words = word_counts(pages, lambda t: re.findall(r"[^\W\d_]+", t.lower()))
+    known = {r["word"] for r in words.filter(F.col("n") >= max(KNOWN, total // KNOWN_PAGES)).collect()}
+    shared = pages.sparkSession.sparkContext.broadcast((limits, known))
+
+    def work(key: tuple, shard: pa.Table) -> pa.Table:
+        rows = sorted(shard.to_pylist(), key=lambda r: (r["page_id"] is None, r["page_id"]))
+        x, y = examples(rows, *shared.value, random.Random(seed + key[0].as_py()))
+        at = weighted = seen = np.zeros(0, np.int64)
+        if x and 0 < sum(y) < len(y):
+            w = HashedLogistic().fit(x, np.array(y, np.float32)).w
+            seen = np.bincount(np.fromiter(chain.from_iterable(x), np.int64), minlength=1 << BITS)
+            at = np.flatnonzero(seen)
+            seen, weighted = seen[at], np.rint(w[at].astype(np.float64) * FINE).astype(np.int64) * seen[at]
+        return pa.table({"feature": pa.array(at, pa.int64()), "weighted": pa.array(weighted, pa.int64()), "seen": pa.array(seen, pa.int64())})
+
+    shard = F.pmod(F.xxhash64("page_id"), F.lit(max(1, -(-total // SHARD_PAGES)))).alias("shard")
+    rows = pages.select(shard, "page_id", "adapter", "model", F.transform("blocks", lambda b: F.struct(b["kind"].alias("kind"), b["text"].alias("text"))).alias("blocks"))
+    sums = rows.groupBy("shard").applyInArrow(work, "feature long, weighted long, seen long").groupBy("feature").agg(F.sum("weighted").alias("weighted"), F.sum("seen").alias("seen"))
     lr = HashedLogistic()
-    if x and 0 < sum(y) < len(y):
-        lr.fit(x, np.array(y, np.float32))
+    for r in sums.collect():
+        lr.w[r["feature"]] = r["weighted"] / r["seen"] / FINE
     return TruncationModel(limits, known, lr)
 
 
@@ -243,7 +291,7 @@ def truncated(pages: DataFrame, model: TruncationModel | None = None, threshold:
     empty table gives no rows; without anything to learn from, every score is 0.5 and nothing is cut. Repeated pages are scored each.
     """
     model = model or fit(pages)
-    scored = score_blocks(pages, model)
+    scored = stage(score_blocks(pages, model), "scores")
     doubtful = scored.filter((F.col("score") > threshold) & F.col("bottom")).groupBy("page_id").agg(F.max("block_index").alias("block_index"))
     # the first running texts of every page, as what a block at the bottom of the page before it may go on with
     def top(b):

@@ -154,3 +154,21 @@ def test_letter_pairs_are_counted_over_every_page(spark):
     far = pages(spark, *[{"blocks": [block(f"{words[i % 850]} жди 中文页 中文x" + (" seldom" if i == 5 else "")), block(None)]} for i in range(1700)], {"blocks": None})
     s, plain = lookalikes.fit(far), lookalikes.Scripts(Counter({w: 2 for w in words} | {"жди": 1700, "中文x": 1700}))
     assert s.pairs == plain.pairs and s.total == plain.total and s.pairs["C"]["жд"] == 1700
+
+
+def test_cuts_are_learnt_from_every_page(spark, real, monkeypatch):
+    """Words are counted on 9,000 pages, three times as many as were once sampled; the weights are those of all shards, however the pages lie in files."""
+    from pyspark.sql import functions as F
+
+    far = pages(spark, *[{"blocks": [block(f"word{chr(97 + i % 10)}x is here."), block(None)]} for i in range(300)]).withColumn("n", F.explode(F.sequence(F.lit(0), F.lit(29)))).withColumn("page_id", F.col("page_id") * 30 + F.col("n"))
+    rare = F.when(F.col("page_id") < 29, F.lit("seldom ")).when(F.col("page_id") < 59, F.lit("enough ")).otherwise(F.lit(""))
+    far = far.withColumn("blocks", F.transform("blocks", lambda b: b.withField("text", F.concat(rare, b["text"]))))
+    assert truncation.fit(far).known == {f"word{c}x" for c in "abcdefghij"} | {"is", "here", "enough"}  # 30 times in 9,000 pages, not 29
+    monkeypatch.setattr(truncation, "SHARD_PAGES", 200)
+    a, b = truncation.fit(real), truncation.fit(real.repartition(7))
+    assert (a.lr.w == b.lr.w).all() and a.known == b.known
+    rows = [r.asDict(True) for r in real.select("page_id", "adapter", "model", "blocks").collect()]
+    import random
+
+    seen = {i for x in truncation.examples(rows, a.limits, a.known, random.Random(0))[0] for i in x}
+    assert (a.lr.w != 0).sum() > 0.9 * len(seen)
