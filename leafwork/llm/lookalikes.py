@@ -31,6 +31,7 @@ GREEK = dict(zip("οΑΒΕΖΗΙΚΜΝΟΡΤΥΧϲϳ", "oABEZHIKMNOPTYXcj"))
 ARMENIAN = dict(zip("օոսհ", "onuh"))
 TO_LATIN_LETTERS = {k for d in (CYRILLIC, GREEK, ARMENIAN) for k in d}
 TO_LATIN = {ord(k): v for d in (CYRILLIC, GREEK, ARMENIAN) for k, v in d.items()}
+_LATIN = {k: v for d in (CYRILLIC, GREEK, ARMENIAN) for k, v in d.items()}.get  # faster than translate beyond ASCII
 #: What a Latin-looking letter can be in Cyrillic; rare letters only map to Latin.
 TO_CYRILLIC = {v: k for k, v in CYRILLIC.items() if k not in "һԁԛԝҮ"}
 TO_GREEK = {v: k for k, v in GREEK.items() if k not in "ϲϳ"}
@@ -57,7 +58,7 @@ def skeleton(text: str) -> str:
     t = _ALIKE.sub(lambda m: ALIKE[m[0]], text)
     t = _IGNORABLE.sub("", t)
     t = _ALIKE.sub(lambda m: ALIKE[m[0]], unicodedata.normalize("NFKD", t))
-    return unicodedata.normalize("NFC", _IGNORABLE.sub("", t).translate(TO_LATIN))
+    return unicodedata.normalize("NFC", "".join(map(_LATIN, t := _IGNORABLE.sub("", t), t)))
 
 
 def bigrams(words: Iterable[tuple[str, int]]) -> dict[str, Counter]:

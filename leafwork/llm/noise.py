@@ -10,8 +10,11 @@ from __future__ import annotations
 
 import math
 import re
+from array import array
 from collections import Counter
 from collections.abc import Iterator
+from operator import add
+from unicodedata import combining
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +23,7 @@ from pyspark.sql import functions as F
 
 from leafwork.llm.languages import readable
 from leafwork.llm.lookalikes import skeleton
-from leafwork.llm.pages import bounded_sample, fields, slices
+from leafwork.llm.pages import WORDS, bounded_sample, lists, slices
 from leafwork.shared import stage
 
 SAMPLE_PAGES = 3000
@@ -45,6 +48,10 @@ _ROMAN = r"(?=[ivxlcdm])m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0
 _FOLIO = re.compile(rf"^[\W_]*(?:(?:page|seite|s|p|pag|pág|página|pagina|стр|страница|blz|第)[\W_]*)?(?:[\dloi|!]{{1,5}}|{_ROMAN})[\W_]*(?:(?:of|von|de|di|van|из|sur|页[\W_]*共|/)[\W_]*[\dloi|!]{{1,5}}[\W_]*)?(?:页)?[\W_]*$", re.I)
 _NUMBERISH = re.compile(r"^(?=.*\d)(?=.*[lOoI])[\dlOoI]+$")
 _NO_TEXT = {"image", "image_ref", "equation"}
+_CLOSE, _PAUSE, _DASHES = frozenset(".!?。！？"), frozenset(".!?。！？:："), frozenset("-–•*")
+_KEY_WORD, _NO_KEY, _LONG_NUMBER = re.compile(r"[^\W_]+(?:[!|@$][^\W_]+)*"), re.compile(rf"[\dlo]+|{_ROMAN}"), re.compile(r"\d{2,}")
+#: What a number or Roman number without other letters than ASCII's begins and ends with.
+_NO_KEY_EDGE = frozenset("ivxlcdmo0123456789")
 
 
 def folio(text: str) -> bool:
@@ -52,34 +59,44 @@ def folio(text: str) -> bool:
 
 
 _FOLD = str.maketrans({"0": "o", "1": "i", "l": "i", "!": "i", "|": "i", "5": "s", "9": "g", "c": "e", "t": "f", "@": "a", "6": "b", "h": "b", "3": "з", "э": "з", "q": "g", "u": "n", "п": "и", "н": "и", "л": "и", "й": "и", "ё": "е", "ц": "и", "щ": "ш", "$": "s", "8": "b", "4": "a", "o": "a", "ç": "g", **{k: v[0] for k, v in CHINESE.items()}})
+_FOLDED = {chr(k): v for k, v in _FOLD.items()}.get  # for text beyond ASCII it is faster than translate
+#: Text that ``skeleton``, ``readable`` and ``clean`` leave as it is: of Latin letters, Chinese characters and signs that none of their steps changes.
+_SAME = re.compile("[" + re.escape("".join(c for c in map(chr, [10, *range(0x20, 0x7F), *range(0xA1, 0x180), *range(0x2010, 0x2027), *range(0x3001, 0x3030)]) if skeleton(c) == c and not combining(c))) + "㐀-䶵一-龥]*")
 _PAIRS = (("rn", "m"), ("iii", "ui"), ("ii", "u"), ("ri", "n"), ("cl", "d"), ("vv", "w"), ("li", "h"), ("ьi", "ы"))
 
 
 def line_key(line: str) -> str:
     """What stays of a line apart from numbers, case and misreading; empty where nothing does."""
-    t = skeleton(line).lower() if not line.isascii() else line.lower()
-    words = [w for w in re.findall(r"[^\W_]+(?:[!|@$][^\W_]+)*", t) if not re.fullmatch(rf"[\dlo]+|{_ROMAN}", w)]
+    t = skeleton(line).lower() if not line.isascii() and not _SAME.fullmatch(line) else line.lower()
+    words = [w for w in _KEY_WORD.findall(t) if (w[0] not in _NO_KEY_EDGE or w[-1] not in _NO_KEY_EDGE) and w.isascii() or not _NO_KEY.fullmatch(w)]
     t = "".join(words)
     for a, b in _PAIRS:
         t = t.replace(a, b)
-    t = re.sub(r"\d{2,}", "", t).translate(_FOLD)
+    t = _LONG_NUMBER.sub("", t)
+    t = t.translate(_FOLD) if t.isascii() else "".join(map(_FOLDED, t, t))
     return t if len(t) >= 4 else ""
 
 
 #: Groups of features of a line: its place, form and recurrence; how it starts and what came before; its block's kind and confidence.
 EDGES, FORMS = ("mid", "near", "top", "bottom"), ("closed", "open", "table", "list", "number", "folio", "first-closed", "first-open", "first-table", "first-list")
+_NUMBER_FORM, _FOLIO_FORM, _FIRST_FORMS = map(FORMS.index, ("number", "folio", "first-closed"))
 STARTS, KINDS = ("lower", "upper", "other"), ("text", "heading", "table", "other")
 SIZES = (len(EDGES) * len(FORMS) * 2, 2 * len(STARTS) * 3, len(KINDS) * 4)
 
 
-def page_lines(texts: list, boxes: list, kinds: list, confs: list, height) -> tuple[list[int], list[tuple[int, int, int]], list[tuple[int, str]]]:
-    """All lines of a page in order: the block of each, its features without recurrence, and (block, key) of the first lines at an edge: in the outer
-    seventh of the page's height or in its first or last two texts."""
+def _shape(line: str, pipes: int) -> int:
+    """The place in ``FORMS`` of a line's form, by its signs for columns, its first sign and its last."""
+    return 2 if pipes > 1 else 3 if line[:1] in _DASHES and line[1:2].isspace() else 0 if line[-1:] in _CLOSE else 1
+
+
+def page_lines(texts: list, tops: list, kinds: list, confs: list, height) -> tuple[list[int], list[int], list[tuple[int, str]]]:
+    """All lines of a page in order: the block of each, its features without recurrence (three a line), and (block, key) of the first lines at an edge:
+    in the outer seventh of the page's height or in its first or last two texts."""
     full = [i for i, t in enumerate(texts) if t and t.strip() and kinds[i] not in _NO_TEXT]
     blocks, codes, keys = [], [], []
     before = 2
     for n, i in enumerate(full):
-        y = boxes[i][1] if boxes[i] and len(boxes[i]) == 4 and boxes[i][1] is not None else None
+        y = tops[i]
         at = y / height if y is not None and height else None
         outer = n < 2 or n >= len(full) - 2 or at is not None and (at < 0.14 or at > 0.86)
         edge = "mid" if not outer else "top" if n == 0 and (at is None or at < 0.12) or at is not None and at < 0.055 else "bottom" if n == len(full) - 1 and (at is None or at > 0.8) or at is not None and at > 0.93 else "near"
@@ -88,23 +105,24 @@ def page_lines(texts: list, boxes: list, kinds: list, confs: list, height) -> tu
         line = lines[0]
         if folio(t):
             above = texts[full[n - 1]].strip() if n == 1 else ""
-            under_header = bool(above) and at is not None and at < 0.2 and len(above) <= 70 and "\n" not in above and not re.search(r"[.。]$", above)
-            form = "folio" if at is None and n in (0, len(full) - 1) or at is not None and (at < 0.06 or at > 0.9) or under_header else "number"
+            under_header = bool(above) and at is not None and at < 0.2 and len(above) <= 70 and "\n" not in above and above[-1] not in ".。"
+            form = _FOLIO_FORM if at is None and n in (0, len(full) - 1) or at is not None and (at < 0.06 or at > 0.9) or under_header else _NUMBER_FORM
         else:
-            shape = "table" if "|" in line and t.count("|") > 1 else "list" if re.match(r"[-–•*]\s", line) else "closed" if re.search(r"[.!?。！？]$", line) else "open"
-            form = ("first-" if len(lines) > 1 else "") + shape
+            form = (_FIRST_FORMS if len(lines) > 1 else 0) + _shape(line, t.count("|") if "|" in line else 0)
             if outer and (key := line_key(line)):
                 keys.append((i, key))
         c = confs[i] if confs[i] is None or confs[i] > 1 else confs[i] * 100
         block = KINDS.index(kinds[i] if kinds[i] in KINDS else "other") * 4 + (0 if c is None or c != c else 1 if c < 60 else 2 if c < 85 else 3)
-        for j, x in enumerate(lines):
+        place, opens = EDGES.index(edge) * len(FORMS), len(STARTS)
+        for x in lines:
             x = x.strip()
-            if j:
-                form = "table" if x.count("|") > 1 else "list" if re.match(r"[-–•*]\s", x) else "closed" if re.search(r"[.!?。！？]$", x) else "open"
-            start = 0 if x[:1].islower() else 1 if x[:1].isupper() else 2
-            blocks.append(i)
-            codes.append(((EDGES.index(edge if not j else "mid") * len(FORMS) + FORMS.index(form)) * 2, ((j == 0) * len(STARTS) + start) * 3 + before, block))
-            before = 0 if re.search(r"[.!?。！？:：]$", x) else 1
+            if not opens:
+                form = _shape(x, x.count("|"))
+            first = x[:1]
+            codes += ((place + form) * 2, (opens + (0 if first.islower() else 1 if first.isupper() else 2)) * 3 + before, block)
+            before = 0 if x[-1:] in _PAUSE else 1
+            place = opens = 0
+        blocks += [i] * len(lines)
     return blocks, codes, keys
 
 
@@ -181,6 +199,12 @@ class LineModel:
         return out
 
 
+def tops(boxes: pa.ListArray) -> pa.Array:
+    """The upper edge of each box of four numbers, null for others."""
+    at = pa.compute.if_else(pa.compute.equal(pa.compute.list_value_length(boxes), 4), pa.compute.add(boxes.offsets[:-1], 1), pa.scalar(None, pa.int32()))
+    return boxes.values.take(at)
+
+
 def page_features(pages: DataFrame) -> DataFrame:
     """One row a page: ``page_id``, ``at`` and ``codes`` (the block and the features of each line, packed), ``recurs`` (its blocks whose first line recurs).
 
@@ -189,17 +213,16 @@ def page_features(pages: DataFrame) -> DataFrame:
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            f = fields(b, ["kind", "bbox", "text", "conf"])
             at, codes, keys = [], [], []
-            for h, t, k, x, c in zip(b.column("height").to_pylist(), f["text"], f["kind"], f["bbox"], f["conf"]):
-                i, v, ks = page_lines(t, x, k, c, h)
-                at.append(np.array(i, np.int32).tobytes())
-                codes.append(np.array(v, np.int16).tobytes())
+            for h, t, k, y, c in zip(b.column("height").to_pylist(), lists(b.column("text")), lists(b.column("kind")), lists(b.column("bbox"), tops), lists(b.column("conf"))):
+                i, v, ks = page_lines(t, y, k, c, h)
+                at.append(array("i", i).tobytes())
+                codes.append(array("h", v).tobytes())
                 keys.append([{"block_index": i, "key": key} for i, key in ks])
             yield pa.RecordBatch.from_arrays([b.column("page_id"), b.column("job_id"), b.column("page_index"), pa.array(at, pa.binary()), pa.array(codes, pa.binary()), pa.array(keys, pa.list_(pa.struct([("block_index", pa.int32()), ("key", pa.string())])))],
                                              ["page_id", "job_id", "page_index", "at", "codes", "keys"])
 
-    lines = pages.select(F.col("page_id").cast("long"), "job_id", F.col("page_index").cast("int").alias("page_index"), F.col("height").cast("int").alias("height"), "blocks").mapInArrow(
+    lines = pages.select(F.col("page_id").cast("long"), "job_id", F.col("page_index").cast("int").alias("page_index"), F.col("height").cast("int").alias("height"), "blocks.kind", "blocks.bbox", "blocks.text", "blocks.conf").mapInArrow(
         work, "page_id long, job_id string, page_index int, at binary, codes binary, keys array<struct<block_index int, key string>>")
     lines = stage(lines, "lines")
     each = lines.select("page_id", "job_id", F.floor(F.col("page_index") / BUCKET).alias("bucket"), F.explode("keys").alias("k")).select("page_id", "job_id", "bucket", F.col("k.block_index"), F.col("k.key"))
@@ -219,9 +242,9 @@ def _features(at: bytes, codes: bytes, recurs) -> tuple[np.ndarray, np.ndarray]:
     return blocks, x
 
 
-def label_lines(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame:
-    """``page_id``, ``block_index``, ``line`` (its place in the block), ``label`` of every line of every page. The model is fitted on about ``sample_pages``
-    pages (a documented bound)."""
+def label_lines(pages: DataFrame, sample_pages: int = SAMPLE_PAGES, noise: bool = False) -> DataFrame:
+    """``page_id``, ``block_index``, ``line`` (its place in the block), ``label`` of every line of every page; with ``noise`` every line is labelled
+    too, but only headers and page numbers that a block begins with are given. The model is fitted on about ``sample_pages`` pages (a documented bound)."""
     rows = page_features(pages)
     sample = bounded_sample(rows, "page_id", sample_pages)
     model = LineModel().fit([_features(r["at"], r["codes"], r["recurs"])[1] for r in sample])
@@ -230,11 +253,14 @@ def label_lines(pages: DataFrame, sample_pages: int = SAMPLE_PAGES) -> DataFrame
         for b in slices(batches):
             got = [_features(*v) for v in zip(b.column("at").to_pylist(), b.column("codes").to_pylist(), b.column("recurs").to_pylist())]
             labels = model.label([x for _, x in got])
-            ids = np.repeat(np.array(b.column("page_id").to_pylist(), object), [len(k) for k, _ in got]).tolist()
-            blocks, y = (np.concatenate([*v, np.zeros(0, np.int64)]) for v in ([k for k, _ in got], labels))
-            first = [np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]])) if len(k) else np.zeros(0, np.int64) for k, _ in got]
-            line = np.concatenate([*(np.arange(len(k)) - np.repeat(f, np.diff(np.append(f, len(k)))) for (k, _), f in zip(got, first)), np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(blocks, pa.int32()), pa.array(line, pa.int32()), pa.array([LineModel.STATES[int(v)] for v in y], pa.string())], ["page_id", "block_index", "line", "label"])
+            page = np.repeat(np.arange(len(got)), [len(k) for k, _ in got])
+            blocks, y = (np.concatenate([*v, np.zeros(0, np.int64)]).astype(np.int64) for v in ([k for k, _ in got], labels))
+            opens = np.concatenate([[True], (blocks[1:] != blocks[:-1]) | (page[1:] != page[:-1])])[: len(blocks)]
+            line = np.arange(len(blocks)) - np.maximum.accumulate(np.where(opens, np.arange(len(blocks)), 0))
+            if noise:
+                on = np.flatnonzero(opens & (y >= LineModel.STATES.index("header")))
+                page, blocks, line, y = page[on], blocks[on], line[on], y[on]
+            yield pa.RecordBatch.from_arrays([b.column("page_id").take(pa.array(page)), pa.array(blocks, pa.int32()), pa.array(line, pa.int32()), pa.array(LineModel.STATES).take(pa.array(y))], ["page_id", "block_index", "line", "label"])
 
     return rows.mapInArrow(work, "page_id long, block_index int, line int, label string")
 
@@ -257,7 +283,8 @@ class Lexicon:
                     if d not in self.near or self.words[self.near[d]] < n:
                         self.near[d] = w
         self.memo: dict[str, str | None] = {}
-        self.plain = {f(w) for w in self.words for f in (str, str.capitalize)}
+        self.plain = {f(w) for w in self.words if w.isalpha() for f in (str, str.capitalize)}
+        self.marks: dict[str, int] = {}
 
     def repair(self, w: str) -> str | None:
         """The known word an unknown one was misread from, if there is one."""
@@ -274,6 +301,14 @@ class Lexicon:
         """Whether one visual confusion makes an unknown word a frequent one: nouns are misread too where they are capitalised like names."""
         return len(w) > 4 and w not in self.words and any(self.words.get(c, 0) >= 5 * self.least for c in self._swaps(w))
 
+    def mark(self, w: str) -> int:
+        """1 if a word is unknown and can be a misread one by itself, whatever stands around it; 2 more if digits and letters like digits meet in it."""
+        if len(self.marks) > 300_000:
+            self.marks.clear()
+        odd = not w.isdigit() and w.lower() not in self.words
+        got = self.marks[w] = int(odd and bool(_NUMBERISH.match(w) or self.surely(w.lower()) or self.repair(w))) + 2 * bool(_MAYBE_NUMBER.search(w))
+        return got
+
     def _swaps(self, w: str):
         for i in range(len(w)):
             for k in (3, 2, 1):
@@ -327,7 +362,7 @@ def _class(c: str) -> str:
 
 def clean(text: str) -> str:
     """Look-alikes and hidden characters made plain; line ends and hyphens at them stay."""
-    if text.isascii():
+    if text.isascii() or _SAME.fullmatch(text):
         return text
     if "\xad\n" in text:
         text = text.replace("\xad\n", "¬\n")
@@ -336,21 +371,49 @@ def clean(text: str) -> str:
 
 
 def fit_lexicon(pages: DataFrame) -> Lexicon:
-    """Known words and Chinese character pairs, counted over all pages by Spark. A word is known from one sighting in ``COMMON`` pages on (three at
+    """Known words and Chinese character pairs, counted over all pages. A word is known from one sighting in ``COMMON`` pages on (three at
     least), so the driver gets at most ``COMMON`` times the words of a page, however many pages there are."""
     total = pages.count()
     least = max(3, total // COMMON)
-    text = pages.select(F.explode("blocks").alias("b")).select(F.lower("b.text").alias("t")).filter("t is not null")
-    words = text.select(F.explode(F.regexp_extract_all("t", F.lit(r"[\p{L}&&[^\p{IsHan}]]+"), F.lit(0))).alias("w")).groupBy("w").count().filter(F.col("count") >= least)
-    flat = text.filter(F.col("t").rlike(r"\p{IsHan}")).select(F.regexp_replace(F.regexp_replace("t", "\n", ""), r"\d", "0").alias("t")).filter("length(t) > 1")
-    pairs = flat.select(F.explode(F.transform(F.sequence(F.lit(1), F.length("t") - 1), lambda i: F.substring("t", i, F.lit(2)))).alias("w")).groupBy("w").count().filter(F.col("count") >= least)
-    got = [Counter({r["w"]: r["count"] for r in x.collect()}) for x in (words, pairs)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Stretches without white space, and the Chinese texts' pairs, with their counts in a part of the batches."""
+
+        def out() -> pa.RecordBatch:
+            found = [(x, n) for c in (stretches, pairs) for x, n in c.items()]
+            return pa.RecordBatch.from_arrays([pa.array([False] * len(stretches) + [True] * len(pairs)), pa.array([x for x, _ in found], pa.string()), pa.array([n for _, n in found], pa.int64())], ["pair", "s", "n"])
+
+        stretches, pairs = Counter(), Counter()
+        for b in slices(batches):
+            texts = [t for t in b.column("text").flatten().to_pylist() if t]
+            joined = "\n".join(texts)
+            stretches.update(joined.split())
+            if _HAN.search(joined):
+                flat = "\n".join(t.replace("\n", "").lower() for t in texts if not t.isascii() and _HAN.search(t)).translate(_DIGITS)
+                pairs.update(map("".join, zip(flat, flat[1:])))
+            if len(stretches) + len(pairs) >= WORDS:
+                yield out()
+                stretches.clear()
+                pairs.clear()
+        yield out()
+
+    counts = pages.select("blocks.text").mapInArrow(work, "pair boolean, s string, n long").groupBy("pair", "s").agg(F.sum("n").alias("n"))
+    words = F.when(F.col("pair"), F.array("s")).otherwise(F.regexp_extract_all(F.lower("s"), F.lit(r"[\p{L}&&[^\p{IsHan}]]+"), F.lit(0)))
+    counts = counts.filter(~F.col("pair") | ~F.contains("s", F.lit("\n"))).select("pair", "n", F.explode(words).alias("w")).groupBy("pair", "w").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    got = Counter(), Counter()
+    for r in counts.collect():
+        got[r["pair"]][r["w"]] = r["n"]
     return Lexicon(*got, least)
 
 
 _SUSPECT_NUMBER = re.compile(r"(?<![A-Za-z\d])(?=\d*[lOoI])(?=[lOoI]*\d)[\dlOoI]{2,}(?![A-Za-z\d])")
 _MAYBE_NUMBER = re.compile(r"\d[lOoI]|[lOoI]\d")
 _CHINESE = re.compile(f"[{''.join(CHINESE)}]")
+#: Characters of the Chinese script, as Java's ``IsHan`` has them.
+_HAN = re.compile("[⺀-⺙⺛-⻳⼀-⿕々〇〡-〩〸-〻㐀-䶿一-鿿豈-舘並-龎\U00016fe2\U00016fe3\U00016ff0\U00016ff1\U00020000-\U000323af]")
+_DIGITS = str.maketrans("123456789", "000000000")
+_LONE = re.compile(r"[\W_]*[lO]{1,3}[\W_]*")
+_SHELF = re.compile(r"[A-Z]\d")
 _TRIM = ".,;:!?()\"'“”„«»…"
 
 
@@ -360,24 +423,37 @@ def _torn_lines(t: str, lex: Lexicon) -> list[int]:
     lines = t.split("\n")
     for x, y in zip(lines, lines[1:]):
         at += len(x) + 1
-        a, b = x.split()[-1:], y.split()[:1]
+        a, b = x.rsplit(None, 1)[-1:], y.split(None, 1)[:1]
         if a and b:
             w, v = a[0].lstrip(_TRIM), b[0].rstrip(_TRIM)
-            if w.isalpha() and v.isalpha() and (w.lower() not in known or v.lower() not in known) and lex.joined(w, v):
+            if (w + v).lower() in known and w.isalpha() and v.isalpha() and lex.joined(w, v):
                 out.append(at - 1)
     return out
 
 
 def _misread_word(t: str, lex: Lexicon, torn: list[int]) -> bool:
     known = lex.words
-    words = [(m.start(), m.end(), m[0]) for m in _WORD.finditer(t)]
-    if all(w in lex.plain or w.isdigit() for _, _, w in words):  # no word is unknown
+    words = _WORD.findall(t)
+    odd = set(words).difference(lex.plain)
+    if not odd:  # no word is unknown
         return False
-    end, closed = len(t.rstrip()), t.rstrip()[-1:] in ".!?。！？"
-    for j, (s, e, w) in enumerate(words):
-        low = w.lower()
-        if low in known or w.isdigit():
+    get = lex.marks.get
+    marks = {m if (m := get(w)) is not None else lex.mark(w) for w in odd}
+    if max(marks) > 1 and _SUSPECT_NUMBER.search(t):
+        return True
+    if marks.isdisjoint((1, 3)) and known.keys().isdisjoint(map(str.lower, map(add, words, words[1:]))):  # nor may two of them be one
+        return False
+    bare = t.rstrip()
+    end, closed, e = len(bare), bare[-1:] in ".!?。！？", 0
+    for j, w in enumerate(words):
+        was, s = e, t.find(w, e)  # between two matches stands nothing that a word begins with
+        e = s + len(w)
+        if w not in odd or w.isdigit() or w.lower() in known:
             continue
+        joins = j + 1 < len(words) and t.startswith(" ", e) and lex.joined(w, words[j + 1]) and t.startswith(words[j + 1], e + 1) or j and s == was + 1 and t[was] == " " and lex.joined(words[j - 1], w)
+        if not joins and not (get(w) or lex.mark(w)) & 1:
+            continue
+        low = w.lower()
         if _NUMBERISH.match(w):
             if not (s and t[s - 1].isalpha()) and len(w) > 1:
                 return True
@@ -396,11 +472,11 @@ def _misread_word(t: str, lex: Lexicon, torn: list[int]) -> bool:
             if not lex.surely(low):
                 continue  # a name
             return True
-        if w.isupper() and any(c.isdigit() for c in w) or re.match(r"[A-Z]\d", w):
+        if w.isupper() and any(c.isdigit() for c in w) or _SHELF.match(w):
             continue  # a shelf mark
-        if j + 1 < len(words) and t[e : words[j + 1][0]] == " " and lex.joined(w, words[j + 1][2]) or j and t[words[j - 1][1] : s] == " " and lex.joined(words[j - 1][2], w):
+        if joins:
             return True
-        if w[0].isupper() and w.isalpha() and j == 0 and len(words) > 1 and not words[1][2][:1].islower():
+        if w[0].isupper() and w.isalpha() and j == 0 and len(words) > 1 and not words[1][:1].islower():
             continue
         if lex.repair(w):
             return True
@@ -420,8 +496,8 @@ def block_noise(text: str, after: str | None, kind: str, lex: Lexicon) -> list[s
     out = ["hyphenation"] if broken else []
     if kind == "equation":
         return out
-    misread = _misread_word(t, lex, torn) or bool(_MAYBE_NUMBER.search(t) and _SUSPECT_NUMBER.search(t))
-    if not misread and folio(t) and re.fullmatch(r"[\W_]*[lO]{1,3}[\W_]*", t):
+    misread = _misread_word(t, lex, torn)
+    if not misread and len(t) <= 40 and _LONE.fullmatch(t) and folio(t):
         misread = True
     if not misread and not t.isascii() and _CHINESE.search(t):
         flat = t.replace("\n", "")
@@ -438,22 +514,24 @@ def word_noise(pages: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         for b in slices(batches):
-            f = fields(b, ["kind", "text"])
             rows = []
-            for page, texts, kinds in zip(b.column("page_id").to_pylist(), f["text"], f["kind"]):
-                for i, t in enumerate(texts):
+            for page, texts, kinds in zip(b.column("page_id").to_pylist(), lists(b.column("text")), lists(b.column("kind"))):
+                for i, (t, after) in enumerate(zip(texts, _next_texts(texts, kinds))):
                     if t:
-                        rows += [(page, i, n) for n in block_noise(t, _next_text(texts, kinds, i), kinds[i] or "", lex)]
+                        rows += [(page, i, n) for n in block_noise(t, after, kinds[i] or "", lex)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.string())], ["page_id", "block_index", "noise"])
 
-    return pages.select(F.col("page_id").cast("long"), "blocks").mapInArrow(work, "page_id long, block_index int, noise string")
+    return pages.select(F.col("page_id").cast("long"), "blocks.kind", "blocks.text").mapInArrow(work, "page_id long, block_index int, noise string")
 
 
-def _next_text(texts: list, kinds: list, i: int) -> str | None:
-    for j in range(i + 1, len(texts)):
-        if texts[j] and kinds[j] not in _NO_TEXT and kinds[j] not in ("header", "table") and not folio(texts[j]):
-            return texts[j]
-    return None
+def _next_texts(texts: list, kinds: list) -> list[str | None]:
+    """For each block the text that running text goes on with after it, if there is one."""
+    out, after = [], None
+    for t, kind in zip(reversed(texts), reversed(kinds)):
+        out.append(after)
+        if t and kind not in _NO_TEXT and kind not in ("header", "table") and not folio(t):
+            after = t
+    return out[::-1]
 
 
 def find_noise(pages: DataFrame) -> DataFrame:
@@ -463,7 +541,7 @@ def find_noise(pages: DataFrame) -> DataFrame:
     noise; a null box counts by the block's place in the page; repeated pages are listed each, but count once as a
     page on which a line recurs. An empty table gives no rows.
     """
-    labels = label_lines(pages).filter("line = 0 and label in ('header', 'number')").select("page_id", "block_index", F.when(F.col("label") == "header", "running_header").otherwise("page_number").alias("noise"))
+    labels = label_lines(pages, noise=True).select("page_id", "block_index", F.when(F.col("label") == "header", "running_header").otherwise("page_number").alias("noise"))
     return labels.unionByName(word_noise(pages)).distinct()
 
 
@@ -500,9 +578,8 @@ def paragraphs(pages: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lex = shared.value
         for b in slices(batches):
-            f = fields(b, ["kind", "text"])
             rows = []
-            for page, texts, kinds, labels in zip(b.column("page_id").to_pylist(), f["text"], f["kind"], b.column("labels").to_pylist()):
+            for page, texts, kinds, labels in zip(b.column("page_id").to_pylist(), lists(b.column("text")), lists(b.column("kind")), b.column("labels").to_pylist()):
                 told = {(x["block_index"], x["line"]): x["label"] for x in labels or []}
                 done: list[list] = []
                 for i, t in enumerate(texts):
@@ -521,5 +598,5 @@ def paragraphs(pages: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
             kinds_ = (pa.int64(), pa.int32(), pa.int32(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds_)], ["page_id", "paragraph", "first_block", "text"])
 
-    joined = pages.select(F.col("page_id").cast("long"), "blocks").join(labels, "page_id", "left")
+    joined = pages.select(F.col("page_id").cast("long"), "blocks.kind", "blocks.text").join(labels, "page_id", "left")
     return joined.mapInArrow(work, "page_id long, paragraph int, first_block int, text string")

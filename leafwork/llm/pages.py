@@ -32,6 +32,15 @@ def fields(batch: pa.RecordBatch, names: list[str]) -> dict[str, list]:
     return out
 
 
+def lists(column: pa.ListArray, values: Callable[[pa.Array], pa.Array] = lambda x: x) -> list[list]:
+    """The list of each row, empty for null; ``values`` is asked for the elements of all rows at once."""
+    flat, at, rows = values(column.flatten()).to_pylist(), 0, []
+    for n in pa.compute.list_value_length(column).to_pylist():
+        rows.append(flat[at : at + (n or 0)])
+        at += n or 0
+    return rows
+
+
 def slices(batches: Iterator[pa.RecordBatch], n: int = PAGES) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for i in range(0, b.num_rows, n):
