@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +27,8 @@ MIN_WORDS, MIN_CHARS, MAX_ALTERED = 24, 30, 0.1
 #: 100 bytes a character). More sets mean more passes over a batch, never a lost item.
 SET_CHARS = 1_000_000
 LANES, TEXTS, GRAM = 8192, 2000, 9
+#: Parts of documents whose fours are looked up at a time.
+PARTS = 2048
 BREAK = 1
 SCHEMA = "doc_id long, item_id long, words int, matched int, start int, stop int"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -207,9 +210,7 @@ class Flat:
             edge = np.flatnonzero(np.diff(np.concatenate([[False], known, [False]]).astype(np.int8)))
             on, off = edge[::2], edge[1::2]
             wide = off - on >= k - q + 1
-            mark = np.zeros(len(x) + 1, np.int32)
-            np.add.at(mark, on[wide], 1)
-            np.add.at(mark, off[wide] + q - 1, -1)
+            mark = np.bincount(on[wide], minlength=len(x) + 1) - np.bincount(off[wide] + q - 1, minlength=len(x) + 1)
             keep |= np.cumsum(mark[:-1]) > 0
         return keep
 
@@ -233,28 +234,22 @@ class Flat:
         start = np.arange(lanes) * each
         letters = np.concatenate([np.zeros(warm, np.int32), self.letter[x], np.zeros(lanes * each - n, np.int32)])
         out = np.zeros(lanes * each, bool)
-        need = np.concatenate([least, np.zeros(lanes * each - n, least.dtype)])
-        state, length = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32)
-        for i in range(-warm, each):
-            c = letters[start + i + warm]
+        need = np.concatenate([np.zeros(warm, least.dtype), least, np.zeros(lanes * each - n, least.dtype)])
+        state, length, at, begin = np.zeros(lanes, np.int32), np.zeros(lanes, np.int32), start, start + warm
+        while len(at):  # each lane takes its next letter or a suffix link, whichever its turn is
+            c = letters[at]
             goal = self.step(state, c)
-            goal[c == 0] = 0
-            lost = np.flatnonzero(goal < 0)
-            length += 1
-            length[c == 0] = 0
-            while len(lost):
-                s = self.link[state[lost]]
-                root = s < 0
-                goal[lost[root]] = 0
-                length[lost[root]] = 0
-                lost, s = lost[~root], s[~root]
-                state[lost] = s
-                length[lost] = self.size[s] + 1
-                goal[lost] = self.step(s, c[lost])
-                lost = lost[goal[lost] < 0]
-            state = goal
-            if i >= 0:
-                out[start + i] = (length >= need[start + i]) & (length > 0)
+            hit = goal >= 0
+            taken = hit | (c == 0) | (state == 0)
+            link = self.link[state]
+            length = np.where(hit, length + 1, np.where(taken, 0, self.size[link]))
+            state = np.where(hit, goal, np.where(taken, 0, link))
+            told = np.flatnonzero(hit & (length >= need[at]) & (at >= begin))
+            out[at[told] - warm] = True
+            at = at + taken
+            on = at < begin + each
+            if not on.all():
+                state, length, at, begin = (v[on] for v in (state, length, at, begin))
         return out[:n]
 
 
@@ -300,7 +295,15 @@ class Items:
             tier = np.searchsorted(-np.array(self.parts), -four)  # the longest part that fits in; none for very few letters
             self.short.append(tier)
             self.gram.append(sums.of(w[:-3, 0], np.array([*self.parts, 0])[tier]))
-        self.base = np.cumsum([0, *map(len, self.size)])
+        self.base, self.four_base = (np.cumsum([0, *map(len, x)]) for x in (self.size, self.gram))
+        self.short, gram = np.concatenate([*self.short, np.zeros(0, np.int64)]), np.concatenate([*self.gram, np.zeros(0, np.uint64)])
+        self.grams, self.four, self.maybe = [], np.zeros(len(gram), np.int64), []  # the different fours, the number of each word's, and a table to miss by
+        for k in range(len(self.parts)):
+            mine = self.short == k
+            different, self.four[mine] = np.unique(gram[mine], return_inverse=True)
+            self.grams.append(different)
+            self.maybe.append(np.zeros(1 << 18, bool))
+            self.maybe[-1][(different >> np.uint64(46)).astype(np.int64)] = True
         self.size, self.hash = (np.concatenate([*x, np.zeros(0, np.int64)]) for x in (self.size, self.hash))
         g = np.concatenate([*grams, np.zeros(0, np.uint64)])
         order = np.argsort(g, kind="stable")
@@ -315,28 +318,33 @@ class Items:
             self.pieces[item] = words, [x[::-1] for x in words[::-1]]
         return self.pieces[item]
 
-    def could(self, grams: list[np.ndarray], lo: int, hi: int, item: int, first: int, last: int) -> bool:
+    def could(self, sums: Sums, lo: np.ndarray, hi: np.ndarray, item: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
         """Whether the letters [lo, hi) hold as many fours of item words, among twice ``least`` words around [first, last], as every stretch
         keeps: each altered word and a page number break three of them beside their own. A four counts by its first letters, as many as the largest of ``parts`` that it has, and as there if it has fewer."""
-        a = max(0, first - 2 * self.least)
-        g, tier = self.gram[item][a : last + 2 * self.least], self.short[item][a : last + 2 * self.least]
-        n = min(2 * self.least, len(g))
-        there = np.ones(len(g), bool)  # what has not been looked at yet counts as there
-        for k, size in enumerate(self.parts):
-            mine = (tier == k).nonzero()[0]
-            if len(mine):
-                near = grams[k][lo : max(lo, hi - size + 1)].copy()
-                near.sort()
-                if len(near):
-                    j = near.searchsorted(g[mine])
-                    j[j == len(near)] = 0
-                    there[mine] = near[j] == g[mine]
-                else:
-                    there[mine] = False
-            total = np.concatenate([_ZERO, there.cumsum()])
-            if (total[n:] - total[: len(total) - n]).max() < self.enough:
-                return False
-        return True
+        begin, stop = np.maximum(0, first - 2 * self.least), np.minimum(last + 2 * self.least, np.diff(self.four_base)[item])
+        n = np.maximum(0, stop - begin)
+        part, edge = np.repeat(np.arange(len(n)), n), np.cumsum(n)
+        four = np.arange(len(part)) - (edge - n)[part] + (self.four_base[item] + begin)[part]
+        there, size, low = np.ones(len(four), bool), len(sums.total), lo.min()
+        for k, letters in enumerate(self.parts):
+            mine = np.flatnonzero(self.short[four] == k)
+            end = np.maximum(lo, hi - letters + 1)
+            wide = end.max() - low + 1
+            at = low + np.flatnonzero(np.cumsum(np.bincount(lo - low, minlength=wide) - np.bincount(end - low, minlength=wide)) > 0)
+            h = sums.of(at, np.full(len(at), letters))
+            at, h = at[near := self.maybe[k][(h >> np.uint64(46)).astype(np.int64)]], h[near]
+            j = np.searchsorted(self.grams[k], h)
+            j[j == len(self.grams[k])] = 0
+            same = self.grams[k][j] == h if len(self.grams[k]) else np.zeros(len(j), bool)
+            stands = np.append(np.sort(j[same] * size + at[same]), np.iinfo(np.int64).max)  # by gram, then by place
+            want, r = self.four[four[mine]] * size, part[mine]
+            there[mine] = stands[np.searchsorted(stands, want + lo[r])] < want + end[r]
+        total = np.concatenate([_ZERO, there.cumsum()])
+        most = np.zeros(len(n), np.int64)
+        if len(four):
+            window = total[np.minimum(np.arange(len(four)) + 2 * self.least, edge[part])] - total[:-1]
+            most[n > 0] = np.maximum.reduceat(window, (edge - n)[n > 0])
+        return most >= self.enough
 
     def places(self, x: np.ndarray, ends: np.ndarray, sums: Sums) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(letter, item, word) wherever a gram that ends at one of ``ends`` begins a run of an item."""
@@ -382,10 +390,26 @@ _RAW_WORD = re.compile(r"[^\W_]+(?:['’][^\W_]+)*")
 AHEAD, AGAIN, MORE = 9, 4, 4
 
 
-def _grow(doc: str, opens: np.ndarray, closes: np.ndarray, words: list[str], at: int, free: bool) -> list[tuple[int, int]]:
-    """Where the ``words`` that follow stand in ``doc`` from ``at`` on: (word, place) in order. Words that follow on letter by letter are
+class Letters:
+    """A document's letters and the places where its words begin and end, with their mirror image."""
+
+    def __init__(self, doc: str, opens: list[int], closes: list[int]):
+        self.doc, self.opens, self.begin, self.end = doc, opens, set(opens), set(closes)
+        self.closes, self.back = closes, None
+
+    def mirrored(self) -> Letters:
+        if self.back is None:
+            n = len(self.doc)
+            self.back = Letters(self.doc[::-1], [n - v for v in reversed(self.closes)], [n - v for v in reversed(self.opens)])
+        return self.back
+
+
+def _grow(letters: Letters, words: list[str], at: int, free: bool) -> list[tuple[int, int]]:
+    """Where the ``words`` that follow stand in a document from ``at`` on: (word, place) in order. Words that follow on letter by letter are
     taken one by one; beyond an altered word the next ``AHEAD`` are looked for, in order, as whole words."""
+    doc, opens, begin, close = letters.doc, letters.opens, letters.begin, letters.end
     out, w, n = [], 0, len(words)
+    reach = AHEAD + (2 if free else 1) * MORE
     while w < n:
         while w < n and doc.startswith(words[w], at):
             out.append((w, at))
@@ -394,19 +418,28 @@ def _grow(doc: str, opens: np.ndarray, closes: np.ndarray, words: list[str], at:
         if w == n or at >= len(doc):
             break
         ahead = words[w : w + AHEAD]
-        lo = int(np.searchsorted(opens, at))
+        lo = bisect_left(opens, at)
         if lo == len(opens):
             break
-        stop = int(opens[lo + AHEAD + (2 if free else 1) * MORE]) if lo + AHEAD + (2 if free else 1) * MORE < len(opens) else len(doc)
+        stop = opens[lo + reach] if lo + reach < len(opens) else len(doc)
         best: list[tuple[int, list]] = [(at, [])]  # by how many words were found: the earliest end, and the places
         for k, word in enumerate(ahead):
+            size, p = len(word), doc.find(word, at, stop)
+            while p >= 0 and not free and not (p in begin and p + size in close):
+                p = doc.find(word, p + 1, stop)
+            if p < 0:  # then it stands beyond none of the ends
+                continue
+            first = p
             for m in range(len(best) - 1, -1, -1):
                 end, got = best[m]
-                p = doc.find(word, end, stop)
-                while p >= 0 and not free and not (_in(opens, p) and _in(closes, p + len(word))):
-                    p = doc.find(word, p + 1, stop)
-                if p >= 0 and (m + 1 == len(best) or p + len(word) < best[m + 1][0]):
-                    step = (p + len(word), [*got, (w + k, p)])
+                if end <= first:
+                    p = first
+                else:
+                    p = doc.find(word, end, stop)
+                    while p >= 0 and not free and not (p in begin and p + size in close):
+                        p = doc.find(word, p + 1, stop)
+                if p >= 0 and (m + 1 == len(best) or p + size < best[m + 1][0]):
+                    step = (p + size, [*got, (w + k, p)])
                     if m + 1 == len(best):
                         best.append(step)
                     else:
@@ -419,26 +452,21 @@ def _grow(doc: str, opens: np.ndarray, closes: np.ndarray, words: list[str], at:
     return out
 
 
-def _in(a: np.ndarray, v: int) -> bool:
-    i = int(np.searchsorted(a, v))
-    return i < len(a) and a[i] == v
-
-
-def stretch(doc: str, opens: np.ndarray, closes: np.ndarray, items: Items, item: int, places: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
-    """(words, matched, start, stop) of the longest stretch of an item that ``doc`` repeats, or None. ``opens`` and ``closes`` are the places
-    where words of the document begin and end; ``places`` are (letter, item word) where runs begin."""
+def stretch(letters: Letters, items: Items, item: int, places: list[tuple[int, int]]) -> tuple[int, int, int, int] | None:
+    """(words, matched, start, stop) of the longest stretch of an item that a document repeats, or None. ``places`` are (letter, item word)
+    where runs begin."""
     words, mirrored = items.split(item)
-    size, back = len(doc), None
+    size, back = len(letters.doc), letters.mirrored()
     done, best = set(), None
     for p, i in places:
         if (p, i) in done:
             continue
-        ahead = _grow(doc, opens, closes, words[i:], p, items.by_char)
+        ahead = _grow(letters, words[i:], p, items.by_char)
         done.update((q, i + k) for k, q in ahead)
-        if back is None:
-            back, b_opens, b_closes = doc[::-1], size - closes[::-1], size - opens[::-1]
-        behind = _grow(back, b_opens, b_closes, mirrored[len(words) - i :], size - p, items.by_char)
+        behind = _grow(back, mirrored[len(words) - i :], size - p, items.by_char)
         done.update((size - q - len(words[i - 1 - k]), i - 1 - k) for k, q in behind)
+        if len(ahead) + len(behind) < items.least * (1 - items.altered):
+            continue
         place = {i - 1 - k: size - q - len(words[i - 1 - k]) for k, q in behind} | {i + k: q for k, q in ahead}
         got = _longest(place, words, items.least, items.altered)
         if got and (best is None or got[0] > best[0]):
@@ -507,27 +535,29 @@ class LeakIndex:
         for kind in self.kinds:
             known: tuple = (-1,)
             p, item, word = kind.places(x, long[han[long]] if kind.by_char else long[~han[long]], sums)
-            grams = [sums.of(np.arange(len(x) - n + 1), n) if len(p) and len(x) >= n else _ZERO for n in kind.parts]
             order = np.lexsort((p, item, doc[p]))
             p, item, word = p[order], item[order], word[order]
             pair = doc[p] * len(kind.ids) + item
             # the parts of a pair's places that one stretch can hold
-            cut_ = np.flatnonzero((np.diff(pair) != 0) | (np.diff(nth[p]) > 2 * kind.least + 2 * MORE)) + 1
-            bounds = np.concatenate([[0], cut_, [len(p)]]).tolist()
-            for begin_, end_ in zip(bounds, bounds[1:]):
-                part = slice(begin_, end_)
-                if begin_ == end_ or end_ - begin_ < min(2, kind.enough) or len(set(word[part].tolist())) < min(2, kind.enough):
-                    continue  # a stretch holds two runs at least, or one that is longer by a word
-                d, i = int(doc[p[begin_]]), int(item[begin_])
+            begin_ = np.concatenate([[0], np.flatnonzero((np.diff(pair) != 0) | (np.diff(nth[p]) > 2 * kind.least + 2 * MORE)) + 1])[: len(p)]
+            end_ = np.append(begin_[1:], len(p))[: len(begin_)]
+            first, last = (f.reduceat(word, begin_) if len(p) else word for f in (np.minimum, np.maximum))
+            if kind.enough > 1:  # a stretch holds two runs at least, or one that is longer by a word
+                begin_, end_, first, last = (v[first < last] for v in (begin_, end_, first, last))
+            could = np.zeros(len(begin_), bool)
+            for k in range(0, len(begin_), PARTS):
+                b, e = begin_[k : k + PARTS], end_[k : k + PARTS]
+                around = (np.searchsorted(nth, nth[p[v]] + w) for v, w in ((b, -2 * kind.least - 2 * MORE), (e - 1, 2 * kind.least + 2 * MORE)))
+                lo, hi = (f(v, of[doc[p[b]]]) for f, v, of in zip((np.maximum, np.minimum), around, (begins, ends)))
+                could[k : k + PARTS] = kind.could(sums, lo, hi, item[b], first[k : k + PARTS], last[k : k + PARTS])
+            for begin, end in zip(begin_[could].tolist(), end_[could].tolist()):
+                part = slice(begin, end)
+                d, i = int(doc[p[begin]]), int(item[begin])
                 lo, hi = int(begins[d]), int(ends[d])
-                a, b = nth[p[begin_]] - 2 * kind.least - 2 * MORE, nth[p[end_ - 1]] + 2 * kind.least + 2 * MORE
-                if not kind.could(grams, max(lo, int(np.searchsorted(nth, a))), min(hi, int(np.searchsorted(nth, b))), i, int(word[part].min()), int(word[part].max())):
-                    continue
                 if known[0] != d:
-                    o = np.flatnonzero(opens[lo:hi])
-                    known = (d, "".join(map(chr, x[lo:hi])), o, np.append(o[1:], hi - lo))
-                _, text, o, closes = known
-                got = stretch(text, o, closes, kind, i, list(zip((p[part] - lo).tolist(), word[part].tolist())))
+                    o = np.flatnonzero(opens[lo:hi]).tolist()
+                    known = (d, Letters(x[lo:hi].tobytes().decode("utf-32-le", "surrogatepass"), o, [*o[1:], hi - lo]))
+                got = stretch(known[1], kind, i, list(zip((p[part] - lo).tolist(), word[part].tolist())))
                 if got and (best.get((d, kind.ids[i])) or (0,))[0] < got[0]:
                     best[d, kind.ids[i]] = got
         for (d, i), (n, m, a, b) in best.items():

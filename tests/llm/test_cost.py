@@ -2,7 +2,9 @@
 
 from collections import Counter
 
-from leafwork.llm import noise
+import numpy as np
+
+from leafwork.llm import leaks, noise
 from leafwork.llm.languages import readable
 from leafwork.llm.lookalikes import skeleton
 
@@ -34,3 +36,28 @@ def test_lexicon_counts_words_and_pairs(spark):
     lex = noise.fit_lexicon(spark.createDataFrame(rows, f"page_id long, blocks {blocks}"))
     assert lex.words == {"größe": 4, "große": 4, "straße": 4, "ke": 4, "pt": 4}
     assert lex.pairs == {"图书": 4, "书馆": 8, "馆0": 4, "00": 4, "0。": 4, "。书": 4}
+
+
+def test_lanes_follow_links_side_by_side(monkeypatch):
+    rng = np.random.default_rng(5)
+    items = ["".join(rng.choice(list("ab"), 400)) for _ in range(3)]
+    flat, least = leaks.Flat(leaks.Automaton(items)), 8
+    x = np.array([ord(c) for c in "".join(rng.choice(list("abc"), 6000, p=[0.49, 0.49, 0.02]))], np.uint32)
+    calls, step = [], leaks.Flat.step
+    monkeypatch.setattr(leaks.Flat, "step", lambda self, *a: calls.append(1) or step(self, *a))
+    got = flat.long_matches(x, np.full(len(x), least, np.int32), least)
+    text = "".join(map(chr, x))
+    assert got.tolist() == [i + 1 >= least and any(text[i + 1 - least : i + 1] in t for t in items) for i in range(len(x))]
+    lanes = len(x) // (4 * least + 1)
+    assert len(calls) <= 2 * (-(-len(x) // lanes) + least)  # a letter or a link at a time, never more links than letters
+
+
+def test_fours_of_all_parts_are_looked_up_at_once(monkeypatch):
+    words = [f"word{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(120)]
+    texts = [" ".join(words[k : k + 30]) for k in (0, 40, 80)]
+    index, calls = leaks.LeakIndex([(1, texts[0]), (2, texts[1]), (3, texts[2])]), []
+    could = leaks.Items.could
+    monkeypatch.setattr(leaks.Items, "could", lambda self, *a: calls.append(1) or could(self, *a))
+    docs = ["x " + " ".join(words[0:30]), None, "", "so " + " ".join(words[38:75]), " ".join(words[80:92]) + " but not the rest"] * 5
+    assert sorted((d, i) for d, i, *_ in index.search(docs)) == sorted((5 * k + d, i) for k in range(5) for d, i in ((0, 1), (3, 2)))
+    assert len(calls) == 1  # 15 before
