@@ -63,6 +63,6 @@ class HashedLogistic:
         if not rows:
             return np.zeros(0)
         n = np.array([len(r) for r in rows])
-        flat = self.w[np.fromiter((i for r in rows for i in r), np.int64, int(n.sum()))]
+        flat = self.w[np.fromiter(chain.from_iterable(rows), np.int64, int(n.sum()))]
         z = np.add.reduceat(flat, np.concatenate([[0], np.cumsum(n)[:-1]])) if len(flat) else np.zeros(len(rows))
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))

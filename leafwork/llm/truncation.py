@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from leafwork.llm.linear import BITS, HashedLogistic, hashed
-from leafwork.llm.pages import fields, slices, word_counts
+from leafwork.llm.pages import lists, slices, word_counts
 from leafwork.shared import stage
 
 #: Pages of a shard, about; every page is in one.
@@ -43,6 +43,7 @@ _NOTED = re.compile(r"[.!?。！？．｡]\s*[(（][^()（）]{1,24}[)）]\s*$")
 _LABEL = re.compile(r"[,，] ?(?:[A-ZÀ-ÞА-ЯЁ][^\s\d]*|\d{4})(?:\s+[\divxlcIl]+)?$|^[\W_]*[\w\W]{0,20}[\d/.]{4,}")
 _WHOLE_ROW = re.compile(r"\|\s*\d+\s*\|\s*\d+[.,]\d\d\s*$")
 _PRICED = re.compile(r"\|\s*\d+[.,]\d\d\s*$")
+_LETTERS = re.compile(r"[^\W\d_]+")
 _HAN = re.compile("[㐀-鿿]")
 _SKIP = {"image", "image_ref", "equation", "table", "header"}
 
@@ -60,6 +61,8 @@ def start_class(text: str | None) -> str:
         return "none"
     if "㐀" <= c <= "鿿":
         return "cjk"
+    if c.isalpha():  # no bullet begins like that
+        return "lower" if c.islower() else "upper" if c.isupper() else "other"
     return "bullet" if _BULLET.match(text) else "lower" if c.islower() else "upper" if c.isupper() else "digit" if c.isdigit() else "other"
 
 
@@ -156,7 +159,7 @@ class TruncationModel:
 
     def whole(self, text: str) -> bool:
         """Whether the last word can be a whole one, so that the text may go on elsewhere."""
-        w = _HIDDEN.sub("", text).split()[-1:]
+        w = (text if text.isascii() else _HIDDEN.sub("", text)).rsplit(None, 1)[-1:]
         bare = w[0].strip(".,;:()|").lower() if w else ""
         return bool(w) and (bare in self.known or w[0][:1].isupper() or w[0][-1] in "-‐¬­,;:" or w[0].isdigit() or "㐀" <= w[0][-1] <= "鿿")
 
@@ -195,7 +198,8 @@ def examples(rows: list, limits: dict, known: set, rng: random.Random) -> tuple[
                 continue
             after, last, kind = follower(texts, kinds, i), i == len(texts) - 1, kinds[i]
             table = "|" in t
-            whole_list = bool(_BULLET.match(t)) and all(_BULLET.match(x) for x in t.split("\n"))
+            bullet = _BULLET.match(t)
+            whole_list = bool(bullet) and all(_BULLET.match(x) for x in t.split("\n"))
             label_line = len(t) < 70 and "\n" not in t and bool(_LABEL.search(_HIDDEN.sub("", t)))
             noted = bool(_NOTED.search(t[-40:]))
             intact = whole_list or noted or len(t) <= 24 and bool(_FOLIO.match(t)) or label_line or ended(t) and not t.rstrip().endswith(("…", "...")) or kind in ("heading", "title", "header", "equation") or len(t) < 60 and not last and start_class(after) != "lower" or table and bool(_PRICED.search(t))
@@ -204,12 +208,13 @@ def examples(rows: list, limits: dict, known: set, rng: random.Random) -> tuple[
             add(t, kind, after, last, lim, 0)
             if kind not in ("text", "footnote", "table", "") or len(t) < 40:
                 continue
-            if not table and not _BULLET.match(t) and (rng.random() < 0.5):  # goes on in the next block: not cut
+            if not table and not bullet and (rng.random() < 0.5):  # goes on in the next block: not cut
                 p = rng.randrange(20, len(t) - 10)
                 if not _HAN.search(t):
                     p = t.find(" ", p) + 1 or p
                 add(t[:p].rstrip(), kind, t[p:], last and rng.random() < 0.5, lim, 0)
-            near = [n for n in lim[0] if n < len(t)] + [-n for n in lim[1] if n < len(t.encode("utf-8", "surrogatepass"))]
+            size = len(t) if t.isascii() else len(t.encode("utf-8", "surrogatepass"))
+            near = [n for n in lim[0] if n < len(t)] + [-n for n in lim[1] if n < size]
             for at_limit in ((True, False) if near else (False, False)):
                 if at_limit:
                     n = rng.choice(near)
@@ -222,16 +227,29 @@ def examples(rows: list, limits: dict, known: set, rng: random.Random) -> tuple[
     return x, y
 
 
+def _rows(shard: pa.Table) -> list[dict]:
+    """The rows of a shard as ``to_pylist`` gives them, its blocks' fields taken out at once."""
+    blocks = shard.column("blocks").combine_chunks()
+    blocks = blocks if isinstance(blocks, pa.ListArray) else pa.concat_arrays(blocks.chunks)
+    flat = blocks.flatten()
+    each = [{"kind": k, "text": t} if there else None for there, k, t in zip(flat.is_valid().to_pylist(), *(pa.compute.struct_field(flat, c).to_pylist() for c in ("kind", "text")))]
+    at, rows = 0, []
+    for n, page, adapter, model in zip(pa.compute.list_value_length(blocks).to_pylist(), *(shard.column(c).to_pylist() for c in ("page_id", "adapter", "model"))):
+        rows.append({"page_id": page, "adapter": adapter, "model": model, "blocks": None if n is None else each[at : at + n]})
+        at += n or 0
+    return rows
+
+
 def fit(pages: DataFrame, seed: int = 11) -> TruncationModel:
     """Fit on all pages; limits and known words are counted over all pages too. Peaks, words that stand in one of ``KNOWN_PAGES`` pages and
     at most ``2**BITS`` sums of weights come to the driver."""
     limits, total = find_limits(pages), pages.count()
-    words = word_counts(pages, lambda t: re.findall(r"[^\W\d_]+", t.lower()))
+    words = word_counts(pages, lambda t: [t.lower()] if t.isascii() and t.isalpha() else _LETTERS.findall(t.lower()))
     known = {r["word"] for r in words.filter(F.col("n") >= max(KNOWN, total // KNOWN_PAGES)).collect()}
     shared = pages.sparkSession.sparkContext.broadcast((limits, known))
 
     def work(key: tuple, shard: pa.Table) -> pa.Table:
-        rows = sorted(shard.to_pylist(), key=lambda r: (r["page_id"] is None, r["page_id"]))
+        rows = sorted(_rows(shard), key=lambda r: (r["page_id"] is None, r["page_id"]))
         x, y = examples(rows, *shared.value, random.Random(seed + key[0].as_py()))
         at = weighted = seen = np.zeros(0, np.int64)
         if x and 0 < sum(y) < len(y):
@@ -262,7 +280,7 @@ def score_blocks(pages: DataFrame, model: TruncationModel) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for b in slices(batches):
-            f = fields(b, ["kind", "text"])
+            f = {c: lists(b.column(c)) for c in ("kind", "text")}
             ids, adapters, models = (b.column(c).to_pylist() for c in ("page_id", "adapter", "model"))
             rows, feats, opens = [], [], []
             for k, texts in enumerate(f["text"]):
@@ -281,7 +299,7 @@ def score_blocks(pages: DataFrame, model: TruncationModel) -> DataFrame:
                 pa.array([i for _, i, _ in rows], pa.int32()), pa.array(s, pa.float64()), pa.array([x for _, _, x in rows], pa.bool_())],
                 ["page_id", "adapter", "model", "block_index", "score", "bottom"])
 
-    return pages.select(F.col("page_id").cast("long"), "adapter", "model", "blocks").mapInArrow(work, "page_id long, adapter string, model string, block_index int, score double, bottom boolean")
+    return pages.select(F.col("page_id").cast("long"), "adapter", "model", "blocks.kind", "blocks.text").mapInArrow(work, "page_id long, adapter string, model string, block_index int, score double, bottom boolean")
 
 
 def truncated(pages: DataFrame, model: TruncationModel | None = None, threshold: float = 0.5) -> DataFrame:

@@ -3,9 +3,11 @@
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
-from leafwork.llm import leaks, noise
+from leafwork.llm import leaks, noise, truncation
 from leafwork.llm.languages import readable
+from leafwork.llm.linear import HashedLogistic
 from leafwork.llm.lookalikes import skeleton
 
 
@@ -61,3 +63,22 @@ def test_fours_of_all_parts_are_looked_up_at_once(monkeypatch):
     docs = ["x " + " ".join(words[0:30]), None, "", "so " + " ".join(words[38:75]), " ".join(words[80:92]) + " but not the rest"] * 5
     assert sorted((d, i) for d, i, *_ in index.search(docs)) == sorted((5 * k + d, i) for k in range(5) for d, i in ((0, 1), (3, 2)))
     assert len(calls) == 1  # 15 before
+
+
+def test_a_shards_rows_without_a_step_for_each_block():
+    kinds = pa.list_(pa.struct([("kind", pa.string()), ("text", pa.string())]))
+    rows = [{"page_id": 2, "adapter": "a", "model": None, "blocks": [{"kind": "text", "text": "x"}, None, {"kind": None, "text": None}]}, {"page_id": None, "adapter": None, "model": "m", "blocks": None}, {"page_id": 1, "adapter": "a", "model": "m", "blocks": []}]
+    shard = pa.Table.from_pylist(rows, pa.schema([("page_id", pa.int64()), ("adapter", pa.string()), ("model", pa.string()), ("blocks", kinds)]))
+    assert truncation._rows(shard) == rows == truncation._rows(pa.concat_tables([shard.slice(0, 1), shard.slice(1)])) and truncation._rows(shard.slice(0, 0)) == []
+    found = ["- a", "1) b", "-b", "“c", "Ä", "9", "图", " \n x", "\tx", "", "\"", "ǅ"]
+    assert [truncation.start_class(t) for t in found] == ["bullet", "bullet", "other", "lower", "upper", "digit", "cjk", "lower", "other", "none", "none", "other"]
+
+
+def test_scores_read_only_what_they_use(spark, tmp_path):
+    block = "array<struct<kind string, bbox array<int>, text string, conf double>>"
+    rows = [(1, "a", "m", [("text", [1, 2, 3, 4], "The letter was", 1.0), None]), (2, None, None, None)]
+    spark.createDataFrame(rows, f"page_id long, adapter string, model string, blocks {block}").write.parquet(str(tmp_path / "pages"))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "2000")
+    scored = truncation.score_blocks(spark.read.parquet(str(tmp_path / "pages")), truncation.TruncationModel({}, set(), HashedLogistic()))
+    assert [(r["page_id"], r["block_index"], r["score"]) for r in scored.collect()] == [(1, 0, 0.5)]
+    assert "blocks:array<struct<kind:string,text:string>>" in scored._jdf.queryExecution().executedPlan().toString()
